@@ -5,9 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,3 +136,18 @@ def pick(docs: DataFrame, carry: tuple[str, ...], text_col: str) -> DataFrame:
 def carried(df: DataFrame, carry: tuple[str, ...]) -> str:
     """The schema, as DDL, of the carried columns."""
     return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema.fields if f.name in carry)
+
+
+def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in batches of about ``most`` bytes of a text column, at least a row each."""
+    for batch in batches:
+        n = len(batch)
+        if not n:
+            continue
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < n:
+            before = sizes[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(sizes, before + most, side="right")))
+            yield batch.slice(at, end - at)
+            at = end

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .common import Workspace
 from .decontaminate import mark_contamination
+from .packing import pack
+from .simhash import near_duplicates
 from .substring_dedup import remove_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +20,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), Workspace(spark))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack(table(spark, sf_dir, "documents"), Workspace(spark), **tokenizer())
+    return pieces.drop("ids")
+
+
+def tokenizer() -> dict[str, str]:
+    """Where the public tokenizer's files are."""
+    import public_tokenizers
+
+    path = public_tokenizers.path
+    return {"tokenizer_path": path("byte_bpe_50k.json"), "ranks_path": path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN}
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = mark_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"]).cast("long"))
@@ -37,6 +56,8 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op3_packing": op3_packing,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_substring_dedup": op5_substring_dedup,
 }
