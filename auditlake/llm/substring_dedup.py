@@ -10,11 +10,11 @@ places or more of the corpus.  Every word that a recurring window covers goes.
    the documents and dealt to shards by anchor.  A Bloom filter of at most
    ``bloom_bits`` bits tells candidates apart where the text is read.  It may only let
    through too much: a full filter costs shuffle, never results.
-3. *Confirmation.*  Candidate windows are counted by anchor and window hash (128 bits
-   together); those found twice or more are recurring.
-4. *Automata.*  Each shard compiles the anchor phrases of its recurring windows into an
-   Aho-Corasick automaton and streams all its regions through it.  Around each
-   occurrence the windows are held against the shard's confirmed ones.  Shards
+3. *Confirmation.*  Candidate windows are counted by shard and 64-bit hash of all their words;
+   those found twice or more are recurring.
+4. *Automata.*  Each shard compiles its anchor phrases into an Aho-Corasick automaton
+   and streams all its regions through it.  Around each occurrence the windows
+   are held against the shard's confirmed ones.  Shards
    have a bounded number of phrases; one with many regions (a passage that a third of
    the documents share) is dealt over several tasks, each with the same automaton.
 5. Spans are gathered by text and joined to the documents.
@@ -24,7 +24,6 @@ Texts are known by two 64-bit hashes, so copies of a text share their spans.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -37,7 +36,7 @@ from .common import Workspace, carried, covered, gram_hashes, mix, pick, runs, t
 
 #: Words of an anchor phrase; a phrase is held as two numbers of four words each.
 GRAM = 8
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+_IN_WORD = np.array([c != 0x20 and not 0x09 <= c <= 0x0D for c in range(256)])
 
 _SPAN = "k1 long, k2 long, begin int, until int"
 
@@ -96,33 +95,49 @@ def _phrases(crc: np.ndarray, gram: int) -> np.ndarray:
     return out
 
 
+class Regions:
+    """Word codes of many regions in one array, with an empty place after each region."""
+
+    def __init__(self, codes: pa.Array, window: int) -> None:
+        held = codes.to_pylist()
+        self.crc = np.frombuffer(b"\0\0\0\0".join([*held, b""]), np.uint32)
+        sizes = np.fromiter(map(len, held), np.int64, len(held)) // 4
+        self.starts = np.concatenate(([0], np.cumsum(sizes + 1)))[:-1]
+        self.spread = mix(self.crc.astype(np.uint64))
+        self.own = gram_hashes(self.spread, window)
+        inside = np.zeros(len(self.crc) + 1, np.int32)  # places where a window of the region starts
+        inside[self.starts] += 1
+        inside[self.starts + sizes - window + 1] -= 1
+        self.valid = np.cumsum(inside)[: len(self.own)] > 0
+
+    def region_of(self, places: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts, places, side="right") - 1
+
+
 class PhraseAutomaton:
     """One shard: an automaton over its phrases, and the hashes of its recurring windows.
 
     A word is two characters, so an occurrence counts where it ends on an even place.
     """
 
-    def __init__(self, own: np.ndarray, phrases: np.ndarray, window: int, gram: int) -> None:
-        self.window, self.gram, self.own = window, gram, np.unique(own)
+    def __init__(self, own: np.ndarray, phrases: np.ndarray, window: int) -> None:
+        self.window, self.own = window, np.unique(own)
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
         for row in np.unique(phrases, axis=0):
             self.automaton.add_word(row.astype("<u8").tobytes().decode("latin-1"))
         self.automaton.make_automaton()
 
-    def locate(self, crc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and ends of what recurring windows cover."""
-        n = len(crc) - self.window + 1
-        line = crc.astype("<u2").tobytes().decode("latin-1")
+    def locate(self, regions: Regions) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends, in the regions' array, of what recurring windows cover."""
+        line = regions.crc.astype("<u2").tobytes().decode("latin-1")
         ends = np.fromiter((e for e, _ in self.automaton.iter(line)), np.int64)
-        if not len(ends):
-            return ends, ends
-        places = (ends[ends % 2 == 1] + 1) // 2 - self.gram
-        reach = self.window - self.gram
-        near = covered(np.maximum(places - reach, 0), reach + 1, len(crc))[:n]
-        own = gram_hashes(mix(crc.astype(np.uint64)), self.window)
+        places = (ends[ends % 2 == 1] + 1) // 2 - GRAM
+        reach, n = self.window - GRAM, len(regions.crc)
+        near = covered(np.maximum(places - reach, 0), reach + 1, n)[: len(regions.own)]
+        at = np.flatnonzero(near & regions.valid)
+        own = regions.own[at]
         place = np.minimum(np.searchsorted(self.own, own), len(self.own) - 1)
-        starts = np.flatnonzero(near & (self.own[place] == own))
-        return runs(covered(starts, self.window, len(crc)))
+        return runs(covered(at[self.own[place] == own], self.window, n))
 
 
 def find_repeats(
@@ -132,8 +147,8 @@ def find_repeats(
     text_col: str = "text",
     window: int = 35,
     bloom_bits: int = 1 << 28,
-    phrases_per_shard: int = 50_000,
-    regions_per_task: int = 20_000,
+    phrases_per_shard: int = 16_384,
+    regions_per_task: int = 131_072,
 ) -> DataFrame:
     """Disjoint spans of recurring windows (end exclusive), each once, by text key ``k1``, ``k2``."""
     spark, gram = docs.sparkSession, GRAM
@@ -185,27 +200,29 @@ def find_repeats(
 
     def window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for shard, codes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                crc = np.frombuffer(codes, np.uint32)
-                spread = mix(crc.astype(np.uint64))
-                places, _ = _anchors(spread, window, gram)
-                own = gram_hashes(spread, window)
-                found.append(np.column_stack((np.full(len(own), shard, np.uint64), own, _phrases(crc, gram)[places])))
-            if not found:
-                continue
-            every = np.concatenate(found)
-            every = every[np.lexsort(every.T[::-1])]
-            first = np.flatnonzero(np.append(True, (every[1:] != every[:-1]).any(1)))
-            counts = np.diff(first, append=len(every))
-            every = every[first].view(np.int64)
-            yield pa.record_batch(
-                [pa.array(every[:, 0].astype(np.int32)), *(pa.array(every[:, i]) for i in (1, 2, 3)), pa.array(counts)],
-                ["shard", "own", "p1", "p2", "n"],
-            )
-
-    counted = regions.select("shard", "codes").mapInArrow(window_hashes, "shard int, own long, p1 long, p2 long, n long")
-    confirmed = counted.groupBy("shard", "own", "p1", "p2").agg(F.sum("n").alias("n")).where("n > 1").drop("n")
+            if len(batch):
+                found = Regions(batch.column("codes"), window)
+                at = np.flatnonzero(found.valid)
+                own, first, counts = np.unique(found.own[at], return_index=True, return_counts=True)
+                shard = batch.column("shard").to_numpy()[found.region_of(at[first])]
+                yield pa.record_batch([pa.array(shard), pa.array(own.view(np.int64)), pa.array(counts)], ["shard", "own", "n"])
+
+    def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                found = Regions(batch.column("codes"), window)
+                places, _ = _anchors(found.spread, window, gram)
+                chosen = places[found.valid]
+                new = np.flatnonzero(np.diff(chosen, prepend=-1))
+                shard = batch.column("shard").to_numpy()[found.region_of(chosen[new])]
+                rows = np.unique(np.column_stack((shard.astype(np.uint64), _phrases(found.crc, gram)[chosen[new]])), axis=0)
+                kinds = (np.int32, np.int64, np.int64)
+                yield pa.record_batch([pa.array(rows[:, i].astype(np.uint64).view(np.int64).astype(k)) for i, k in enumerate(kinds)], ["shard", "p1", "p2"])
+
+    held = regions.select("shard", "codes")
+    counted = held.mapInArrow(window_hashes, "shard int, own long, n long")
+    confirmed = counted.groupBy("shard", "own").agg(F.sum("n").alias("n")).where("n > 1").drop("n")
+    anchored = held.mapInArrow(phrases, "shard int, p1 long, p2 long").distinct()
 
     # As many tasks for a shard as its regions need; a row for each shard, and shards have a least size.
     tasks = regions.groupBy("shard").agg(F.ceil(F.count("*") / regions_per_task).cast("int").alias("tasks"))
@@ -213,42 +230,49 @@ def find_repeats(
     none = {c: F.lit(None).cast(t) for c, t in (("own", "long"), ("p1", "long"), ("p2", "long"), ("k1", "long"), ("k2", "long"), ("begin", "int"), ("codes", "binary"))}
     columns = ["shard", "salt", "kind", *none]
     rules = (
-        confirmed.join(tasks, "shard")
+        confirmed.withColumns({"kind": F.lit(0), "p1": none["p1"], "p2": none["p2"]})
+        .unionByName(anchored.withColumns({"kind": F.lit(1), "own": none["own"]}))
+        .join(tasks, "shard")
         .withColumn("salt", F.explode(F.expr("sequence(0, tasks - 1)")))
-        .withColumns({"kind": F.lit(0)} | {c: none[c] for c in ("k1", "k2", "begin", "codes")})
+        .withColumns({c: none[c] for c in ("k1", "k2", "begin", "codes")})
     )
     stream = (
         regions.join(tasks, "shard")
         .withColumn("salt", F.pmod(F.hash("k1", "begin"), "tasks").cast("int"))
-        .withColumns({"kind": F.lit(1)} | {c: none[c] for c in ("own", "p1", "p2")})
+        .withColumns({"kind": F.lit(2)} | {c: none[c] for c in ("own", "p1", "p2")})
     )
     dealt = rules.select(columns).unionByName(stream.select(columns)).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, rules, automaton = None, [], None
+        at, own, held, automaton = None, [], [], None
         for batch in batches:
-            cols = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "salt", "kind")}
-            change = np.flatnonzero(np.any([np.diff(x, prepend=x[:1] - 1) for x in cols.values()], axis=0)) if len(batch) else []
-            out: list[tuple] = []
+            if not len(batch):
+                continue
+            cols = [batch.column(c).to_numpy() for c in ("shard", "salt", "kind")]
+            change = np.flatnonzero(np.any([np.diff(x, prepend=x[0] - 1) for x in cols], axis=0)).tolist()
             for a, e in zip(change, [*change[1:], len(batch)], strict=True):
-                part, here = batch.slice(a, e - a), (cols["shard"][a], cols["salt"][a])
+                part, here, kind = batch.slice(a, e - a), (cols[0][a], cols[1][a]), cols[2][a]
                 if here != at:
-                    at, rules, automaton = here, [], None
-                if cols["kind"][a] == 0:
-                    rules.append(np.column_stack([part.column(c).to_numpy().view(np.uint64) for c in ("own", "p1", "p2")]))
-                    continue
-                if rules:
-                    every = np.concatenate(rules)
-                    automaton, rules = PhraseAutomaton(every[:, 0], every[:, 1:], window, gram), []
-                if automaton is None:
-                    continue
-                for row in zip(*(part.column(c).to_pylist() for c in ("k1", "k2", "begin", "codes")), strict=True):
-                    k1, k2, begin, codes = row
-                    for s, t in zip(*(x.tolist() for x in automaton.locate(np.frombuffer(codes, np.uint32))), strict=True):
-                        out.append((k1, k2, begin + s, begin + t))
-            if out:
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["k1", "k2", "begin", "until"])
+                    at, own, held, automaton = here, [], [], None
+                if kind == 0:
+                    own.append(part.column("own").to_numpy().view(np.uint64))
+                elif kind == 1:
+                    held.append(np.column_stack([part.column(c).to_numpy().view(np.uint64) for c in ("p1", "p2")]))
+                elif own and held:
+                    if automaton is None:
+                        automaton = PhraseAutomaton(np.concatenate(own), np.concatenate(held), window)
+                    found = Regions(part.column("codes"), window)
+                    begin, until = automaton.locate(found)
+                    r = found.region_of(begin)
+                    first = part.column("begin").to_numpy()[r] - found.starts[r]
+                    yield pa.record_batch(
+                        [
+                            *(pa.array(part.column(k).to_numpy()[r]) for k in ("k1", "k2")),
+                            pa.array((first + begin).astype(np.int32)),
+                            pa.array((first + until).astype(np.int32)),
+                        ],
+                        ["k1", "k2", "begin", "until"],
+                    )
 
     return workspace.write(dealt.mapInArrow(scan, _SPAN).distinct(), "spans")
 
@@ -292,10 +316,11 @@ def remove_repeats(
                 gone = np.zeros(len(words), bool)
                 for s in spans:
                     gone[s["begin"] : s["until"]] = True
-                kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-                at = [m.span() for m in _WORD.finditer(raw)]
-                pieces = [raw[at[a][0] : at[e - 1][1]] for a, e in zip(*(x.tolist() for x in runs(~gone)), strict=True)]
-                out.append((len(words), int(gone.sum()), b" ".join(kept), b"\n".join(pieces)))
+                first, last = runs(_IN_WORD[np.frombuffer(raw, np.uint8)])
+                a, e = runs(~gone)
+                pieces = [raw[x:y] for x, y in zip(first[a].tolist(), last[e - 1].tolist(), strict=True)]
+                kept = b" ".join(b" ".join(pieces).split())
+                out.append((len(words), int(gone.sum()), kept, b"\n".join(pieces)))
             n_words, n_removed, kept, clean = zip(*out, strict=True) if out else ((),) * 4
             columns = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())]
             columns += [pa.array(x, pa.binary()).cast(pa.string()) for x in (kept, clean)]
