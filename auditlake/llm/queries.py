@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from .common import Workspace
 from .decontaminate import mark_contamination
+from .labelled import fold
+from .lm_scoring import score_texts
 from .packing import pack
 from .simhash import near_duplicates
 from .substring_dedup import remove_repeats
+from .toxicity import score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +27,11 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), Workspace(spark))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Workspace(spark), parts=5, held_out=0)
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(table(spark, sf_dir, "documents"), Workspace(spark), **tokenizer())
     return pieces.drop("ids")
@@ -55,11 +63,20 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_texts(table(spark, sf_dir, "documents"), fold("doc_id", 7) != 2, Workspace(spark))
+    return scored.select(
+        "doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_toxicity": op2_toxicity,
     "op3_packing": op3_packing,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_substring_dedup": op5_substring_dedup,
+    "op8_lm_scoring": op8_lm_scoring,
 }
 
 ORACLES: dict[str, str] = {
