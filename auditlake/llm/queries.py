@@ -12,6 +12,7 @@ from .decontaminate import mark_contamination
 from .labelled import fold
 from .lm_scoring import score_texts
 from .packing import pack
+from .quality_rules import apply_quality_rules
 from .simhash import near_duplicates
 from .substring_dedup import remove_repeats
 from .toxicity import score_toxicity
@@ -63,6 +64,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return apply_quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Workspace(spark))
+
+
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_texts(table(spark, sf_dir, "documents"), fold("doc_id", 7) != 2, Workspace(spark))
     return scored.select(
@@ -76,6 +81,7 @@ QUERIES: dict[str, Query] = {
     "op3_packing": op3_packing,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_quality_rules": op6_quality_rules,
     "op8_lm_scoring": op8_lm_scoring,
 }
 
