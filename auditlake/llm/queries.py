@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import Workspace
 from .decontaminate import mark_contamination
 from .labelled import fold
+from .licenses import families, scan_licenses
 from .lm_scoring import score_texts
 from .packing import pack
 from .quality_rules import apply_quality_rules
@@ -75,6 +76,18 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = scan_licenses(table(spark, sf_dir, "documents"), Workspace(spark))
+    return scanned.select(
+        "doc_id",
+        "n_paragraphs",
+        F.size("found").cast("long").alias("n_license_paragraphs"),
+        families(F.col("found")).alias("families"),
+        F.coalesce(F.array_max(F.transform("found", lambda x: x["probability"])), F.lit(0.0)).alias("score"),
+        F.exists("found", lambda x: x["confirmed"]).alias("confirmed"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_toxicity": op2_toxicity,
@@ -83,6 +96,7 @@ QUERIES: dict[str, Query] = {
     "op5_substring_dedup": op5_substring_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op8_lm_scoring": op8_lm_scoring,
+    "op9_license_scan": op9_license_scan,
 }
 
 ORACLES: dict[str, str] = {
