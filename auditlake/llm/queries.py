@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import Workspace
 from .decontaminate import mark_contamination
 from .labelled import fold
+from .language_id import identify_languages
 from .licenses import families, scan_licenses
 from .lm_scoring import score_texts
 from .packing import pack
@@ -69,6 +70,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Workspace(spark))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = identify_languages(table(spark, sf_dir, "documents"), parts=3, held_out=1)
+    return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_texts(table(spark, sf_dir, "documents"), fold("doc_id", 7) != 2, Workspace(spark))
     return scored.select(
@@ -95,6 +101,7 @@ QUERIES: dict[str, Query] = {
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_quality_rules": op6_quality_rules,
+    "op7_language_id": op7_language_id,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_license_scan": op9_license_scan,
 }
