@@ -14,6 +14,7 @@ from .language_id import identify_languages
 from .licenses import families, scan_licenses
 from .lm_scoring import score_texts
 from .packing import pack
+from .quality_mil import score_quality
 from .quality_rules import apply_quality_rules
 from .simhash import near_duplicates
 from .substring_dedup import remove_repeats
@@ -94,6 +95,11 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Workspace(spark), parts=4, held_out=2)
+    return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_toxicity": op2_toxicity,
@@ -104,6 +110,7 @@ QUERIES: dict[str, Query] = {
     "op7_language_id": op7_language_id,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_license_scan": op9_license_scan,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLES: dict[str, str] = {
