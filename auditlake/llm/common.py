@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Java character class of the separators of plain words: U+0020, U+0009 to U+000D.
 SPACES = r"[\x20\x09-\x0D]"
@@ -133,9 +134,9 @@ def pick(docs: DataFrame, carry: tuple[str, ...], text_col: str) -> DataFrame:
     return docs.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{text_col}`").cast("string").alias("_text"))
 
 
-def carried(df: DataFrame, carry: tuple[str, ...]) -> str:
-    """The schema, as DDL, of the carried columns."""
-    return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema.fields if f.name in carry)
+def with_fields(df: DataFrame, carry: tuple[str, ...], more: str) -> StructType:
+    """The schema of the carried columns, followed by further ones given as DDL."""
+    return StructType([f for f in df.schema.fields if f.name in carry] + StructType.fromDDL(more).fields)
 
 
 def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:

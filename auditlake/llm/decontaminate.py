@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, covered, gram_hashes, pick, runs, texts_of, winnow, word_codes
+from .common import covered, gram_hashes, pick, runs, texts_of, winnow, with_fields, word_codes
 
 # Lower-cases A-Z; every other ASCII character but digits and a-z separates words.
 _TABLE = bytes(
@@ -127,8 +127,7 @@ def mark_contamination(
     total = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-total // block_bytes))
     base = pick(docs, carry, text_col)
-    out_schema = carried(base, carry)
-    full = f"{out_schema} _text string, n_words long, spans array<struct<start:int,end:int>>, items array<string>"
+    full = with_fields(base, (*carry, "_text"), "n_words long, spans array<struct<start:int,end:int>>, items array<string>")
     out = base.select(
         "*",
         F.lit(0).cast("long").alias("n_words"),

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, pick, sliced
+from .common import pick, sliced, with_fields
 from .labelled import fold
 
 _BLOCK = 32
@@ -260,4 +260,4 @@ def identify_languages(
             columns = [*batch.columns[:-1], pa.array(names, pa.string()), pa.array(score), parts_of.cast(kind)]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "lang_pred", "score", "segments"])
 
-    return base.mapInArrow(label, f"{carried(base, carry)} lang_pred string, score double, segments array<struct<begin:int,until:int,lang:string>>")
+    return base.mapInArrow(label, with_fields(base, carry, "lang_pred string, score double, segments array<struct<begin:int,until:int,lang:string>>"))

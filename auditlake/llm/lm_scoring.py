@@ -30,11 +30,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, carried, mix, pick, sliced, texts_of
+from .common import Workspace, mix, pick, sliced, texts_of, with_fields
 
 _BASE = 1.5
 _LEVELS = 64
 _SEGMENTS = 64
+_MOST_BLOCKS = 1 << 20
 _DISCOUNT = 0.75
 _MAGNITUDES = 40
 _BINS = 64
@@ -147,17 +148,19 @@ class Model:
     n: int
     v: int
     docs: int
+    mask: np.uint64  # what is kept of a pair's hash
     weights: np.ndarray  # for each magnitude of the context's count
 
     def estimates(self, codes: np.ndarray, before: np.ndarray, seen: int = 0) -> tuple[np.ndarray, ...]:
         """Context's count, pair estimate and word estimate of each token; ``seen`` occurrences are left out."""
-        exact = self.head.find(codes)
+        keys = mix(codes)
+        exact = self.head.find(keys)
         count = exact.astype(float)
         rare = np.flatnonzero(exact == 0)
-        count[rare] = COUNT_OF[self.bloom.levels(mix(codes[rare]))]
+        count[rare] = COUNT_OF[self.bloom.levels(keys[rare])]
         context = np.concatenate(([0.0], count[:-1]))
         context[before == START] = self.docs
-        pair = np.minimum(COUNT_OF[self.bloom.levels(pair_keys(before, codes))], np.minimum(count, context))
+        pair = np.minimum(COUNT_OF[self.bloom.levels(pair_keys(before, codes) & self.mask)], np.minimum(count, context))
         count, context, pair = (np.maximum(x - seen, 0) for x in (count, context, pair))
         by_pair = np.where(context > 0, pair / np.maximum(context, 1), 0)
         n, v = max(self.n, 1), self.v
@@ -183,14 +186,13 @@ def _gather(train: DataFrame, blocks: int) -> DataFrame:
             rows = []
             for kind, keys in ((1, mix(codes)), (2, pair_keys(before, codes))):
                 if kind == 2:
-                    # What names the block and 40 more bits are enough here: the filter errs more often.
-                    keys = keys >> np.uint64(64 - _BLOCK_BITS - 40)
+                    keys = keys & pair_mask(blocks)
                 keys, counts = np.unique(keys, return_counts=True)
-                block = _block(keys, kind, blocks)
+                block = (keys >> np.uint64(65 - blocks.bit_length())).astype(np.int64)
                 edges = np.flatnonzero(np.diff(block, prepend=-1))
                 for a, e in zip(edges.tolist(), [*edges[1:].tolist(), len(block)], strict=True):
                     own = keys[a:e]
-                    raw = own.tobytes() if kind == 1 else own.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+                    raw = own.tobytes() if kind == 1 else (own >> _spare(blocks)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
                     rows.append((kind, int(block[a]), raw, counts[a:e].astype(np.uint32).tobytes()))
             kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
             yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["kind", "block", "keys", "counts"])
@@ -198,13 +200,13 @@ def _gather(train: DataFrame, blocks: int) -> DataFrame:
     return train.select("_text").mapInArrow(scan, "kind int, block int, keys binary, counts binary")
 
 
-_BLOCK_BITS = 18
+def _spare(blocks: int) -> np.uint64:
+    return np.uint64(65 - blocks.bit_length() - 40)
 
 
-def _block(keys: np.ndarray, kind: int, blocks: int) -> np.ndarray:
-    """The block of sorted keys: runs of hashes of one length, within one segment."""
-    lead = keys >> np.uint64(64 - _BLOCK_BITS) if kind == 1 else keys >> np.uint64(40)
-    return (lead >> np.uint64(_BLOCK_BITS - blocks.bit_length() + 1)).astype(np.int64)
+def pair_mask(blocks: int) -> np.uint64:
+    """Of a pair's hash the block and 40 bits are kept: the filter errs more often than that."""
+    return ~((np.uint64(1) << _spare(blocks)) - np.uint64(1))
 
 
 def _added(frame: pd.DataFrame, kind: int, blocks: int) -> tuple[np.ndarray, np.ndarray]:
@@ -216,7 +218,7 @@ def _added(frame: pd.DataFrame, kind: int, blocks: int) -> tuple[np.ndarray, np.
         raw = np.frombuffer(b"".join(frame["keys"]), np.uint8).reshape(-1, 5)
         wide = np.zeros((len(raw), 8), np.uint8)
         wide[:, :5] = raw
-        keys = wide.view(np.uint64).ravel()
+        keys = (wide.view(np.uint64).ravel() << _spare(blocks)) | (np.uint64(block) << np.uint64(65 - blocks.bit_length()))
     counts = np.concatenate([np.frombuffer(x, np.uint32) for x in frame["counts"]]).astype(np.int64)
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
@@ -236,7 +238,7 @@ def build_model(
     """The model of the texts in ``_text``, and the table of exact word counts (``code``, ``count``)."""
     size = train.agg(F.count("*").alias("docs"), F.sum(F.octet_length("_text")).alias("bytes")).first()
     blocks = _SEGMENTS
-    while blocks < 1 << _BLOCK_BITS and (size["bytes"] or 0) / 6 > blocks * pairs_per_block:
+    while blocks < _MOST_BLOCKS and (size["bytes"] or 0) / 6 > blocks * pairs_per_block:
         blocks *= 2
     blobs = workspace.write(_gather(train, blocks), "blobs")
 
@@ -259,7 +261,6 @@ def build_model(
 
     def fill_pairs(frame: pd.DataFrame) -> pd.DataFrame:
         keys, counts = _added(frame, 2, blocks)
-        keys <<= np.uint64(64 - _BLOCK_BITS - 40)
         segment = int(keys[0] >> np.uint64(58)) if len(keys) else 0
         return pd.DataFrame({"segment": [segment], "bits": [LogBloom.fill(keys, counts, own_bits, probes).tobytes()]})
 
@@ -299,7 +300,7 @@ def build_model(
         least, have = step, have + steps[step]
     head = words.where(F.floor(F.log2("count")) >= least).toArrow()
     table = HeadTable(head["code"].to_numpy().view(np.uint64), head["count"].to_numpy())
-    model = Model(LogBloom(segments, probes), table, n, v, size["docs"], np.zeros(_MAGNITUDES))
+    model = Model(LogBloom(segments, probes), table, n, v, size["docs"], pair_mask(blocks), np.zeros(_MAGNITUDES))
     model.weights = _fit_weights(train, model, fit_documents)
     return model, words
 
@@ -361,7 +362,7 @@ def score_texts(
     model, words = build_model(rows.where("_train").select("_text"), workspace, **options)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     base = pick(rows, carry, "_text")
-    schema = f"{carried(base, carry)} row long, n_tokens long, known long, logs double, score double, rare array<long>"
+    schema = with_fields(base, carry, "row long, n_tokens long, known long, logs double, score double, rare array<long>")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40

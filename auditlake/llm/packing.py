@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, carried, pick, sliced
+from .common import Workspace, pick, sliced, with_fields
 
 #: Sequences of full pieces are numbered from here, apart from those of the plan.
 FULL_BASE = 1 << 40
@@ -193,7 +193,7 @@ def cut_pieces(
     ``part`` and ``number`` count the pieces of a length in their task.
     """
     base = pick(docs, carry, text_col)
-    schema = f"{carried(base, carry)} start long, length long, ids binary, ids_crc32 long, doc_tokens long, part long, number long"
+    schema = with_fields(base, carry, "start long, length long, ids binary, ids_crc32 long, doc_tokens long, part long, number long")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = encoder_for(tokenizer_path, ranks_path, pattern), TaskContext.get().partitionId()

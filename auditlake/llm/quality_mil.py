@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, carried, mix, pick, sliced, texts_of
+from .common import Workspace, mix, pick, sliced, texts_of, with_fields
 from .labelled import labelled_sample, sigmoid
 
 _ENDINGS = 32
@@ -224,4 +224,4 @@ def score_quality(
             columns = [*batch.columns[:-1], pa.array(s), pa.array((s >= threshold).astype(np.int32)), pa.array(count.astype(np.int64)), weights]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "score", "predicted", "n_passages", "attention"])
 
-    return base_docs.mapInArrow(score, f"{carried(base_docs, carry)} score double, predicted int, n_passages long, attention array<float>")
+    return base_docs.mapInArrow(score, with_fields(base_docs, carry, "score double, predicted int, n_passages long, attention array<float>"))

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, carried, pick, texts_of
+from .common import Workspace, pick, texts_of, with_fields
 from .components import connected_components
 
 _FAN = 8
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame, *, text_col: str = "text", carry: tuple[str, .
             fp = pa.array([simhash(t, shingle) for t in texts_of(batch.column("_text"))], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], fp], [*batch.schema.names[:-1], "fp"])
 
-    return base.mapInArrow(scan, f"{carried(base, carry)} fp long")
+    return base.mapInArrow(scan, with_fields(base, carry, "fp long"))
 
 
 def gray_rank(x: Column) -> Column:
@@ -236,20 +236,21 @@ def near_duplicates(
     *,
     text_col: str = "text",
     id_col: str = "doc_id",
+    carry: tuple[str, ...] = (),
     max_distance: int = 3,
     shingle: int = 3,
     group_rows: int = 16_384,
 ) -> DataFrame:
     """Each document's id (as ``doc_id``), fingerprint and component.
 
-    Returns ``doc_id``, ``fingerprint`` (16 lowercase hexadecimal digits) and ``component_id``: the
+    Returns ``doc_id``, ``fingerprint`` (16 lowercase hexadecimal digits), ``component_id`` and the columns ``carry``.  The component is the
     smallest id among all documents that links lead to, itself included.  One row for each
     input row, repeated rows too.  Null, empty and wordless texts have fingerprint zero and are
     linked like any other.  A row with a null id is linked, but gives no component its
     id; a component without ids has a null one.  Only the named columns are read.
     """
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    prints = workspace.write(fingerprints(rows, shingle=shingle), "prints")
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *[F.col(f"`{c}`") for c in carry])
+    prints = workspace.write(fingerprints(rows, carry=("doc_id", *carry), shingle=shingle), "prints")
     codes = workspace.write(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "codes")
     links = near_links(codes, workspace, max_distance=max_distance, group_rows=group_rows)
     roots = workspace.write(connected_components(links, workspace), "roots")
@@ -258,5 +259,5 @@ def near_duplicates(
     least = workspace.write(placed.groupBy("root").agg(F.min("first").alias("component_id")), "least")
     named = workspace.write(placed.join(least, "root").select("fp", "component_id"), "named")
     return prints.join(named, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *carry
     )

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, carried, covered, gram_hashes, mix, pick, runs, texts_of, winnow, word_codes, word_crcs
+from .common import Workspace, covered, gram_hashes, mix, pick, runs, texts_of, winnow, with_fields, word_codes, word_crcs
 
 #: Words of an anchor phrase; a phrase is held as two numbers of four words each.
 GRAM = 8
@@ -303,7 +303,7 @@ def remove_repeats(
     gathered = workspace.write(gathered, "gathered")
     base = _with_key(pick(docs, carry, text_col))
     joined = base.join(gathered, ["k1", "k2"], "left").select(*[F.col(f"`{c}`") for c in carry], "_text", "spans")
-    schema = f"{carried(base, carry)} n_words long, n_removed long, kept string, clean_text string"
+    schema = with_fields(base, carry, "n_words long, n_removed long, kept string, clean_text string")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

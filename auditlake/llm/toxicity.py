@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, carried, mix, pick, sliced, texts_of, word_codes
+from .common import Workspace, mix, pick, sliced, texts_of, with_fields, word_codes
 from .decontaminate import match_words
 from .labelled import fold, labelled_sample, logistic, sigmoid
 
@@ -189,7 +189,7 @@ def score_toxicity(
             columns = [*batch.columns[:-1], pa.array(p), pa.array((p >= threshold).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "score", "predicted"])
 
-    return base_docs.mapInArrow(score, f"{carried(base_docs, carry)} score double, predicted int")
+    return base_docs.mapInArrow(score, with_fields(base_docs, carry, "score double, predicted int"))
 
 
 __all__ = ["KneserNeyPair", "fold", "score_toxicity"]
