@@ -1,8 +1,96 @@
-"""Corpus pipeline: toxicity, near-duplicates, repeated passages, benchmark passages, packing."""
+"""Corpus pipeline: toxicity, near-duplicates, repeated passages, benchmark passages, packing.
 
-STAGES: list = []
+Each stage takes the documents that the stage before it kept, all of them, as a table.  Stages
+are run one after another, each result written before the next stage starts: the tables
+that a stage wrote for itself are deleted when the next one starts.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from auditlake.llm.common import Workspace
+from auditlake.llm.decontaminate import mark_contamination
+from auditlake.llm.packing import pack
+from auditlake.llm.queries import table, tokenizer
+from auditlake.llm.simhash import near_duplicates
+from auditlake.llm.substring_dedup import remove_repeats
+from auditlake.llm.toxicity import score_toxicity
+
+#: SQL cannot express the first stage's trained model or the last one's packing.
 ORACLE_SQL = None
 
+_last: list[Workspace] = []
+
+
+def _workspace(spark: SparkSession) -> Workspace:
+    while _last:
+        _last.pop().close()
+    _last.append(Workspace(spark))
+    return _last[0]
+
+
+def _whole(docs: DataFrame) -> DataFrame:
+    """The row as one column beside what operators read, so that no names clash."""
+    return docs.select(F.struct("*").alias("row"), "doc_id", "text")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not predicted to be toxic."""
+    scored = score_toxicity(_whole(docs), table(spark, sf_dir, "labels"), _workspace(spark), carry=("row",))
+    return scored.where("predicted = 0").select("row.*")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest id.
+
+    Repeated rows of it count as one.  A group without any id keeps one document for each fingerprint.
+    """
+    key = F.xxhash64("text").alias("_key")
+    workspace = _workspace(spark)
+    found = near_duplicates(docs.select("doc_id", "text", key), workspace, carry=("_key",))
+    alone = F.when(F.col("component_id").isNull(), F.col("fingerprint"))
+    chosen = found.where("doc_id <=> component_id").groupBy("component_id", alone.alias("_alone")).agg(F.min("_key").alias("_key"))
+    chosen = workspace.write(chosen.select(F.col("component_id").alias("_id"), F.col("_key").alias("_wanted")), "chosen")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_wanted"))
+    return docs.withColumn("_key", key).join(chosen, same, "left_semi").dropDuplicates(["doc_id", "_key"]).drop("_key")
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that repeat; a document that loses nothing is unchanged."""
+    cut = remove_repeats(_whole(docs), _workspace(spark), carry=("row",))
+    changed = {"text": F.col("clean_text"), "n_chars": F.coalesce(F.length("clean_text"), F.lit(0))}
+    columns = [
+        F.when(F.col("n_removed") > 0, changed[c].cast(kind)).otherwise(F.col(f"row.`{c}`")).alias(c) if c in changed else F.col(f"row.`{c}`")
+        for c, kind in docs.dtypes
+    ]
+    return cut.select(columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share no window of words with a benchmark item."""
+    marked = mark_contamination(_whole(docs), table(spark, sf_dir, "benchmark"), carry=("row",))
+    return marked.where(F.size("spans") == 0).select("row.*")
+
+
+def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token ids, each with its sequence and offset."""
+    return pack(docs, _workspace(spark), **tokenizer())
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("substring_dedup", drop_repeats),
+    ("benchmark_decontamination", drop_contaminated),
+    ("packing", pack_documents),
+]
+
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; what each stage kept is a table in the shared folder."""
+    docs, kept = table(spark, sf_dir, "documents"), Workspace(spark)
+    for name, stage in STAGES[:-1]:
+        docs = kept.write(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
