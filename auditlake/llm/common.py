@@ -38,7 +38,7 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession) -> None:
-        self.spark = spark
+        self.spark, self._tables = spark, 0
         self.root = f"{shared_dir(spark)}/auditlake-{uuid.uuid4().hex}"
         path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
         self._path, self._fs = path, path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -46,7 +46,8 @@ class Workspace:
         self._fs.deleteOnExit(path)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
+        self._tables += 1
+        path = f"{self.root}/{self._tables}-{name}"
         df.write.parquet(path, compression="zstd")
         return self.spark.read.schema(df.schema).parquet(path)
 
