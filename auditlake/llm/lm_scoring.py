@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -149,7 +149,6 @@ class Model:
     v: int
     docs: int
     mask: np.uint64  # what is kept of a pair's hash
-    weights: np.ndarray  # for each magnitude of the context's count
 
     def estimates(self, codes: np.ndarray, before: np.ndarray, seen: int = 0) -> tuple[np.ndarray, ...]:
         """Context's count, pair estimate and word estimate of each token; ``seen`` occurrences are left out."""
@@ -172,16 +171,18 @@ class Model:
     def magnitude(context: np.ndarray) -> np.ndarray:
         return np.minimum(np.floor(np.log2(context + 1)), _MAGNITUDES - 1).astype(np.int64)
 
-    def log10(self, context: np.ndarray, by_pair: np.ndarray, by_word: np.ndarray) -> np.ndarray:
-        weight = self.weights[self.magnitude(context)]
-        return np.log10(weight * by_pair + (1 - weight) * by_word)
+
+def log10(weights: np.ndarray, context: np.ndarray, by_pair: np.ndarray, by_word: np.ndarray) -> np.ndarray:
+    """Interpolated probabilities; ``weights`` are for each magnitude of the context's count."""
+    weight = weights[Model.magnitude(context)]
+    return np.log10(weight * by_pair + (1 - weight) * by_word)
 
 
 def _gather(train: DataFrame, blocks: int) -> DataFrame:
     """Blobs of n-gram hashes and counts by kind (1: words, 8 bytes each; 2: pairs, 5) and block."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "_text", 16 << 20):
+        for batch in sliced(batches, "_text", 8 << 20):
             codes, before, _ = tokens(texts_of(batch.column("_text")))
             rows = []
             for kind, keys in ((1, mix(codes)), (2, pair_keys(before, codes))):
@@ -234,8 +235,8 @@ def build_model(
     head_words: int = 1 << 20,
     pairs_per_block: int = 4_000_000,
     fit_documents: int = 2_000,
-) -> tuple[Model, DataFrame]:
-    """The model of the texts in ``_text``, and the table of exact word counts (``code``, ``count``)."""
+) -> tuple[Broadcast, np.ndarray, DataFrame, int, int]:
+    """Of the texts in ``_text``: the model, its weights, the table of exact word counts (``code``, ``count``), their sum and number."""
     size = train.agg(F.count("*").alias("docs"), F.sum(F.octet_length("_text")).alias("bytes")).first()
     blocks = _SEGMENTS
     while blocks < _MOST_BLOCKS and (size["bytes"] or 0) / 6 > blocks * pairs_per_block:
@@ -300,22 +301,21 @@ def build_model(
         least, have = step, have + steps[step]
     head = words.where(F.floor(F.log2("count")) >= least).toArrow()
     table = HeadTable(head["code"].to_numpy().view(np.uint64), head["count"].to_numpy())
-    model = Model(LogBloom(segments, probes), table, n, v, size["docs"], pair_mask(blocks), np.zeros(_MAGNITUDES))
-    model.weights = _fit_weights(train, model, fit_documents)
-    return model, words
+    model = Model(LogBloom(segments, probes), table, n, v, size["docs"], pair_mask(blocks))
+    shared = train.sparkSession.sparkContext.broadcast(model)
+    return shared, _fit_weights(train, shared, size["docs"], fit_documents), words, n, v
 
 
-def _fit_weights(train: DataFrame, model: Model, documents: int) -> np.ndarray:
+def _fit_weights(train: DataFrame, shared: Broadcast, texts: int, documents: int) -> np.ndarray:
     """Weights of the pair estimates by deleted interpolation on about ``documents`` training texts.
 
     Each occurrence is judged by counts without itself.  Tasks report, for each magnitude
     of the context's count, how often the two estimates stand in which proportion.
     """
-    shared = train.sparkSession.sparkContext.broadcast(model)
-    most = max(1, -(-model.docs // documents))
+    most = max(1, -(-texts // documents))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "_text"):
+        for batch in sliced(batches, "_text", 2 << 20):
             codes, before, _ = tokens(texts_of(batch.column("_text")))
             model = shared.value
             _, context, by_pair, by_word = model.estimates(codes, before, seen=1)
@@ -359,17 +359,16 @@ def score_texts(
     score is that of a one-word vocabulary.  Repeated rows count as often as they come.
     """
     rows = docs.withColumn("_train", train).select(*[F.col(f"`{c}`") for c in carry], F.coalesce("_train", F.lit(False)).alias("_train"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text"))
-    model, words = build_model(rows.where("_train").select("_text"), workspace, **options)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, weights, words, n, v = build_model(rows.where("_train").select("_text"), workspace, **options)
     base = pick(rows, carry, "_text")
     schema = with_fields(base, carry, "row long, n_tokens long, known long, logs double, score double, rare array<long>")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
-        for batch in sliced(batches, "_text"):
+        for batch in sliced(batches, "_text", 2 << 20):
             codes, before, starts = tokens(texts_of(batch.column("_text")))
             exact, *parts = shared.value.estimates(codes, before)
-            sums = [np.add.reduceat(x, starts) for x in (exact > 0, np.log10(exact + 1.0), shared.value.log10(*parts))]
+            sums = [np.add.reduceat(x, starts) for x in (exact > 0, np.log10(exact + 1.0), log10(weights, *parts))]
             rare = np.flatnonzero(exact == 0)
             edges = np.searchsorted(rare, [*starts, len(codes)]).astype(np.int32)
             columns = [
@@ -387,12 +386,12 @@ def score_texts(
     rare = scored.select("row", F.explode("rare").alias("code")).join(words, "code")
     rare = rare.groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("count") + F.lit(1.0))).alias("logs_more"))
     out = scored.drop("rare").join(rare, "row", "left")
-    whole = float(np.log10(model.n + model.v + 1))
+    whole = float(np.log10(n + v + 1))
     return out.select(
         *[F.col(f"`{c}`") for c in carry],
         "n_tokens",
         (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        F.lit(model.n).cast("long").alias("train_tokens"),
+        F.lit(n).cast("long").alias("train_tokens"),
         (F.col("logs") + F.coalesce("logs_more", F.lit(0.0)) - F.col("n_tokens") * F.lit(whole)).alias("base_score"),
         "score",
     )
