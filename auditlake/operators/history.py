@@ -85,11 +85,9 @@ def commit_concerns(commit_files: DataFrame) -> DataFrame:
 
 def split_verb(name: Column, verbs: Sequence[str] = VERBS) -> Column:
     """The first verb in order that leads the name with a capital after it, and the rest; null if none does."""
-    out = F.lit(None)
-    for v in reversed(verbs):
-        hit = name.startswith(v) & F.substring(name, len(v) + 1, 1).rlike("[A-Z]")
-        out = F.when(hit, F.struct(F.lit(v).alias("verb"), F.substring(name, len(v) + 1, 1 << 20).alias("suffix"))).otherwise(out)
-    return out
+    form = rf"^({'|'.join(verbs)})([A-Z][\w$]*)\z"
+    verb = F.regexp_extract(name, form, 1)
+    return F.when(verb != "", F.struct(verb.alias("verb"), F.regexp_extract(name, form, 2).alias("suffix")))
 
 
 def naming_drift(names: DataFrame, verb: str, suffix: str, *, least: int = 3, keys: Sequence[str] = ()) -> DataFrame:

@@ -187,14 +187,18 @@ def exact_dups(spark, sf_dir):
     return similarity.exact_groups(docs, "t", "doc_id")
 
 
+_PLAIN_SQL = "lower(regexp_replace(text, '[^\\x20-\\x7E]', '?', 'g'))"
+
+
 @query(
-    "WITH d AS (SELECT text AS t, min(doc_id) AS k, length(text) AS n FROM documents WHERE length(text) BETWEEN 65 AND 500 AND strlen(text) = length(text) GROUP BY 1) "
+    f"WITH d AS (SELECT {_PLAIN_SQL} AS t, min(1000 * conv_id + turn) AS k, length({_PLAIN_SQL}) AS n FROM conversations GROUP BY 1 HAVING n >= 65) "
     "SELECT least(a.k, b.k) AS a, greatest(a.k, b.k) AS b, levenshtein(a.t, b.t) AS distance FROM d a JOIN d b ON a.k < b.k AND least(a.n, b.n) > 0.9 * greatest(a.n, b.n) "
     "WHERE 1 - levenshtein(a.t, b.t) / greatest(a.n, b.n) > 0.92"
 )
 def near_dup_pairs(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").where(F.octet_length("text") == F.length("text"))
-    return similarity.near_pairs(docs, "doc_id", "text", most=500).select("a", "b", "distance")
+    plain = F.lower(F.regexp_replace("text", r"[^\x20-\x7E]", "?"))
+    turns = read(spark, sf_dir, "conversations").select((1000 * F.col("conv_id") + F.col("turn")).alias("k"), plain.alias("t"))
+    return similarity.near_pairs(turns, "k", "t").select("a", "b", "distance")
 
 
 KNOWN = ["almond", "antique", "azure", "beige", "bisque", "black", "blue", "brown", "cream", "green", "steel", "copper", "widget", "gadget", "rotor", "flange", "bolt", "valve"]
@@ -352,13 +356,13 @@ def session_rollup(spark, sf_dir):
 
 
 @query(
-    f"WITH {_CALLS_SQL}, c AS (SELECT * FROM calls WHERE seq % 20 = 0), {_ROLL_SQL}, w AS (SELECT DISTINCT session, file_path FROM c WHERE action = 'write'), "
+    f"WITH {_CALLS_SQL}, c AS (SELECT * REPLACE (CAST(session AS VARCHAR) || strftime(ts, '-%Y-%m-%d') AS session) FROM calls), {_ROLL_SQL}, w AS (SELECT DISTINCT session, file_path FROM c WHERE action = 'write'), "
     "x AS (SELECT file_path FROM w GROUP BY 1 HAVING count(DISTINCT session) >= 2), h AS (SELECT DISTINCT session FROM w JOIN x USING (file_path)) "
     "SELECT session, calls, CASE WHEN calls > 3 AND files_written = 0 THEN 'SILENT_FAIL' WHEN h.session IS NOT NULL THEN 'CONFLICT' ELSE 'OK' END AS status FROM roll LEFT JOIN h USING (session)"
 )
 def silent_fail(spark, sf_dir):
-    # One in twenty events is the surrogate's definition of a short session.
-    calls = event_calls(spark, sf_dir).where("seq % 20 = 0")
+    # A user's day is a session here.
+    calls = event_calls(spark, sf_dir).withColumn("session", F.concat(F.col("session").cast("string"), F.date_format("ts", "-yyyy-MM-dd")))
     return sessions.with_conflicts(sessions.rollup(calls), calls).select("session", "calls", "status")
 
 
@@ -530,11 +534,11 @@ def semantic_first_match(spark, sf_dir):
 
 
 @query(
-    "WITH v AS (SELECT DISTINCT unnest(regexp_extract_all(text, '(?:[A-Za-z_]+)[=:] ?([A-Za-z0-9_/+-]{8,})', 1)) AS v FROM documents), "
+    "WITH v AS (SELECT DISTINCT unnest(regexp_extract_all(text, '(?:[A-Za-z_]+) ?[=:] ?\"?([A-Za-z0-9_/+-]{8,})', 1)) AS v FROM documents), "
     "c AS (SELECT v, x, count(*) AS n FROM (SELECT v, unnest(string_split(v, '')) AS x FROM v) GROUP BY 1, 2) SELECT v AS value, round(-sum(n / length(v) * log2(n / length(v))), 6) AS entropy FROM c GROUP BY v"
 )
 def entropy_tokens(spark, sf_dir):
-    found = F.regexp_extract_all("text", F.lit(r"(?:[A-Za-z_]+)[=:] ?([A-Za-z0-9_/+-]{8,})"), F.lit(1))
+    found = F.regexp_extract_all("text", F.lit(r'(?:[A-Za-z_]+) ?[=:] ?"?([A-Za-z0-9_/+-]{8,})'), F.lit(1))
     values = read(spark, sf_dir, "documents").select(F.explode(found).alias("value")).distinct()
     return values.select("value", r6(X.entropy(F.col("value"))).alias("entropy"))
 
