@@ -159,8 +159,8 @@ def cycles(edges: pd.DataFrame) -> pd.DataFrame:
 def communities(edges: pd.DataFrame) -> pd.DataFrame:
     """One level of greedy modularity moves, at most ten passes, nodes in the order they appear.
 
-    For ``applyInPandas`` on the module graph of one repository.  A move's gain is e/m - total * k / (2 m m),
-    the node's own community included as it stands.
+    For ``applyInPandas`` on the module graph of one repository.  A move's gain is e/m - total * k / (2 m m);
+    staying is no choice where another community gains.
     """
     weight: dict[str, dict[str, float]] = {}
     for row in edges.sort_values("ord").itertuples(index=False):
@@ -180,7 +180,7 @@ def communities(edges: pd.DataFrame) -> pd.DataFrame:
             best, gain = at[n], 0.0
             for c, e in into.items():
                 g = e / m - total[c] * degree[n] / (2 * m * m)
-                if g > gain:
+                if c != at[n] and g > gain:
                     best, gain = c, g
             if best != at[n]:
                 total[at[n]] -= degree[n]
