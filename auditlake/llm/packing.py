@@ -138,7 +138,7 @@ class Slots:
         planned = np.flatnonzero(numbers < self.first[lengths])
         order = planned[np.argsort(lengths[planned], kind="stable")]
         edges = np.flatnonzero(np.diff(lengths[order], prepend=-1))
-        for a, e in zip(edges, [*edges[1:], len(order)], strict=True):
+        for a, e in zip(edges, np.append(edges, len(order))[1:], strict=True):
             own = order[a:e]
             table = self.at[int(lengths[own[0]])]
             place = np.searchsorted(table[:, 0], numbers[own], side="right") - 1
