@@ -19,7 +19,7 @@ import math
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,8 +61,11 @@ def _variants(spark: SparkSession) -> DataFrame:
     return base.select("family", F.expr(kept).alias("w"), "v")
 
 
-def train_license_model(docs: DataFrame, workspace: Workspace, *, text_col: str = "text", ordinary: int = 4_000) -> LicenseModel:
-    """``ordinary`` bounds the paragraphs of the corpus that stand for text without licences."""
+def train_license_model(docs: DataFrame, workspace: Workspace, *, text_col: str = "text", ordinary: int = 4_000, everyday_share: float = 0.005) -> LicenseModel:
+    """``ordinary`` bounds the paragraphs of the corpus that stand for text without licences.
+
+    Words in over ``everyday_share`` of these are everyday words.
+    """
     spark = docs.sparkSession
     positive = _variants(spark)
     # A paragraph each of about `ordinary` documents, drawn by hash; those that speak of licences are left out.
@@ -85,15 +88,19 @@ def train_license_model(docs: DataFrame, workspace: Workspace, *, text_col: str
         weight = F.when(F.col("family") == f, F.lit(100.0 * share)).otherwise(weight)
     rows = workspace.write(rows.select("grams", "w", "v", index.alias("label"), weight.alias("weight")), "training")
     counter = CountVectorizer(inputCol="grams", outputCol="features", binary=True, minDF=2, vocabSize=1 << 14)
-    counter = counter.fit(rows.where("label > 0"))
+    terms = counter.fit(rows.where("label > 0")).vocabulary
+    # N-grams made of everyday words alone tell nothing; each that stays has a rare word, its cue.
+    words = sorted({x for g in terms for x in g.split(" ")})
+    common = rows.where("label = 0").select(F.explode(F.array_distinct("w")).alias("x")).where(F.col("x").isin(words))
+    often = {r["x"]: r["count"] for r in common.groupBy("x").count().collect()}  # at most a row for each word of the wording
+    everyday = max(2, everyday_share * rows.where("label = 0").count())
+    terms = [g for g in terms if min(often.get(x, 0) for x in g.split(" ")) <= everyday]
+    counter = CountVectorizerModel.from_vocabulary(terms, inputCol="grams", outputCol="features").setBinary(True)
     ready = counter.transform(rows)
     fit = LogisticRegression(family="multinomial", weightCol="weight", regParam=0.002, elasticNetParam=0.9, maxIter=80)
     fit = fit.fit(ready.where("v % 4 <> 3"))
     matrix, constant = fit.coefficientMatrix.toArray(), list(map(float, fit.interceptVector.toArray()))
-    weights = {g: [float(x) for x in matrix[:, i]] for i, g in enumerate(counter.vocabulary) if abs(matrix[:, i]).max() > 1e-4}
-    words = sorted({x for g in weights for x in g.split(" ")})
-    common = rows.where("label = 0").select(F.explode(F.array_distinct("w")).alias("x")).where(F.col("x").isin(words))
-    often = {r["x"]: r["count"] for r in common.groupBy("x").count().collect()}  # at most a row for each word of the wording
+    weights = {g: [float(x) for x in matrix[:, i]] for i, g in enumerate(terms) if abs(matrix[:, i]).max() > 1e-4}
     cues = sorted({min(g.split(" "), key=lambda x: (often.get(x, 0), x)) for g in weights})
     model = LicenseModel(families, constant, weights, 1.0, cues)
     logits = ready.where("v % 4 = 3").select("label", "weight", F.expr(_logits(model, "grams")).alias("z"))
