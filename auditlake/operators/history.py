@@ -7,15 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.fixed_values import VERBS
 from .lines import first_per
 
-#: Leading verbs of function names, tried in this order.
-VERBS = [
-    "get", "set", "fetch", "load", "read", "find", "query", "retrieve", "lookup", "create", "make", "build", "generate", "add", "insert", "update", "modify", "edit", "change", "save",
-    "store", "write", "delete", "remove", "destroy", "clear", "handle", "process", "parse", "format", "render", "show", "display", "validate", "check", "verify", "is", "has", "init",
-    "start", "stop", "run", "execute", "send", "post", "compute", "calculate", "convert", "transform", "map", "filter", "sort", "merge", "resolve", "apply", "register",
-]
-
 
 def churn(commit_files: DataFrame, keys: Sequence[str] = ("path",)) -> DataFrame:
     """``commits``, distinct ``authors`` and changed lines of each file, from (sha, path, author, lines)."""

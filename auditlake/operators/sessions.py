@@ -7,14 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: US dollars for a million input and output tokens by model prefix, in order, and for any other model.
-PRICES = [("claude-opus-4", 15.0, 75.0), ("claude-sonnet-4", 3.0, 15.0), ("claude-haiku", 0.8, 4.0), ("gpt-4o-mini", 0.15, 0.6), ("gpt-4o", 2.5, 10.0)]
-OTHER_PRICE = (3.0, 15.0)
+from ..functions.fixed_values import LOOP_PRICES, OTHER_PRICE, SUBSCRIPTION_PRICES
 
 #: What a tool does, by lower-case name.
 TOOL_ACTIONS = {
-    "write": "write", "edit": "write", "multiedit": "write", "notebookedit": "write", "str_replace": "write", "create": "write",
-    "read": "read", "view": "read", "glob": "search", "grep": "search", "bash": "shell", "shell": "shell", "exec": "shell", "webfetch": "fetch", "websearch": "fetch",
+    "write": "write", "write_to_file": "write", "edit": "write", "edit_file": "write", "multiedit": "write", "notebookedit": "write", "str_replace": "write", "create": "write",
+    "read": "read", "read_file": "read", "view": "read", "glob": "search", "grep": "search", "bash": "shell", "shell": "shell", "execute_command": "shell", "webfetch": "fetch", "websearch": "fetch",
 }
 
 
@@ -89,7 +87,7 @@ def with_iteration(events: DataFrame, test: Column, *, session: str = "session",
     return events.withColumn("iter_no", F.greatest(F.lit(1), F.sum(test.cast("int")).over(upto)).cast("long"))
 
 
-def price(model: Column, part: int, prices: Sequence[tuple] = PRICES, other: tuple = OTHER_PRICE) -> Column:
+def price(model: Column, part: int, prices: Sequence[tuple] = SUBSCRIPTION_PRICES, other: tuple = OTHER_PRICE) -> Column:
     """Price of a model's input (0) or output (1) tokens: exact name, else the first prefix, else ``other``."""
     out = F.lit(other[part])
     for row in reversed(prices):
@@ -99,6 +97,17 @@ def price(model: Column, part: int, prices: Sequence[tuple] = PRICES, other: tup
     return out
 
 
+def loop_cost(model: Column, in_tokens: Column, out_tokens: Column) -> Column:
+    """Cost of an iteration: the first name in order that the model's holds."""
+    parts = []
+    for part in (0, 1):
+        out = F.lit(OTHER_PRICE[part])
+        for row in reversed(LOOP_PRICES):
+            out = F.when(F.contains(model, F.lit(row[0])), F.lit(row[part + 1])).otherwise(out)
+        parts.append(out)
+    return (in_tokens * parts[0] + out_tokens * parts[1]) / 1e6
+
+
 def cost(usage: DataFrame, *, model: str = "model") -> DataFrame:
     """Tokens and cost by model, with a row of totals (model null)."""
     money = (F.col("in_tokens") * price(F.col(model), 0) + F.col("out_tokens") * price(F.col(model), 1)) / 1e6

@@ -10,14 +10,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
+from ..functions.fixed_values import CONVENTIONS, RETIRED_MODELS
 from ..operators import lines, sessions
 from .audit import CODE, is_agent_file, is_code, issues_of
 
 #: Commands that run tests, and what their output says, in the order it is asked.
-TEST_COMMANDS = r"\b(npm (run )?test|yarn test|pnpm test|vitest|jest|mocha|pytest|go test|cargo test|node --test)\b"
+TEST_COMMANDS = r"\b(jest|vitest|pytest|make\s+test|cargo\s+test)\b|npm\s+(run\s+)?test\b|(yarn|pnpm)\s+test\b|node\s+--test\b|\bgo\s+test\b|\bmocha\b"
 OUTCOMES = [
-    ("fail", r"(?i)\b[1-9]\d* (failed|failing)\b"), ("fail", r"(?i)\bFAIL\b"), ("pass", r"(?i)\b[1-9]\d* (passed|passing)\b"), ("pass", r"(?i)\b0 (failed|failing)\b"),
-    ("fail", r"(?i)\b(error|exception|traceback)\b"), ("fail", r"(?i)exit code [1-9]"), ("pass", r"(?i)\ball tests passed\b"), ("pass", r"(?i)\bok\b"), ("pass", r"✓|✔"), ("fail", r"✗|✘|×"),
+    ("fail", r"(?i)\b[1-9]\d*\s+fail(ed|ing|ure)?\b"), ("fail", r"\bFAIL\b"), ("fail", r"(?i)exit code [1-9]"), ("pass", r"(?i)\b0\s+fail(ed|ing|ure)?\b"),
+    ("pass", r"(?i)\b(passing|passed)\b|test result:\s*ok\b|all tests passed"), ("fail", r"(?i)\b(failed|failing|failure|error)\b"), ("pass", r"(?i)\bpass\b"),
 ]
 
 #: Where hosts keep secrets, names of variables that hold them, and the points of each.
@@ -186,7 +187,7 @@ def workspaces(files: DataFrame) -> DataFrame:
     pnpm = own.where("base = 'pnpm-workspace.yaml'").select("repo", F.explode(F.regexp_extract_all("content", F.lit(r"[\"'\s-]([\w./-]*\*[\w./*-]*)"), F.lit(1))).alias("glob"))
     globs = listed.unionByName(lerna).unionByName(pnpm).distinct()
     form = F.concat(F.lit("^"), F.replace(F.replace(F.regexp_replace(F.regexp_replace("glob", r"/\z", ""), r"([.+()])", r"\\$1"), F.lit("**"), F.lit(".+")), F.lit("*"), F.lit("[^/]+")), F.lit("/package\\.json$"))
-    found = files.where("base = 'package.json' AND depth > 0").join(F.broadcast(globs.withColumn("form", form)), "repo").where(F.expr("path rlike form"))
+    found = files.where("base = 'package.json' AND depth > 0").join(globs.withColumn("form", form), "repo").where(F.expr("path rlike form"))
     return found.select("repo", "path", F.try_variant_get(F.try_parse_json("content"), "$.name", "string").alias("name")).distinct()
 
 
@@ -197,10 +198,6 @@ def nearest_manifest(files: DataFrame) -> DataFrame:
     return near.join(own, ["repo", "dir"]).groupBy("repo", "path").agg(F.max_by("manifest", "depth").alias("manifest"))
 
 
-#: Names that frameworks look up themselves, in files of their conventions.
-CONVENTIONS = ["default", "getServerSideProps", "getStaticProps", "getStaticPaths", "generateMetadata", "generateStaticParams", "metadata", "viewport", "revalidate", "dynamic", "middleware", "config", "loader", "action", "links", "meta", "handler", "GET", "POST", "PUT", "PATCH", "DELETE", "HEAD", "OPTIONS", "load", "actions", "prerender", "ssr", "csr"]
-
-
 def not_conventional(exports: DataFrame) -> DataFrame:
     """Exports that no framework convention uses."""
     where = F.col("path").rlike(r"(^|/)(pages|app|routes|api)/|(^|/)middleware\.[cm]?[jt]s\z|\.config\.[cm]?[jt]s\z|(^|/)\+(page|layout|server)")
@@ -253,7 +250,7 @@ def unstable(coupled: DataFrame) -> DataFrame:
     return coupled.where("instability > 0.8 AND ca >= 3")
 
 
-def rewritten_models(files: DataFrame, replacements: dict[str, str]) -> DataFrame:
+def rewritten_models(files: DataFrame, replacements: dict[str, str] = RETIRED_MODELS) -> DataFrame:
     """Proposals (path, content) with quoted model names replaced; nothing is written."""
     content = F.col("content")
     for old, new in replacements.items():

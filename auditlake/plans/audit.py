@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..functions.extract import CatchBlocks, Functions, OpenAwaits, TestBlocks, extract
+from ..functions.fixed_values import BUILTIN, PACKAGES, RETIRED_MODELS
 from ..operators import code, graph, history, lines, scoring, similarity
 from ..operators.rules import Rule, file_issues
 
@@ -153,8 +154,8 @@ def secrets(files: DataFrame, least_entropy: float = 3.5) -> DataFrame:
     return issues_of(hit, "secrets", "random-value", "error", "A value that looks like a secret", line="line_no")
 
 
-def models(files: DataFrame, retired: Sequence[str]) -> DataFrame:
-    """Retired model names, from a list that the caller gives, quoted or assigned in code and configuration."""
+def models(files: DataFrame, retired: Sequence[str] = tuple(RETIRED_MODELS)) -> DataFrame:
+    """Retired model names, quoted or assigned in code and configuration."""
     own = files.where(F.col("ext").isin([*CODE, ".py", ".json", ".yaml", ".yml", ".toml", ".env"]))
     rules = [Rule(name, "error", f"{name} is retired", rf"[\"'`=:\s]\Q{name}\E([\"'`\s,]|$)") for name in retired]
     return file_issues(own, "models", rules)
@@ -317,10 +318,6 @@ def similarity_lines(content: Column) -> Column:
 
 # Dependencies, architecture, readiness
 
-#: Well-known package names, in order, for look-alikes.
-POPULAR = ["lodash", "react", "express", "axios", "chalk", "commander", "typescript", "webpack", "eslint", "prettier", "jest", "vitest", "mocha", "next", "vue", "moment", "dotenv", "uuid", "zod", "prisma"]
-BUILTIN = ["fs", "path", "os", "http", "https", "crypto", "util", "events", "stream", "url", "child_process", "assert", "zlib", "buffer", "net", "readline", "worker_threads", "process", "perf_hooks", "module", "vm", "tty"]
-
 
 def manifests(files: DataFrame) -> DataFrame:
     """Declared packages: repo, path of the manifest, package, whether for development."""
@@ -341,7 +338,7 @@ def deps(files: DataFrame) -> DataFrame:
         [
             issues_of(phantom, "deps", "undeclared", "warning", F.concat(F.lit("Not declared: "), F.col("package")), line=None),
             issues_of(dead, "deps", "unused", "info", F.concat(F.lit("Not imported: "), F.col("package")), line=None),
-            issues_of(similarity.look_alikes(declared, "package", POPULAR), "deps", "look-alike", "error", F.concat_ws(" looks like ", "package", "known"), line=None),
+            issues_of(similarity.look_alikes(declared, "package", PACKAGES), "deps", "look-alike", "error", F.concat_ws(" looks like ", "package", "known"), line=None),
         ]
     )
 
@@ -466,7 +463,7 @@ def language(files: DataFrame) -> DataFrame:
 
 
 CHECKS: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
-    "scan": ("security", scan), "source-security": ("security", source_security), "guard": ("security", guard), "secrets": ("security", secrets),
+    "scan": ("security", scan), "source-security": ("security", source_security), "guard": ("security", guard), "models": ("security", models), "secrets": ("security", secrets),
     "permissions": ("security", permissions), "owasp": ("security", owasp), "integrity": ("integrity", integrity), "tests": ("integrity", tests),
     "debt": ("debt", debt), "clones": ("debt", clones), "ready": ("debt", ready), "deps": ("deps", deps), "deep": ("aiready", deep),
 }

@@ -172,10 +172,10 @@ def test_sessions(spark):
 
 
 def test_cost_and_subsidy(spark):
-    usage = [("claude-sonnet-4", 1_000_000, 1_000_000), ("claude-opus-4-1", 1_000_000, 1_000_000), ("made-up", 1_000_000, 1_000_000), ("idle", 0, 0)]
+    usage = [("claude-sonnet-4-6", 1_000_000, 1_000_000), ("claude-opus-4-6-long", 1_000_000, 1_000_000), ("made-up", 1_000_000, 1_000_000), ("idle", 0, 0)]
     costs = sessions.cost(spark.createDataFrame(usage, "model string, in_tokens long, out_tokens long"))
     got = {r["model"]: r["cost"] for r in costs.collect()}
-    assert got == pytest.approx({"claude-sonnet-4": 18, "claude-opus-4-1": 90, "made-up": 18, None: 126})
+    assert got == pytest.approx({"claude-sonnet-4-6": 18, "claude-opus-4-6-long": 90, "made-up": 18, None: 126})
     paid = sessions.subsidy(costs, 20).first()
     assert paid["rate"] == pytest.approx(100 * 106 / 126)
 
