@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import covered, gram_hashes, pick, runs, texts_of, winnow, with_fields, word_codes
+from .common import covered, gram_hashes, pick, runs, sliced, texts_of, winnow, with_fields, word_codes
 
 # Lower-cases A-Z; every other ASCII character but digits and a-z separates words.
 _TABLE = bytes(
@@ -141,7 +141,7 @@ def mark_contamination(
 
         def scan(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             known = index.value
-            for batch in batches:
+            for batch in sliced(batches, "_text"):
                 n_words, spans, names = [], [], []
                 texts = texts_of(batch.column("_text"))
                 before = zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, pick, texts_of, with_fields
+from .common import Workspace, pick, sliced, texts_of, with_fields
 from .components import connected_components
 
 _FAN = 8
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, *, text_col: str = "text", carry: tuple[str, .
     base = pick(docs, carry, text_col)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "_text"):
             fp = pa.array([simhash(t, shingle) for t in texts_of(batch.column("_text"))], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], fp], [*batch.schema.names[:-1], "fp"])
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, covered, gram_hashes, mix, pick, runs, texts_of, winnow, with_fields, word_codes, word_crcs
+from .common import Workspace, covered, gram_hashes, mix, pick, runs, sliced, texts_of, winnow, with_fields, word_codes, word_crcs
 
 #: Words of an anchor phrase; a phrase is held as two numbers of four words each.
 GRAM = 8
@@ -155,9 +155,9 @@ def find_repeats(
     keyed = _with_key(pick(docs, (), text_col)).where("_text is not null")
 
     def count_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "_text"):
             found = []
-            for text in texts_of(batch.column(0)):
+            for text in texts_of(batch.column("_text")):
                 places, hashes = _anchors(word_codes(text.split()), window, gram)
                 if len(places):
                     found.append(hashes[np.flatnonzero(np.diff(places, prepend=-1))])
@@ -173,7 +173,7 @@ def find_repeats(
 
     def cut_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = bloom.value
-        for batch in batches:
+        for batch in sliced(batches, "_text"):
             rows: list[tuple] = []
             keys = zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), strict=True)
             for (k1, k2), text in zip(keys, texts_of(batch.column("_text")), strict=True):
@@ -306,7 +306,7 @@ def remove_repeats(
     schema = with_fields(base, carry, "n_words long, n_removed long, kept string, clean_text string")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "_text"):
             out = []
             for raw, spans in zip(batch.column("_text").cast(pa.large_binary()).to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 words = (raw or b"").split()
