@@ -96,7 +96,7 @@ def boundary_violations(edges: DataFrame, keys: Sequence[str] = ("repo",)) -> Da
 
 def reachable(edges: DataFrame, table: str, depth: int) -> DataFrame:
     """Pairs connected by a path, by a recursive query of bounded depth over distinct edges."""
-    edges.createOrReplaceTempView(table)
+    edges.persist().createOrReplaceTempView(table)  # each step reads the edges again
     return edges.sparkSession.sql(
         f"WITH RECURSIVE walk(src, dst, hops) AS (SELECT src, dst, 1 FROM {table} UNION ALL "
         f"SELECT w.src, e.dst, w.hops + 1 FROM walk w JOIN {table} e ON w.dst = e.src WHERE w.hops < {depth} AND e.dst <> w.src) "

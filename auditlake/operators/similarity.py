@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 
 def normal_code(body: Column) -> Column:
@@ -29,34 +31,45 @@ def exact_groups(frame: DataFrame, text: str, members: str, *, least: int = 2) -
     return frame.groupBy(digest).agg(F.count("*").alias("n"), F.min(members).alias("first")).where(F.col("n") >= least)
 
 
+@F.pandas_udf(ArrayType(LongType()))
+def _slice_hashes(text: pd.Series, width: pd.Series) -> pd.Series:
+    """A hash of each run of ``width`` characters.  Built-in substrings start from the front each time; this is one pass."""
+    out = []
+    for t, w in zip(text, width, strict=True):
+        codes = np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.uint64)
+        n = max(0, len(codes) - w + 1)
+        own = np.zeros(n, np.uint64)
+        for i in range(w if n else 0):
+            own = own * np.uint64(0x9E3779B97F4A7C15) + codes[i : i + n]
+        out.append((own ^ (own >> np.uint64(29))).view(np.int64))
+    return pd.Series(out)
+
+
 def near_pairs(frame: DataFrame, key: str, text: str, *, ratio: float = 0.92, least: int = 65, most: int | None = None, block: Sequence[str] = ()) -> DataFrame:
     """Pairs (``a`` before ``b``) of different texts with similarity over ``ratio``: 1 less distance by the longer length.
 
     Qualifying lengths lie in the same or in neighbouring geometric buckets.  Within these, a pair
-    at distance d shares one of d + 1 equal slices of the shorter text at a place shifted by at
-    most d, so candidates meet on a slice's content instead of on its length alone.
+    at distance d shares one of d + 1 slices of the shorter text, so candidates meet on a slice's
+    content instead of on its length alone.
     """
     size = F.length(text)
     base = frame.where(size >= least)
     if most:
         base = base.where(size <= most)
-    base = base.select(*block, F.col(key).alias("k"), F.col(text).alias("t"), size.alias("n"))
-    base = base.groupBy(*block, "t", "n").agg(F.min("k").alias("k"))
-    step = -math.log(ratio)
+    base = base.groupBy(*block, F.col(text).alias("t")).agg(F.min(key).alias("k")).withColumn("n", F.length("t"))
+    step, slack = -math.log(ratio), (1 - ratio) / ratio
     bucket = F.floor(F.log(F.col("n").cast("double")) / step).cast("int")
-    # Slices: a text of n characters is cut into d + 1 parts, d its largest allowed distance.
-    left = base.withColumn("b", bucket)
-    slack = (1 - ratio) / ratio
-    parts = F.floor(F.col("n") * slack).cast("int") + 1
-    width = F.floor(F.col("n") / parts).cast("int")
-    own = left.withColumn("p", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("w", width).withColumn("piece", F.expr("substring(t, p * w + 1, w)"))
-    # The other side offers all its slices of the widths that shorter partners use.
-    spread = left.withColumnsRenamed({"k": "k2", "t": "t2", "n": "n2"}).withColumn("b1", F.explode(F.array(F.col("b") - 1, F.col("b")))).drop("b")
-    widths = own.select(*block, F.col("b").alias("b1"), "w").distinct()
-    offered = spread.join(widths, [*block, "b1"]).withColumn("piece", F.explode(F.expr("array_distinct(transform(sequence(1, n2 - w + 1), i -> substring(t2, i, w)))")))
-    on = [own[c] == offered[c] for c in block] + [own["b"] == offered["b1"], own["w"] == offered["w"], own["piece"] == offered["piece"]]
-    met = own.join(offered, on).where("n <= n2 AND k <> k2 AND (n < n2 OR k < k2)")
-    met = met.select(*[own[c] for c in block], "k", "k2", "t", "t2", "n2").dropDuplicates([*block, "k", "k2"])
+    # All texts of a bucket are cut into as many slices as its longest may have edits, and one more.
+    parts = F.floor(F.exp((F.col("b") + 1) * F.lit(step)) * slack).cast("int") + 1
+    width = F.greatest(F.lit(1), F.floor(F.exp(F.col("b") * F.lit(step)) / F.col("parts") - 1e-9)).cast("int")
+    # Only keys and hashes of slices are exploded; texts are joined back to the candidates.
+    own = base.withColumn("b", bucket).withColumn("parts", parts).withColumn("w", width)
+    own = own.withColumn("g", _slice_hashes("t", "w"))
+    own = own.select(*block, "k", "n", "b", F.explode(F.expr("transform(sequence(0, parts - 1), p -> get(g, p * w))")).alias("h"))
+    offered = base.withColumn("b", F.explode(F.array(bucket - 1, bucket))).withColumn("parts", parts).withColumn("w", width)
+    offered = offered.select(*block, F.col("k").alias("k2"), F.col("n").alias("n2"), "b", F.explode(F.array_distinct(_slice_hashes("t", "w"))).alias("h"))
+    met = own.join(offered, [*block, "b", "h"]).where("n <= n2 AND k <> k2 AND (n < n2 OR k < k2)").select(*block, "k", "k2").distinct()
+    met = met.join(base.select(*block, "k", "t"), [*block, "k"]).join(base.select(*block, F.col("k").alias("k2"), F.col("t").alias("t2"), F.col("n").alias("n2")), [*block, "k2"])
     far = F.expr(f"levenshtein(t, t2, cast(floor({1 - ratio}D * n2) AS int))")
     met = met.withColumn("d", far).where("d >= 0").withColumn("similarity", 1 - F.col("d") / F.col("n2"))
     return met.where(F.col("similarity") > ratio).select(*block, F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b"), F.col("d").cast("long").alias("distance"), "similarity")
