@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expressions import directory
 from ..functions.fixed_values import VERBS
 from .lines import first_per
 
@@ -38,6 +39,12 @@ def cochange(commit_files: DataFrame, *, largest_commit: int = 20, least: int =
     return joined.withColumn("strength", F.col("together") / F.least("na", "nb")).where(F.col("strength") > strength).select("a", "b", "together", "strength")
 
 
+def surprising(pairs: DataFrame) -> DataFrame:
+    """Pairs that change together though they stand in different directories, tests left out."""
+    apart = directory(F.col("a")) != directory(F.col("b"))
+    return pairs.where(apart & ~F.col("a").contains("test") & ~F.col("b").contains("test"))
+
+
 def ai_commit(subject: Column, author: Column) -> Column:
     """Whether a subject or an author names an assistant."""
     return F.coalesce(subject.rlike(r"(?i)\b(ai|copilot|cursor|codex|aider|assistant)[- ](generated|assisted|authored)\b|\bvibe\b"), F.lit(False)) | F.coalesce(

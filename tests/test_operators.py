@@ -140,6 +140,8 @@ def test_history(spark):
     frame = spark.createDataFrame(rows, "sha long, path string, author string, lines long")
     assert {r["path"]: (r["commits"], r["authors"], r["lines_changed"]) for r in history.churn(frame).collect()} == {"a": (6, 2, 30.0), "b": (6, 2, 30.0), "c": (2, 2, 10.0)}
     assert [(r["a"], r["b"], r["together"], r["strength"]) for r in history.cochange(frame).collect()] == [("a", "b", 6, 1.0)]
+    pairs = spark.createDataFrame([("x/a", "y/b"), ("x/a", "x/b"), ("x/a", "y/test")], "a string, b string")
+    assert [(r["a"], r["b"]) for r in history.surprising(pairs).collect()] == [("x/a", "y/b")]
     commit = [("r", "s", p, "M") for p in ("src/x/1.ts", "src/x/2.ts", "src/y/1.ts", "tests/a.ts", "package.json", "src/y/2.ts")]
     plan = history.commit_concerns(spark.createDataFrame(commit, "repo string, sha string, path string, status string")).first()
     assert (plan["clusters"], plan["files"], plan["deduction"]) == (4, 6, 15)
