@@ -14,9 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: Java character class of the separators of plain words: U+0020, U+0009 to U+000D.
-SPACES = r"[\x20\x09-\x0D]"
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (``spark.checkpoint.dir``).

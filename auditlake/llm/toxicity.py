@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, mix, pick, sliced, texts_of, with_fields, word_codes
 from .decontaminate import match_words
-from .labelled import fold, labelled_sample, logistic, sigmoid
+from .labelled import labelled_sample, logistic, sigmoid
 
 #: Taken off every count, so that what was seen once is left to the level below.
 _DISCOUNT = 1.0
@@ -190,6 +190,3 @@ def score_toxicity(
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "score", "predicted"])
 
     return base_docs.mapInArrow(score, with_fields(base_docs, carry, "score double, predicted int"))
-
-
-__all__ = ["KneserNeyPair", "fold", "score_toxicity"]
