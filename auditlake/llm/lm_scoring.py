@@ -234,7 +234,6 @@ def build_model(
     filter_bits: int = 1 << 30,
     head_words: int = 1 << 20,
     pairs_per_block: int = 4_000_000,
-    fit_documents: int = 2_000,
 ) -> tuple[Broadcast, np.ndarray, DataFrame, int, int]:
     """Of the texts in ``_text``: the model, its weights, the table of exact word counts (``code``, ``count``), their sum and number."""
     size = train.agg(F.count("*").alias("docs"), F.sum(F.octet_length("_text")).alias("bytes")).first()
@@ -303,16 +302,15 @@ def build_model(
     table = HeadTable(head["code"].to_numpy().view(np.uint64), head["count"].to_numpy())
     model = Model(LogBloom(segments, probes), table, n, v, size["docs"], pair_mask(blocks))
     shared = train.sparkSession.sparkContext.broadcast(model)
-    return shared, _fit_weights(train, shared, size["docs"], fit_documents), words, n, v
+    return shared, _fit_weights(train, shared), words, n, v
 
 
-def _fit_weights(train: DataFrame, shared: Broadcast, texts: int, documents: int) -> np.ndarray:
-    """Weights of the pair estimates by deleted interpolation on about ``documents`` training texts.
+def _fit_weights(train: DataFrame, shared: Broadcast) -> np.ndarray:
+    """Weights of the pair estimates by deleted interpolation on all training texts.
 
     Each occurrence is judged by counts without itself.  Tasks report, for each magnitude
     of the context's count, how often the two estimates stand in which proportion.
     """
-    most = max(1, -(-texts // documents))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "_text", 2 << 20):
@@ -325,8 +323,7 @@ def _fit_weights(train: DataFrame, shared: Broadcast, texts: int, documents: int
             key, n = np.unique(model.magnitude(context) * _BINS + ratio, return_counts=True)
             yield pa.record_batch([pa.array(key), pa.array(n)], ["key", "n"])
 
-    sample = train.where(F.pmod(F.xxhash64(F.lit("fit"), "_text"), F.lit(most)) == 0).select("_text")
-    rows = sample.mapInArrow(compare, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()
+    rows = train.select("_text").mapInArrow(compare, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()
     table = np.zeros((_MAGNITUDES, _BINS))
     for r in rows:
         table.ravel()[r["key"]] = r["n"]
