@@ -1,19 +1,18 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Counts of words and word pairs over all training texts are gathered, quantised on a
-logarithmic scale and put into one Bloom filter: a count of level q is held as the q
-entries (n-gram, 1) ... (n-gram, q).  Workers get the filter by broadcast.  A count is read
-back by probing levels until one is missing; it is never too low, and a pair never counts
+Counts of words and word pairs over all training texts are gathered.  Those of pairs are quantised on a
+logarithmic scale and put into a Bloom filter: a count of level q is held as the q
+entries (n-gram, 1) ... (n-gram, q).  A count is read back by probing levels until one is
+missing; it is never too low, and a pair never counts
 for more than its words.  Probabilities interpolate pair and word estimates; the
 weights, one for each magnitude of the context's count, are learned by deleted interpolation.
 
-Gathering: each task sends its distinct n-grams as sorted blobs to the block of their hash;
-a block adds up its blobs.  The filter has at most ``filter_bits`` bits, whatever
-the corpus; more n-grams than it has room for make it less sharp, not larger.
-
-The base score needs exact counts of all words.  Frequent words (at most
-``head_words``) are looked up where the text is read; the rest, a small part of all
-tokens, are joined with the table of counts.
+The filter is never in one place.  Texts are read in slices of a few MB; a slice sends its
+distinct n-grams, each once, as sorted blobs to the block of their hash.  A block adds up the
+training counts of its blobs, fills its own part of the filter and answers each blob, and the answers
+go back to the slice.  The number of blocks grows with the input and a part has
+``_ENTRY_BITS`` bits for each entry, so the rate of errors is the same for any corpus and no task holds more
+than a block or a slice.  Words come back with exact counts, which the base score needs too.
 """
 
 from __future__ import annotations
@@ -26,19 +25,22 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import Broadcast, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, mix, pick, sliced, texts_of, with_fields
+from .common import Workspace, mix, sliced, texts_of, with_fields
 
 _BASE = 1.5
 _LEVELS = 64
 _SEGMENTS = 64
+_ENTRY_BITS = 10
+_PROBES = 7
 _MOST_BLOCKS = 1 << 20
 _DISCOUNT = 0.75
 _MAGNITUDES = 40
 _BINS = 64
+_COLUMNS = ["_train", "_slice", "_kind", "_block", "_keys", "_counts"]
 #: No word has a space in it.
 END, START = (np.uint64(xxhash.xxh64_intdigest(x, seed=7)) for x in (b" end", b" start"))
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
@@ -62,8 +64,11 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, before, starts
 
 
-def pair_keys(before: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    return mix(before * _PAIR + codes)
+def pair_keys(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Hashes of each word with the one before it in its text."""
+    before = np.concatenate(([START], words[:-1]))
+    before[starts] = START
+    return mix(before * _PAIR + words)
 
 
 def level_of(counts: np.ndarray) -> np.ndarray:
@@ -79,7 +84,7 @@ class LogBloom:
     """Bit array in segments; all probes of an n-gram go to the segment of its leading bits."""
 
     def __init__(self, segments: np.ndarray, probes: int) -> None:
-        self.words, self.probes = segments, probes  # (segments, 64-bit words)
+        self.words, self.probes = segments, probes  # (segments: 64 or 1, 64-bit words)
 
     @staticmethod
     def places(keys: np.ndarray, level: int, probe: int, bits: int) -> np.ndarray:
@@ -98,6 +103,12 @@ class LogBloom:
                 np.bitwise_or.at(words, place >> np.uint64(6), np.uint64(1) << (place & np.uint64(63)))
         return words
 
+    @staticmethod
+    def sized(keys: np.ndarray, counts: np.ndarray) -> LogBloom:
+        """One segment with room for all its entries: an absent one reads as present in under 1 % of cases."""
+        bits = 64 * max(1, -(-_ENTRY_BITS * int(level_of(counts).sum()) // 64))
+        return LogBloom(LogBloom.fill(keys, counts, bits, _PROBES)[None], _PROBES)
+
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The level of each n-gram: the last of an unbroken row of members."""
         out = np.zeros(len(keys), np.int64)
@@ -106,7 +117,7 @@ class LogBloom:
         for level in range(1, _LEVELS + 1):
             for probe in range(self.probes):
                 own = keys[alive]
-                place = self.places(own, level, probe, size * 64) + (own >> np.uint64(58)) * np.uint64(size * 64)
+                place = self.places(own, level, probe, size * 64) + (own >> np.uint64(58)) % np.uint64(n) * np.uint64(size * 64)
                 alive = alive[(flat[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1]
             if not len(alive):
                 break
@@ -114,58 +125,24 @@ class LogBloom:
         return out
 
 
-class HeadTable:
-    """Exact counts of frequent words by hash."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        order = np.argsort(keys)
-        self.keys, self.counts = np.append(keys[order], np.uint64(0)), np.append(counts[order], 0)
-        edges = np.searchsorted(keys[order], np.arange(1 << 20, dtype=np.uint64) << np.uint64(44))
-        self.edges = np.append(edges, len(keys)).astype(np.int64)
-        self.deep = int(np.diff(self.edges).max(initial=0))
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Counts; 0 where a word is not in the table."""
-        bucket = (keys >> np.uint64(44)).astype(np.int64)
-        at, end = self.edges[bucket], self.edges[bucket + 1]
-        out = np.zeros(len(keys), np.int64)
-        open_ = np.flatnonzero(at < end)
-        for _ in range(self.deep):
-            hit = self.keys[at[open_]] == keys[open_]
-            out[open_[hit]] = self.counts[at[open_[hit]]]
-            open_ = open_[~hit]
-            at[open_] += 1
-            open_ = open_[at[open_] < end[open_]]
-            if not len(open_):
-                break
-        return out
-
-
 @dataclass
 class Model:
-    bloom: LogBloom
-    head: HeadTable
     n: int
     v: int
     docs: int
-    mask: np.uint64  # what is kept of a pair's hash
 
-    def estimates(self, codes: np.ndarray, before: np.ndarray, seen: int = 0) -> tuple[np.ndarray, ...]:
+    def estimates(self, count: np.ndarray, level: np.ndarray, starts: np.ndarray, seen: int = 0) -> tuple[np.ndarray, ...]:
         """Context's count, pair estimate and word estimate of each token; ``seen`` occurrences are left out."""
-        keys = mix(codes)
-        exact = self.head.find(keys)
-        count = exact.astype(float)
-        rare = np.flatnonzero(exact == 0)
-        count[rare] = COUNT_OF[self.bloom.levels(keys[rare])]
+        count = count.astype(float)
         context = np.concatenate(([0.0], count[:-1]))
-        context[before == START] = self.docs
-        pair = np.minimum(COUNT_OF[self.bloom.levels(pair_keys(before, codes) & self.mask)], np.minimum(count, context))
+        context[starts] = self.docs
+        pair = np.minimum(COUNT_OF[level], np.minimum(count, context))
         count, context, pair = (np.maximum(x - seen, 0) for x in (count, context, pair))
         by_pair = np.where(context > 0, pair / np.maximum(context, 1), 0)
         n, v = max(self.n, 1), self.v
         left = _DISCOUNT * v / n if v else 1.0
         by_word = np.where(count >= 1, (count - _DISCOUNT) / n, left / (v + 1))
-        return exact, context, by_pair, by_word
+        return context, by_pair, by_word
 
     @staticmethod
     def magnitude(context: np.ndarray) -> np.ndarray:
@@ -178,134 +155,164 @@ def log10(weights: np.ndarray, context: np.ndarray, by_pair: np.ndarray, by_word
     return np.log10(weight * by_pair + (1 - weight) * by_word)
 
 
-def _gather(train: DataFrame, blocks: int) -> DataFrame:
-    """Blobs of n-gram hashes and counts by kind (1: words, 8 bytes each; 2: pairs, 5) and block."""
+def _binaries(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """A binary for each run of values."""
+    edges = np.concatenate(([0], np.cumsum(sizes) * values.itemsize)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _numbers(column: pa.Array, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def _planes(at: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each text the low, then the high halves of its numbers; the latter pack well."""
+    out = np.empty(2 * len(at), np.uint16)
+    low = np.arange(len(at)) + np.repeat(starts, sizes)
+    out[low], out[low + np.repeat(sizes, sizes)] = at & 0xFFFF, at >> 16
+    return out
+
+
+def _gather(rows: DataFrame, blocks: int) -> DataFrame:
+    """Texts in slices (kind 0: places of their words in the slice's distinct ones, 4 bytes each), and of each slice
+    blobs of n-gram hashes and training counts by kind (1: words, 8 bytes each; 2: pairs, 4) and block."""
+    names = [f.name for f in rows.schema.fields if f.name not in ("_train", "_text")]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "_text", 4 << 20):
-            codes, before, _ = tokens(texts_of(batch.column("_text")))
-            rows = []
-            for kind, keys in ((1, mix(codes)), (2, pair_keys(before, codes))):
-                if kind == 2:
-                    keys = keys & pair_mask(blocks)
-                keys, counts = np.unique(keys, return_counts=True)
-                block = (keys >> np.uint64(65 - blocks.bit_length())).astype(np.int64)
+        number = TaskContext.get().partitionId() << 32
+        for batch in sliced(batches, "_text", 8 << 20):
+            codes, _, starts = tokens(texts_of(batch.column("_text")))
+            sizes = np.diff(starts, append=len(codes))
+            learned = np.repeat(batch.column("_train").to_numpy(zero_copy_only=False), sizes).astype(float)
+            words, at = np.unique(mix(codes), return_inverse=True)
+            pairs, where = np.unique(pair_keys(words[at], starts) & pair_mask(blocks), return_inverse=True)
+            n = len(batch)
+            fixed = [pa.array(np.full(n, number)), pa.array(np.zeros(n, np.int32)), pa.array(np.zeros(n, np.int32))]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in names), batch.column("_train"), *fixed, _binaries(_planes(at, starts, sizes), 2 * sizes), pa.nulls(n, pa.binary())],
+                [*names, *_COLUMNS],
+            )
+            for kind, keys, every in ((1, words, at), (2, pairs, where)):
+                counts = np.bincount(every, learned, len(keys)).astype(np.uint32)
+                block = (keys >> np.uint64(65 - blocks.bit_length())).astype(np.int32)
                 edges = np.flatnonzero(np.diff(block, prepend=-1))
-                for a, e in zip(edges.tolist(), [*edges[1:].tolist(), len(block)], strict=True):
-                    own = keys[a:e]
-                    raw = own.tobytes() if kind == 1 else (own >> _spare(blocks)).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-                    rows.append((kind, int(block[a]), raw, counts[a:e].astype(np.uint32).tobytes()))
-            kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
-            yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["kind", "block", "keys", "counts"])
-
-    return train.select("_text").mapInArrow(scan, "kind int, block int, keys binary, counts binary")
+                own = np.diff(edges, append=len(keys))
+                raw = _binaries(keys, own) if kind == 1 else _binaries((keys >> _spare(blocks)).astype(np.uint32), own)
+                n = len(edges)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(pa.nulls(n, batch.schema.field(c).type) for c in names),
+                        pa.nulls(n, pa.bool_()),
+                        pa.array(np.full(n, number)),
+                        pa.array(np.full(n, kind, np.int32)),
+                        pa.array(block[edges]),
+                        raw,
+                        _binaries(counts, own),
+                    ],
+                    [*names, *_COLUMNS],
+                )
+            number += 1
+
+    return rows.mapInArrow(scan, with_fields(rows, tuple(names), "_train boolean, _slice long, _kind int, _block int, _keys binary, _counts binary"))
 
 
 def _spare(blocks: int) -> np.uint64:
-    return np.uint64(65 - blocks.bit_length() - 40)
+    return np.uint64(65 - blocks.bit_length() - 32)
 
 
 def pair_mask(blocks: int) -> np.uint64:
-    """Of a pair's hash the block and 40 bits are kept: the filter errs more often than that."""
+    """Of a pair's hash the block and 32 bits are kept: the filter errs more often than that."""
     return ~((np.uint64(1) << _spare(blocks)) - np.uint64(1))
 
 
-def _added(frame: pd.DataFrame, kind: int, blocks: int) -> tuple[np.ndarray, np.ndarray]:
-    """All keys of a block, once, with their counts."""
-    block = int(frame["block"].iloc[0])
-    if kind == 1:
-        keys = np.concatenate([np.frombuffer(x, np.uint64) for x in frame["keys"]])
-    else:
-        raw = np.frombuffer(b"".join(frame["keys"]), np.uint8).reshape(-1, 5)
-        wide = np.zeros((len(raw), 8), np.uint8)
-        wide[:, :5] = raw
-        keys = (wide.view(np.uint64).ravel() << _spare(blocks)) | (np.uint64(block) << np.uint64(65 - blocks.bit_length()))
-    counts = np.concatenate([np.frombuffer(x, np.uint32) for x in frame["counts"]]).astype(np.int64)
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    return keys[first], np.add.reduceat(counts[order], first)
-
-
-def build_model(
-    train: DataFrame,
-    workspace: Workspace,
-    *,
-    filter_bits: int = 1 << 30,
-    head_words: int = 1 << 20,
-    pairs_per_block: int = 4_000_000,
-) -> tuple[Broadcast, np.ndarray, DataFrame, int, int]:
-    """Of the texts in ``_text``: the model, its weights, the table of exact word counts (``code``, ``count``), their sum and number."""
-    size = train.agg(F.count("*").alias("docs"), F.sum(F.octet_length("_text")).alias("bytes")).first()
-    blocks = _SEGMENTS
-    while blocks < _MOST_BLOCKS and (size["bytes"] or 0) / 6 > blocks * pairs_per_block:
-        blocks *= 2
-    blobs = workspace.write(_gather(train, blocks), "blobs")
-
-    def add_words(frame: pd.DataFrame) -> pd.DataFrame:
-        keys, counts = _added(frame, 1, blocks)
-        return pd.DataFrame({"code": keys.view(np.int64), "count": counts})
-
-    words = blobs.where("kind = 1").groupBy("block").applyInPandas(add_words, "code long, count long")
-    words = workspace.write(words, "words")
-    total = words.agg(F.sum("count").alias("n"), F.count("*").alias("v")).first()
-    n, v = total["n"] or 0, total["v"]
-
-    pairs = blobs.where("kind = 2")
-    entries = v + (pairs.agg(F.sum(F.length("counts") / 4).alias("n")).first()["n"] or 0)
-    bits = 1 << 22
-    while bits < filter_bits and bits < 10 * entries:
-        bits *= 2
-    probes = int(np.clip(round(0.69 * bits / max(1.3 * entries, 1)), 1, 6))
-    own_bits = bits // _SEGMENTS
-
-    def fill_pairs(frame: pd.DataFrame) -> pd.DataFrame:
-        keys, counts = _added(frame, 2, blocks)
-        segment = int(keys[0] >> np.uint64(58)) if len(keys) else 0
-        return pd.DataFrame({"segment": [segment], "bits": [LogBloom.fill(keys, counts, own_bits, probes).tobytes()]})
-
-    def fill_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}  # at most one filter
+def _answers(blobs: DataFrame, blocks: int) -> DataFrame:
+    """What each slice asked, by kind and block, in the order of its blob: words (with their hashes) get their
+    counts, 8 bytes each, pairs their levels, a byte each.  ``_new`` sums up to the number of distinct training words."""
+
+    def answer(frame: pd.DataFrame) -> pd.DataFrame:
+        kind, block = int(frame["_kind"].iloc[0]), int(frame["_block"].iloc[0])
+        raw, counts = b"".join(frame["_keys"]), np.frombuffer(b"".join(frame["_counts"]), np.uint32).astype(np.int64)
+        if kind == 1:
+            keys = np.frombuffer(raw, np.uint64)
+        else:
+            keys = (np.frombuffer(raw, np.uint32).astype(np.uint64) << _spare(blocks)) | (np.uint64(block) << np.uint64(65 - blocks.bit_length()))
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        new = np.append(True, keys[1:] != keys[:-1])
+        first = np.flatnonzero(new)
+        keys, total = keys[first], np.add.reduceat(counts[order], first)
+        known = np.flatnonzero(total)
+        told = total if kind == 1 else LogBloom.sized(keys[known], total[known]).levels(keys).astype(np.uint8)
+        every = np.empty(len(order), told.dtype)
+        every[order] = told[np.cumsum(new) - 1]
+        edges = np.cumsum([0, *(len(x) // 4 for x in frame["_counts"])]).tolist()
+        return pd.DataFrame(
+            {
+                "_slice": frame["_slice"],
+                "_kind": kind,
+                "_block": block,
+                "_keys": frame["_keys"] if kind == 1 else None,
+                "_counts": [every[a:e].tobytes() for a, e in zip(edges[:-1], edges[1:], strict=True)],
+                "_new": [len(known) if kind == 1 else 0] + [0] * (len(frame) - 1),
+            }
+        )
+
+    held = blobs.select("_slice", "_kind", "_block", "_keys", "_counts").where("_kind > 0")
+    return held.groupBy("_kind", "_block").applyInPandas(answer, "_slice long, _kind int, _block int, _keys binary, _counts binary, _new long")
+
+
+def _tell(blobs: DataFrame, answers: DataFrame, blocks: int) -> DataFrame:
+    """Each text's token counts (``_counts``, 8 bytes each) and levels of pairs (``_keys``, a byte each)."""
+    names = [c for c in blobs.columns if c not in _COLUMNS]
+
+    def put(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        whole = pa.Table.from_batches(parts).combine_chunks()
+        batch = whole.to_batches(max_chunksize=max(1, len(whole)))[0]
+        kind = batch.column("_kind").to_numpy()
+        edges = np.searchsorted(kind, [0, 1, 2, 3]).tolist()
+        docs, words, pairs = (batch.slice(a, e - a) for a, e in zip(edges[:-1], edges[1:], strict=True))
+        keys, counts = _numbers(words.column("_keys"), np.uint64), _numbers(words.column("_counts"), np.int64)
+        sizes = np.array([len(x) // 4 for x in docs.column("_keys").to_pylist()], np.int64)
+        starts = np.cumsum([0, *sizes])[:-1]
+        low = np.arange(sizes.sum()) + np.repeat(starts, sizes)
+        planes = _numbers(docs.column("_keys"), np.uint16).astype(np.int64)
+        at = planes[low] | planes[low + np.repeat(sizes, sizes)] << 16
+        asked = pair_keys(keys[at], starts) & pair_mask(blocks)
+        _, where = np.unique(asked, return_inverse=True)
+        levels = _numbers(pairs.column("_counts"), np.uint8)[where]
+        columns = [*(docs.column(c) for c in names), docs.column("_train"), _binaries(counts[at], sizes), _binaries(levels, sizes)]
+        return pa.RecordBatch.from_arrays(columns, [*names, "_train", "_counts", "_levels"])
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # of one slice
         for batch in batches:
-            keys = batch.column("code").to_numpy().view(np.uint64)
-            counts, segment = batch.column("count").to_numpy(), batch.column("segment").to_numpy()
-            for s in np.unique(segment).tolist():
-                own = LogBloom.fill(keys[segment == s], counts[segment == s], own_bits, probes)
-                held[s] = held[s] | own if s in held else own
-        for s, own in held.items():
-            yield pa.record_batch([pa.array([s], pa.int32()), pa.array([own.tobytes()], pa.binary())], ["segment", "bits"])
-
-    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}  # at most one filter
-        for batch in batches:
-            for s, raw in zip(batch.column("segment").to_pylist(), batch.column("bits").to_pylist(), strict=True):
-                own = np.frombuffer(raw, np.uint64)
-                held[s] = held[s] | own if s in held else own
-        for s, own in held.items():
-            yield pa.record_batch([pa.array([s], pa.int32()), pa.array([own.tobytes()], pa.binary())], ["segment", "bits"])
-
-    by_pair = pairs.groupBy("block").applyInPandas(fill_pairs, "segment int, bits binary")
-    segment = F.shiftrightunsigned("code", 58).cast("int")
-    by_word = words.withColumn("segment", segment).repartition(_SEGMENTS, "segment").mapInArrow(fill_words, "segment int, bits binary")
-    united = by_pair.unionByName(by_word).repartition(_SEGMENTS, "segment").mapInArrow(unite, "segment int, bits binary")
-    segments = np.zeros((_SEGMENTS, own_bits // 64), np.uint64)
-    for row in workspace.write(united, "filter").toLocalIterator():  # no more than filter_bits in all
-        segments[row["segment"]] = np.frombuffer(row["bits"], np.uint64)
-
-    steps = {r["step"]: r["n"] for r in words.groupBy(F.floor(F.log2("count")).alias("step")).agg(F.count("*").alias("n")).collect()}
-    least, have = 64, 0
-    for step in sorted(steps, reverse=True):
-        if have + steps[step] > head_words:
-            break
-        least, have = step, have + steps[step]
-    head = words.where(F.floor(F.log2("count")) >= least).toArrow()
-    table = HeadTable(head["code"].to_numpy().view(np.uint64), head["count"].to_numpy())
-    model = Model(LogBloom(segments, probes), table, n, v, size["docs"], pair_mask(blocks))
-    shared = train.sparkSession.sparkContext.broadcast(model)
-    return shared, _fit_weights(train, shared), words, n, v
-
-
-def _fit_weights(train: DataFrame, shared: Broadcast) -> np.ndarray:
+            if not len(batch):
+                continue
+            own = batch.column("_slice").to_numpy()
+            edges = np.flatnonzero(np.diff(own, prepend=own[0] - 1)).tolist()
+            for a, e in zip(edges, [*edges[1:], len(own)], strict=True):
+                if held and held[0].column("_slice")[0].as_py() != own[a]:
+                    yield put(held)
+                    held = []
+                held.append(batch.slice(a, e - a))
+        if held:
+            yield put(held)
+
+    docs = blobs.where("_kind = 0")
+    both = docs.unionByName(answers.drop("_new"), allowMissingColumns=True)
+    dealt = both.repartition("_slice").sortWithinPartitions("_slice", "_kind", "_block")
+    return dealt.mapInArrow(tell, with_fields(docs, tuple(names), "_train boolean, _counts binary, _levels binary"))
+
+
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Batches with counts, levels and where the texts start."""
+    for batch in sliced(batches, "_levels", 1 << 20):
+        levels = batch.column("_levels").to_pylist()
+        starts = np.cumsum([0, *map(len, levels)])[:-1]
+        yield batch, _numbers(batch.column("_counts"), np.int64), np.frombuffer(b"".join(levels), np.uint8), starts
+
+
+def _fit_weights(train: DataFrame, model: Model) -> np.ndarray:
     """Weights of the pair estimates by deleted interpolation on all training texts.
 
     Each occurrence is judged by counts without itself.  Tasks report, for each magnitude
@@ -313,17 +320,15 @@ def _fit_weights(train: DataFrame, shared: Broadcast) -> np.ndarray:
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "_text", 2 << 20):
-            codes, before, _ = tokens(texts_of(batch.column("_text")))
-            model = shared.value
-            _, context, by_pair, by_word = model.estimates(codes, before, seen=1)
-            ratio = np.zeros(len(codes), np.int64)
+        for _, count, level, starts in _told(batches):
+            context, by_pair, by_word = model.estimates(count, level, starts, seen=1)
+            ratio = np.zeros(len(count), np.int64)
             has = by_pair > 0
             ratio[has] = np.clip(np.floor(2 * np.log2(by_pair[has] / by_word[has])) + 10, 1, _BINS - 1)
             key, n = np.unique(model.magnitude(context) * _BINS + ratio, return_counts=True)
             yield pa.record_batch([pa.array(key), pa.array(n)], ["key", "n"])
 
-    rows = train.select("_text").mapInArrow(compare, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()
+    rows = train.select("_counts", "_levels").mapInArrow(compare, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()
     table = np.zeros((_MAGNITUDES, _BINS))
     for r in rows:
         table.ravel()[r["key"]] = r["n"]
@@ -345,7 +350,9 @@ def score_texts(
     *,
     text_col: str = "text",
     carry: tuple[str, ...] = ("doc_id",),
-    **options: int,
+    filter_bits: int = 1 << 30,
+    head_words: int = 1 << 20,
+    pairs_per_block: int = 4_000_000,
 ) -> DataFrame:
     """Score whole texts by a model of those rows where ``train`` is true.
 
@@ -354,41 +361,31 @@ def score_texts(
     probability).  A null text is an empty one: its only token is the end.  A row for which
     ``train`` is null (a null id) is scored and not learned from.  Without training rows the base
     score is that of a one-word vocabulary.  Repeated rows count as often as they come.
+    ``head_words`` has no effect any more: all words have exact counts.
     """
     rows = docs.withColumn("_train", train).select(*[F.col(f"`{c}`") for c in carry], F.coalesce("_train", F.lit(False)).alias("_train"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text"))
-    shared, weights, words, n, v = build_model(rows.where("_train").select("_text"), workspace, **options)
-    base = pick(rows, carry, "_text")
-    schema = with_fields(base, carry, "row long, n_tokens long, known long, logs double, score double, rare array<long>")
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 40
-        for batch in sliced(batches, "_text", 2 << 20):
-            codes, before, starts = tokens(texts_of(batch.column("_text")))
-            exact, *parts = shared.value.estimates(codes, before)
-            sums = [np.add.reduceat(x, starts) for x in (exact > 0, np.log10(exact + 1.0), log10(weights, *parts))]
-            rare = np.flatnonzero(exact == 0)
-            edges = np.searchsorted(rare, [*starts, len(codes)]).astype(np.int32)
-            columns = [
-                pa.array(np.arange(row, row + len(batch))),
-                pa.array(np.diff(starts, append=len(codes))),
-                pa.array(sums[0].astype(np.int64)),
-                pa.array(sums[1]),
-                pa.array(sums[2]),
-                pa.ListArray.from_arrays(pa.array(edges), pa.array(mix(codes[rare]).view(np.int64))),
-            ]
-            row += len(batch)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], [*batch.schema.names[:-1], "row", "n_tokens", "known", "logs", "score", "rare"])
-
-    scored = workspace.write(base.mapInArrow(scan, schema), "scored")
-    rare = scored.select("row", F.explode("rare").alias("code")).join(words, "code")
-    rare = rare.groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("count") + F.lit(1.0))).alias("logs_more"))
-    out = scored.drop("rare").join(rare, "row", "left")
+    size = rows.agg(F.sum(F.octet_length("_text")).alias("bytes")).first()["bytes"] or 0
+    room = min(pairs_per_block, filter_bits // (2 * _ENTRY_BITS))
+    blocks = _SEGMENTS
+    while blocks < _MOST_BLOCKS and size / 6 > blocks * room:
+        blocks *= 2
+    blobs = workspace.write(_gather(rows, blocks), "blobs")
+    answers = workspace.write(_answers(blobs, blocks), "answers")
+    told = workspace.write(_tell(blobs, answers, blocks), "told")
+    seen = blobs.where("_kind = 0 AND _train").agg(F.count("*").alias("docs"), F.sum(F.octet_length("_keys") / 4).cast("long").alias("n")).first()
+    n, v = seen["n"] or 0, answers.agg(F.sum("_new").alias("v")).first()["v"] or 0
+    model = Model(n, v, seen["docs"])
+    weights = _fit_weights(told.where("_train"), model)
+    schema = with_fields(told, carry, "n_tokens long, n_known long, train_tokens long, base_score double, score double")
     whole = float(np.log10(n + v + 1))
-    return out.select(
-        *[F.col(f"`{c}`") for c in carry],
-        "n_tokens",
-        (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("logs") + F.coalesce("logs_more", F.lit(0.0)) - F.col("n_tokens") * F.lit(whole)).alias("base_score"),
-        "score",
-    )
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, count, level, starts in _told(batches):
+            sizes = np.diff(starts, append=len(count))
+            known, logs, own = (np.add.reduceat(x, starts) for x in ((count > 0).astype(np.int64), np.log10(count + 1.0), log10(weights, *model.estimates(count, level, starts))))
+            columns = [pa.array(sizes), pa.array(known), pa.array(np.full(len(batch), n)), pa.array(logs - sizes * whole), pa.array(own)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(f) for f in names), *columns], schema.names)
+
+    names = [f.name for f in told.schema.fields if f.name in carry]
+    scored = told.drop("_train").mapInArrow(score, schema)
+    return scored.select(*[F.col(f"`{c}`") for c in carry], *schema.names[len(names) :])

@@ -248,3 +248,22 @@ def test_weights_are_learned_from_all_training_texts(spark, workspace):
         scores.append((got[0], got[1]))
     assert max(b for _, b in scores) - min(b for _, b in scores) < 1e-3
     assert max(s for s, _ in scores) - min(s for s, _ in scores) < 0.003 * abs(scores[0][0]), scores
+
+
+def test_filter_grows_with_the_corpus(spark, workspace):
+    """More pairs than ``filter_bits`` has room for: unseen pairs stay unseen."""
+    rng = np.random.default_rng(3)
+    vocabulary = np.array([f"w{i}" for i in range(50_000)])
+    docs = spark.createDataFrame([(i, " ".join(vocabulary[rng.integers(0, 50_000, 20_000)])) for i in range(64)], "doc_id long, text string").repartition(4)
+    train = F.col("doc_id") < 60
+    wide, narrow = (lm.score_texts(docs, train, workspace, **x).where(~train).agg(F.sum("score")).first()[0] for x in ({}, {"filter_bits": 1 << 22}))
+    assert abs(narrow - wide) < 0.002 * abs(wide), (narrow, wide)
+
+
+def test_sized_filter_errs_at_a_fixed_rate():
+    rng = np.random.default_rng(4)
+    for n in (100, 10_000, 1_000_000):
+        keys, counts = rng.integers(0, 1 << 63, n, dtype=np.uint64), rng.geometric(0.7, n)
+        bloom = lm.LogBloom.sized(keys, counts)
+        assert (bloom.levels(keys) >= lm.level_of(counts)).all()
+        assert (bloom.levels(rng.integers(0, 1 << 63, 20_000, dtype=np.uint64)) > 0).mean() < 0.015
