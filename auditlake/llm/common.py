@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -57,14 +58,14 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def word_crcs(words: list[bytes]) -> np.ndarray:
-    """A 32-bit code for each word."""
-    return np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
+def word_codes(words: list[bytes]) -> np.ndarray:
+    """A 32-bit code for each word, spread over 64 bits."""
+    return mix(np.fromiter(map(zlib.crc32, words), np.uint32, len(words)).astype(np.uint64))
 
 
-def word_codes(words: list[bytes]) -> np.ndarray:
-    """The same codes, spread over 64 bits."""
-    return mix(word_crcs(words).astype(np.uint64))
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of each word, where words are never compared themselves."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, covered, gram_hashes, mix, pick, runs, sliced, texts_of, winnow, with_fields, word_codes, word_crcs
+from .common import Workspace, covered, gram_hashes, mix, pick, runs, sliced, texts_of, winnow, with_fields, word_hashes
 
 #: Words of an anchor phrase; a phrase is held as two numbers of four words each.
 GRAM = 8
@@ -85,10 +85,10 @@ class Bloom:
         return Bloom(words)
 
 
-def _phrases(crc: np.ndarray, gram: int) -> np.ndarray:
+def _phrases(codes: np.ndarray, gram: int) -> np.ndarray:
     """Two numbers for each run of ``gram`` (8) words: the low 16 bits of each word's code."""
-    low = (crc & np.uint32(0xFFFF)).astype(np.uint64)
-    n = max(0, len(crc) - gram + 1)
+    low = codes & np.uint64(0xFFFF)
+    n = max(0, len(codes) - gram + 1)
     out = np.zeros((n, 2), np.uint64)
     for i in range(gram):
         out[:, i // 4] |= low[i : i + n] << np.uint64(16 * (i % 4))
@@ -100,12 +100,11 @@ class Regions:
 
     def __init__(self, codes: pa.Array, window: int) -> None:
         held = codes.to_pylist()
-        self.crc = np.frombuffer(b"\0\0\0\0".join([*held, b""]), np.uint32)
-        sizes = np.fromiter(map(len, held), np.int64, len(held)) // 4
+        self.codes = np.frombuffer(bytes(8).join([*held, b""]), np.uint64)
+        sizes = np.fromiter(map(len, held), np.int64, len(held)) // 8
         self.starts = np.concatenate(([0], np.cumsum(sizes + 1)))[:-1]
-        self.spread = mix(self.crc.astype(np.uint64))
-        self.own = gram_hashes(self.spread, window)
-        inside = np.zeros(len(self.crc) + 1, np.int32)  # places where a window of the region starts
+        self.own = gram_hashes(self.codes, window)
+        inside = np.zeros(len(self.codes) + 1, np.int32)  # places where a window of the region starts
         inside[self.starts] += 1
         inside[self.starts + sizes - window + 1] -= 1
         self.valid = np.cumsum(inside)[: len(self.own)] > 0
@@ -129,10 +128,10 @@ class PhraseAutomaton:
 
     def locate(self, regions: Regions) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends, in the regions' array, of what recurring windows cover."""
-        line = regions.crc.astype("<u2").tobytes().decode("latin-1")
+        line = regions.codes.astype("<u2").tobytes().decode("latin-1")
         ends = np.fromiter((e for e, _ in self.automaton.iter(line)), np.int64)
         places = (ends[ends % 2 == 1] + 1) // 2 - GRAM
-        reach, n = self.window - GRAM, len(regions.crc)
+        reach, n = self.window - GRAM, len(regions.codes)
         near = covered(np.maximum(places - reach, 0), reach + 1, n)[: len(regions.own)]
         at = np.flatnonzero(near & regions.valid)
         own = regions.own[at]
@@ -158,7 +157,7 @@ def find_repeats(
         for batch in sliced(batches, "_text"):
             found = []
             for text in texts_of(batch.column("_text")):
-                places, hashes = _anchors(word_codes(text.split()), window, gram)
+                places, hashes = _anchors(word_hashes(text.split()), window, gram)
                 if len(places):
                     found.append(hashes[np.flatnonzero(np.diff(places, prepend=-1))])
             if found:
@@ -177,8 +176,8 @@ def find_repeats(
             rows: list[tuple] = []
             keys = zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), strict=True)
             for (k1, k2), text in zip(keys, texts_of(batch.column("_text")), strict=True):
-                crc = word_crcs(text.split())
-                _, hashes = _anchors(mix(crc.astype(np.uint64)), window, gram)
+                codes = word_hashes(text.split())
+                _, hashes = _anchors(codes, window, gram)
                 ok = known.has(hashes)
                 if not ok.any():
                     continue
@@ -187,7 +186,7 @@ def find_repeats(
                 ends = np.append(edges[1:], len(shard))
                 for a, e, s in zip(edges.tolist(), ends.tolist(), shard[edges].tolist(), strict=True):
                     if s >= 0:
-                        rows.append((s, k1, k2, a, crc[a : e + window - 1].tobytes()))
+                        rows.append((s, k1, k2, a, codes[a : e + window - 1].tobytes()))
             if rows:
                 kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
                 yield pa.record_batch(
@@ -211,11 +210,11 @@ def find_repeats(
         for batch in batches:
             if len(batch):
                 found = Regions(batch.column("codes"), window)
-                places, _ = _anchors(found.spread, window, gram)
+                places, _ = _anchors(found.codes, window, gram)
                 chosen = places[found.valid]
                 new = np.flatnonzero(np.diff(chosen, prepend=-1))
                 shard = batch.column("shard").to_numpy()[found.region_of(chosen[new])]
-                rows = np.unique(np.column_stack((shard.astype(np.uint64), _phrases(found.crc, gram)[chosen[new]])), axis=0)
+                rows = np.unique(np.column_stack((shard.astype(np.uint64), _phrases(found.codes, gram)[chosen[new]])), axis=0)
                 kinds = (np.int32, np.int64, np.int64)
                 yield pa.record_batch([pa.array(rows[:, i].astype(np.uint64).view(np.int64).astype(k)) for i, k in enumerate(kinds)], ["shard", "p1", "p2"])
 

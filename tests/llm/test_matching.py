@@ -211,3 +211,10 @@ def test_repeats_of_odd_rows(odd_docs, no_docs, workspace):
     from auditlake.llm.common import Workspace
 
     assert remove_repeats(no_docs, Workspace(no_docs.sparkSession)).collect() == []
+
+
+def test_words_of_equal_crc_are_told_apart(spark, workspace):
+    """'plumless' and 'buckeroo' have one CRC32."""
+    own = prose(4, 34)
+    docs = spark.createDataFrame([(0, f"{own} plumless"), (1, f"{own} buckeroo")], "doc_id long, text string")
+    assert [r["n_removed"] for r in remove_repeats(docs, workspace).collect()] == [0, 0]
