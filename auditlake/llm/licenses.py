@@ -1,6 +1,7 @@
 """Licence scan with a trained paragraph classifier, in DataFrame expressions alone.
 
-Paragraphs (lines) are described by which word n-grams of the training wording they hold.
+Paragraphs are described by which word n-grams of the training wording they hold.  A line is one, and so are
+consecutive non-blank lines, joined, between those that are confirmed alone: wrapped wording is judged whole.
 A multinomial logistic regression with an L1 penalty, trained by Spark's own optimiser on
 licence wording, variations of it, licence-like wording of no family and ordinary paragraphs
 of the corpus, leaves weights on few n-grams.  A temperature fitted on variations that
@@ -144,10 +145,12 @@ def scan_licenses(
     """Licence paragraphs of every whole text.
 
     Returns the columns ``carry`` of ``docs``, then ``n_paragraphs`` (lines with a word) and ``found``: for
-    each licence paragraph, in order, its line number from 0, ``family``, ``probability``,
+    each licence paragraph, in order, its first line's number from 0, ``family``, ``probability``,
     ``similarity`` (the largest share of a wording's five-word shingles that the paragraph holds; a wording
     of fewer words is one shingle) and ``confirmed``.  An unknown licence has the probability that the
-    paragraph is about licences at all, and is never confirmed.  Null and empty texts have no paragraphs.
+    paragraph is about licences at all, and is never confirmed.  Lines that a confirmed paragraph of several
+    lines explains (its family, or of no family and with half of their three-word runs from its wording) are not
+    found once more; such a paragraph that is not confirmed counts if none of its lines does.  Null and empty texts have no paragraphs.
     Repeated rows are scanned alike; an empty table trains on the wording alone.
     """
     model = model or train_license_model(docs, workspace, text_col=text_col)
@@ -185,10 +188,29 @@ def scan_licenses(
     cues = f"arrays_overlap({words}, {_strings(model.cues)})" if model.cues else "false"
     near = F.expr(f"filter(transform(_lines, (p, i) -> struct(i AS line, p AS p)), s -> transform(array(s.p), p -> {cues})[0])")
     lines = lines.withColumn("_near", near)
-    found = F.expr(f"transform(_near, s -> named_struct('line', s.line, 'j', transform(array(s.p), p -> {judged})[0]))")
+    found = F.expr(f"transform(_near, s -> named_struct('line', s.line, 'n', 1, 'j', transform(array(s.p), p -> {judged})[0]))")
     lines = lines.withColumn("_found", found)
+    # Runs of lines lie between breaks: blank lines and lines that are confirmed alone.  Without a cue a run scores nothing.
+    sure = f"(x.j.family <> '{NONE}' AND x.j.similarity >= {least_similarity!r}D)"
+    lines = lines.withColumn("_alone", F.expr(f"transform(filter(_found, x -> {sure}), x -> x.line)"))
+    edge = "i < 0 OR i = size(_lines) OR NOT get(_lines, i) rlike '[^\\\\s]' OR array_contains(_alone, i)"
+    lines = lines.withColumn("_breaks", F.expr(f"CASE WHEN size(_near) = 0 THEN cast(array() AS array<int>) ELSE filter(sequence(-1, size(_lines)), i -> {edge}) END"))
+    lines = lines.withColumn("_runs", F.expr("transform(_breaks, (b, k) -> named_struct('line', b + 1, 'n', coalesce(get(_breaks, k + 1) - b - 1, 0)))"))
+    lines = lines.withColumn("_runs", F.expr("filter(_runs, r -> r.n > 1 AND exists(_near, s -> s.line >= r.line AND s.line < r.line + r.n))"))
+    joined = "array_join(slice(_lines, r.line + 1, r.n), ' ')"
+    lines = lines.withColumn("_runs", F.expr(f"transform(_runs, r -> named_struct('line', r.line, 'n', r.n, 'j', transform(array({joined}), p -> {judged})[0]))"))
+    within = "x.line >= r.line AND x.line < r.line + r.n"
+    kept = f"filter(_runs, r -> r.j.family <> '{NONE}' AND (r.j.similarity >= {least_similarity!r}D OR NOT exists(_found, x -> x.j.family <> '{NONE}' AND {within})))"
+    lines = lines.withColumn("_runs", F.expr(kept))
+    threes = {f: _strings(sorted({x for own in by_family[f] for x in shingles(own, 3)})) for f in by_family}
+    wording_runs = "CASE r.j.family " + " ".join(f"WHEN '{f}' THEN {x}" for f, x in threes.items()) + " ELSE cast(array() AS array<string>) END"
+    own_threes = "array_distinct(transform(sequence(0, greatest(size(w) - 3, 0)), i -> concat_ws(' ', slice(w, i + 1, 3))))"
+    of_line = _WORDS.format("get(_lines, x.line)")
+    from_it = f"transform(array({of_line}), w -> 2 * size(array_intersect({own_threes}, {wording_runs})) >= size({own_threes}))[0]"
+    explained = f"exists(_runs, r -> {within} AND r.j.similarity >= {least_similarity!r}D AND NOT {sure} AND (x.j.family = r.j.family OR (x.j.family = '{OTHER}' AND {from_it})))"
+    lines = lines.withColumn("_found", F.expr(f"array_sort(concat(filter(_found, x -> x.j.family <> '{NONE}' AND NOT {explained}), _runs), (a, b) -> a.line - b.line)"))
     tidy = F.expr(
-        "transform(filter(_found, x -> x.j.family <> 'none'), x -> named_struct('line', x.line, 'family', x.j.family, "
+        "transform(_found, x -> named_struct('line', x.line, 'family', x.j.family, "
         f"'probability', x.j.probability, 'similarity', x.j.similarity, 'confirmed', x.j.similarity >= {least_similarity!r}D))"
     )
     has_word = F.expr("cast(size(filter(_lines, p -> p rlike '[\\\\p{L}\\\\p{N}]')) AS bigint)")

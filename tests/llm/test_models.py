@@ -267,3 +267,15 @@ def test_sized_filter_errs_at_a_fixed_rate():
         bloom = lm.LogBloom.sized(keys, counts)
         assert (bloom.levels(keys) >= lm.level_of(counts)).all()
         assert (bloom.levels(rng.integers(0, 1 << 63, 20_000, dtype=np.uint64)) > 0).mean() < 0.015
+
+
+def test_wrapped_license_wording_is_confirmed(spark, workspace):
+    import textwrap
+
+    from auditlake.llm.license_templates import TEMPLATES
+
+    long = [(f, t) for f, t in TEMPLATES if len(t) > 100 and f in ("MIT", "BSD", "ISC", "GPL-3.0")]
+    rows = [(i, prose(i, 30) + "\n\n" + "\n".join(textwrap.wrap(t, 72)) + "\n\n" + prose(i + 9, 30)) for i, (_, t) in enumerate(long)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in scan_licenses(docs, workspace).collect():
+        assert [(x["line"], x["family"], x["confirmed"]) for x in r["found"]] == [(2, long[r["doc_id"]][0], True)]
