@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zlib
@@ -19,10 +20,13 @@ from pyspark.sql.types import StructType
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (``spark.checkpoint.dir``).
 
-    Only where it is unset (a single machine, as in tests) a temporary folder is made.
+    Only a session that runs on one machine, as tests do, gets a temporary folder where none is set.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir has to name a folder that all machines of {master} share")
         path = "file://" + tempfile.mkdtemp(prefix="auditlake-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -32,22 +36,46 @@ class Workspace:
     """Intermediate tables of one job, written as Parquet in the shared folder.
 
     A written table cuts the lineage: it survives the loss of any executor.
-    The files go when :meth:`close` is called, or else when the driver ends.
+    The files go when :meth:`close` is called, or else when the driver ends.  An operator
+    works in a :meth:`scope` of its caller's workspace and at its end keeps
+    the tables only that its result reads.
     """
 
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark, self._tables = spark, 0
-        self.root = f"{shared_dir(spark)}/auditlake-{uuid.uuid4().hex}"
-        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        self._path, self._fs = path, path.getFileSystem(spark._jsc.hadoopConfiguration())
-        self._fs.mkdirs(path)
-        self._fs.deleteOnExit(path)
-
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        self._tables += 1
-        path = f"{self.root}/{self._tables}-{name}"
-        df.write.parquet(path, compression="zstd")
-        return self.spark.read.schema(df.schema).parquet(path)
+    def __init__(self, spark: SparkSession, root: str | None = None) -> None:
+        self.spark, self._tables = spark, []
+        self.root = root or f"{shared_dir(spark)}/auditlake-{uuid.uuid4().hex}"
+        self._path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        self._fs = self._path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if root is None:
+            self._fs.mkdirs(self._path)
+            self._fs.deleteOnExit(self._path)
+
+    def scope(self) -> Workspace:
+        """A workspace of its own inside this one."""
+        return Workspace(self.spark, f"{self.root}/{uuid.uuid4().hex}")
+
+    def write(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """``by``: a column whose values get a folder each, for :meth:`drop`."""
+        path = f"{self.root}/{len(self._tables)}-{name}"
+        df.write.parquet(path, compression="zstd", partitionBy=by)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self._tables.append((table, path))
+        return table
+
+    def _delete(self, path: str) -> None:
+        self._fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(path), True)
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Delete all tables written so far but these."""
+        for table, path in self._tables:
+            if not any(table is x for x in tables):
+                self._delete(path)
+
+    def drop(self, table: DataFrame, folder: str = "") -> None:
+        """Delete a table, or one folder of it."""
+        for own, path in self._tables:
+            if own is table:
+                self._delete(f"{path}/{folder}")
 
     def close(self) -> None:
         self._fs.delete(self._path, True)
@@ -64,8 +92,9 @@ def word_codes(words: list[bytes]) -> np.ndarray:
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    """A 64-bit hash of each word, where words are never compared themselves."""
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    """A 128-bit hash of each word, as two numbers, where words are not compared themselves."""
+    both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.uint64)
+    return np.ascontiguousarray(both.reshape(-1, 2).T)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -6,17 +6,18 @@ places or more of the corpus.  Every word that a recurring window covers goes.
 1. *Anchors.*  Each window has one anchor: its least ``gram``-word hash (winnowing).
    Equal windows have equal anchors, so a recurring window has an anchor that was
    chosen at two places at least.  Anchors are counted over the whole corpus.
-2. *Regions.*  Windows whose anchor recurs are candidates.  Runs of them are cut out of
-   the documents and dealt to shards by anchor.  A Bloom filter of at most
+2. *Regions.*  All documents are read, and windows whose anchor recurs are candidates.  Runs of
+   them are cut out, with their words, and dealt to shards by anchor.  A Bloom filter of at most
    ``bloom_bits`` bits tells candidates apart where the text is read.  It may only let
    through too much: a full filter costs shuffle, never results.
-3. *Confirmation.*  Candidate windows are counted by shard and 64-bit hash of all their words;
-   those found twice or more are recurring.
-4. *Automata.*  Each shard compiles its anchor phrases into an Aho-Corasick automaton
-   and streams all its regions through it.  Around each occurrence the windows
-   are held against the shard's confirmed ones.  Shards
-   have a bounded number of phrases; one with many regions (a passage that a third of
-   the documents share) is dealt over several tasks, each with the same automaton.
+3. *Confirmation.*  Candidate windows are counted by a 128-bit hash of all their words (two numbers
+   from a 128-bit hash of each word); those found twice or more are recurring.
+4. *Automata.*  Each shard compiles the anchor phrases of its confirmed windows, as text, into an
+   Aho-Corasick automaton and streams all its regions through it.  An occurrence names its phrase,
+   and only with that can the windows around it be looked up: the shard's table of confirmed
+   windows is kept by phrase.  Shards have a bounded number of phrases; one with many regions (a
+   passage that a third of the documents share, or a text with a million copies) is
+   dealt row by row over several tasks, each with the same automaton.
 5. Spans are gathered by text and joined to the documents.
 
 Texts are known by two 64-bit hashes, so copies of a text share their spans.
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, covered, gram_hashes, mix, pick, runs, sliced, texts_of, winnow, with_fields, word_hashes
 
-#: Words of an anchor phrase; a phrase is held as two numbers of four words each.
+#: Words of an anchor phrase.
 GRAM = 8
 _IN_WORD = np.array([c != 0x20 and not 0x09 <= c <= 0x0D for c in range(256)])
 
@@ -85,58 +86,71 @@ class Bloom:
         return Bloom(words)
 
 
-def _phrases(codes: np.ndarray, gram: int) -> np.ndarray:
-    """Two numbers for each run of ``gram`` (8) words: the low 16 bits of each word's code."""
-    low = codes & np.uint64(0xFFFF)
-    n = max(0, len(codes) - gram + 1)
-    out = np.zeros((n, 2), np.uint64)
-    for i in range(gram):
-        out[:, i // 4] |= low[i : i + n] << np.uint64(16 * (i % 4))
-    return out
-
-
 class Regions:
-    """Word codes of many regions in one array, with an empty place after each region."""
+    """Words of many regions one after another, with an empty place after each region.
+
+    ``line`` is their text: a space before each place, and a line end at each empty one.
+    """
 
-    def __init__(self, codes: pa.Array, window: int) -> None:
-        held = codes.to_pylist()
-        self.codes = np.frombuffer(bytes(8).join([*held, b""]), np.uint64)
-        sizes = np.fromiter(map(len, held), np.int64, len(held)) // 8
+    def __init__(self, texts: pa.Array, window: int) -> None:
+        held = texts.to_pylist()
+        self.line = b" " + b" \n ".join(held) + b" \n"
+        self.words = self.line.split(b" ")[1:]
+        self.codes = word_hashes(self.words)
+        sizes = np.fromiter((x.count(b" ") for x in held), np.int64, len(held)) + 1
         self.starts = np.concatenate(([0], np.cumsum(sizes + 1)))[:-1]
-        self.own = gram_hashes(self.codes, window)
-        inside = np.zeros(len(self.codes) + 1, np.int32)  # places where a window of the region starts
+        self.own = [gram_hashes(c, window) for c in self.codes]
+        inside = np.zeros(len(self.words) + 1, np.int32)  # places where a window of the region starts
         inside[self.starts] += 1
         inside[self.starts + sizes - window + 1] -= 1
-        self.valid = np.cumsum(inside)[: len(self.own)] > 0
+        self.valid = np.cumsum(inside)[: len(self.own[0])] > 0
 
     def region_of(self, places: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, places, side="right") - 1
 
 
 class PhraseAutomaton:
-    """One shard: an automaton over its phrases, and the hashes of its recurring windows.
+    """One shard: an automaton over the phrases of its recurring windows, and these windows by phrase.
 
-    A word is two characters, so an occurrence counts where it ends on an even place.
+    ``own`` has a row for each recurring window: its anchor and both its hashes.  ``phrases`` are
+    anchors with their words; those without a recurring window are left out.
     """
 
-    def __init__(self, own: np.ndarray, phrases: np.ndarray, window: int) -> None:
-        self.window, self.own = window, np.unique(own)
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        for row in np.unique(phrases, axis=0):
-            self.automaton.add_word(row.astype("<u8").tobytes().decode("latin-1"))
+    def __init__(self, own: np.ndarray, phrases: list[tuple[int, bytes]], window: int) -> None:
+        self.window, known = window, set(own[:, 0].tolist())
+        key = own[:, 1] ^ mix(own[:, 0])
+        order = np.argsort(key, kind="stable")
+        self.key, self.second = key[order], own[order, 2]
+        self.automaton, anchors, sizes = ahocorasick.Automaton(), [], []
+        for anchor, words in phrases:
+            if anchor in known:
+                self.automaton.add_word(f" {words.decode('latin-1')} ", len(anchors))
+                anchors.append(anchor)
+                sizes.append(len(words) + 2)
         self.automaton.make_automaton()
+        self.anchors, self.sizes = np.array(anchors, np.uint64), np.array(sizes, np.int64)
 
     def locate(self, regions: Regions) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends, in the regions' array, of what recurring windows cover."""
-        line = regions.codes.astype("<u2").tobytes().decode("latin-1")
-        ends = np.fromiter((e for e, _ in self.automaton.iter(line)), np.int64)
-        places = (ends[ends % 2 == 1] + 1) // 2 - GRAM
-        reach, n = self.window - GRAM, len(regions.codes)
-        near = covered(np.maximum(places - reach, 0), reach + 1, n)[: len(regions.own)]
-        at = np.flatnonzero(near & regions.valid)
-        own = regions.own[at]
-        place = np.minimum(np.searchsorted(self.own, own), len(self.own) - 1)
-        return runs(covered(at[self.own[place] == own], self.window, n))
+        n = len(regions.words)
+        hits = np.array(list(self.automaton.iter(regions.line.decode("latin-1"))) if self.sizes.size else [], np.int64).reshape(-1, 2)
+        spaces = np.flatnonzero(np.frombuffer(regions.line, np.uint8) == 0x20)
+        places = np.searchsorted(spaces, hits[:, 0] + 1 - self.sizes[hits[:, 1]])
+        at = places[:, None] - np.arange(self.window - GRAM + 1)  # windows around each occurrence
+        row, offset = np.nonzero((at >= 0) & (at < len(regions.valid)))
+        at = at[row, offset]
+        ok = regions.valid[at]
+        at, row = at[ok], row[ok]
+        key = regions.own[0][at] ^ mix(self.anchors)[hits[row, 1]]
+        found, place = np.zeros(len(at), bool), np.searchsorted(self.key, key)
+        while len(at):  # rows of equal keys follow each other
+            here = place < len(self.key)
+            here[here] = self.key[place[here]] == key[here]
+            if not here.any():
+                break
+            found[here] |= self.second[place[here]] == regions.own[1][at[here]]
+            place = np.where(here, place + 1, len(self.key))
+        return runs(covered(np.unique(at[found]), self.window, n))
 
 
 def find_repeats(
@@ -150,14 +164,14 @@ def find_repeats(
     regions_per_task: int = 131_072,
 ) -> DataFrame:
     """Disjoint spans of recurring windows (end exclusive), each once, by text key ``k1``, ``k2``."""
-    spark, gram = docs.sparkSession, GRAM
+    spark, gram, workspace = docs.sparkSession, GRAM, workspace.scope()
     keyed = _with_key(pick(docs, (), text_col)).where("_text is not null")
 
     def count_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "_text"):
             found = []
             for text in texts_of(batch.column("_text")):
-                places, hashes = _anchors(word_hashes(text.split()), window, gram)
+                places, hashes = _anchors(word_hashes(text.split())[0], window, gram)
                 if len(places):
                     found.append(hashes[np.flatnonzero(np.diff(places, prepend=-1))])
             if found:
@@ -168,7 +182,7 @@ def find_repeats(
     anchors = workspace.write(anchors.where("n > 1").select("anchor"), "anchors")
     n_anchors = anchors.count()
     bloom = spark.sparkContext.broadcast(Bloom.build(anchors, "anchor", n_anchors, bloom_bits))
-    shards = max(1, -(-n_anchors // phrases_per_shard))
+    shards = 1 << (-(-n_anchors // phrases_per_shard) - 1).bit_length() if n_anchors else 1
 
     def cut_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = bloom.value
@@ -176,104 +190,104 @@ def find_repeats(
             rows: list[tuple] = []
             keys = zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), strict=True)
             for (k1, k2), text in zip(keys, texts_of(batch.column("_text")), strict=True):
-                codes = word_hashes(text.split())
-                _, hashes = _anchors(codes, window, gram)
+                words = text.split()
+                _, hashes = _anchors(word_hashes(words)[0], window, gram)
                 ok = known.has(hashes)
                 if not ok.any():
                     continue
-                shard = np.where(ok, (hashes % np.uint64(shards)).astype(np.int64), -1)
+                shard = np.where(ok, (hashes & np.uint64(shards - 1)).astype(np.int64), -1)
                 edges = np.flatnonzero(np.diff(shard, prepend=-2))
                 ends = np.append(edges[1:], len(shard))
                 for a, e, s in zip(edges.tolist(), ends.tolist(), shard[edges].tolist(), strict=True):
                     if s >= 0:
-                        rows.append((s, k1, k2, a, codes[a : e + window - 1].tobytes()))
+                        rows.append((s, k1, k2, a, b" ".join(words[a : e + window - 1])))
             if rows:
                 kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
                 yield pa.record_batch(
                     [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)],
-                    ["shard", "k1", "k2", "begin", "codes"],
+                    ["shard", "k1", "k2", "begin", "words"],
                 )
 
-    regions = keyed.mapInArrow(cut_regions, "shard int, k1 long, k2 long, begin int, codes binary")
+    regions = keyed.mapInArrow(cut_regions, "shard int, k1 long, k2 long, begin int, words binary")
     regions = workspace.write(regions, "regions")
 
-    def window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if len(batch):
-                found = Regions(batch.column("codes"), window)
-                at = np.flatnonzero(found.valid)
-                own, first, counts = np.unique(found.own[at], return_index=True, return_counts=True)
-                shard = batch.column("shard").to_numpy()[found.region_of(at[first])]
-                yield pa.record_batch([pa.array(shard), pa.array(own.view(np.int64)), pa.array(counts)], ["shard", "own", "n"])
-
-    def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if len(batch):
-                found = Regions(batch.column("codes"), window)
-                places, _ = _anchors(found.codes, window, gram)
-                chosen = places[found.valid]
-                new = np.flatnonzero(np.diff(chosen, prepend=-1))
-                shard = batch.column("shard").to_numpy()[found.region_of(chosen[new])]
-                rows = np.unique(np.column_stack((shard.astype(np.uint64), _phrases(found.codes, gram)[chosen[new]])), axis=0)
-                kinds = (np.int32, np.int64, np.int64)
-                yield pa.record_batch([pa.array(rows[:, i].astype(np.uint64).view(np.int64).astype(k)) for i, k in enumerate(kinds)], ["shard", "p1", "p2"])
-
-    held = regions.select("shard", "codes")
-    counted = held.mapInArrow(window_hashes, "shard int, own long, n long")
-    confirmed = counted.groupBy("shard", "own").agg(F.sum("n").alias("n")).where("n > 1").drop("n")
-    anchored = held.mapInArrow(phrases, "shard int, p1 long, p2 long").distinct()
+    def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Windows with their anchors, and the words of each anchor."""
+        for batch in sliced(batches, "words", 2 << 20):
+            found = Regions(batch.column("words"), window)
+            places, hashes = _anchors(found.codes[0], window, gram)
+            at = np.flatnonzero(found.valid)
+            own = np.column_stack((hashes[at], found.own[0][at], found.own[1][at]))
+            order = np.lexsort(own.T)
+            own = own[order]
+            first = np.flatnonzero(np.any(np.diff(own, axis=0, prepend=~own[:1]) != 0, axis=1))
+            counts = np.diff(first, append=len(own))
+            _, once = np.unique(hashes[at], return_index=True)
+            phrases = [b" ".join(found.words[p : p + gram]) for p in places[at[once]].tolist()]
+            n, m = len(first), len(phrases)
+            anchors = np.concatenate((own[first, 0], hashes[at[once]]))
+            numbers = [pa.concat_arrays([pa.array(own[first, i].view(np.int64)), pa.nulls(m, pa.int64())]) for i in (1, 2)]
+            yield pa.record_batch(
+                [pa.array(anchors.view(np.int64)), *numbers, pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(phrases, pa.binary())]), pa.array(np.concatenate((counts, np.zeros(m, np.int64))))],
+                ["anchor", "own1", "own2", "phrase", "n"],
+            )
+
+    found = regions.select("words").mapInArrow(evidence, "anchor long, own1 long, own2 long, phrase binary, n long")
+    found = found.groupBy("anchor", "own1", "own2", "phrase").agg(F.sum("n").alias("n")).where("n > 1 OR phrase IS NOT NULL").drop("n")
+    found = found.withColumn("shard", F.col("anchor").bitwiseAND(F.lit(shards - 1)).cast("int"))
 
     # As many tasks for a shard as its regions need; a row for each shard, and shards have a least size.
     tasks = regions.groupBy("shard").agg(F.ceil(F.count("*") / regions_per_task).cast("int").alias("tasks"))
     tasks = workspace.write(tasks, "tasks")
-    none = {c: F.lit(None).cast(t) for c, t in (("own", "long"), ("p1", "long"), ("p2", "long"), ("k1", "long"), ("k2", "long"), ("begin", "int"), ("codes", "binary"))}
-    columns = ["shard", "salt", "kind", *none]
+    empty = {c: F.lit(None).cast(t) for c, t in (("anchor", "long"), ("own1", "long"), ("own2", "long"), ("phrase", "binary"), ("k1", "long"), ("k2", "long"), ("begin", "int"), ("words", "binary"))}
+    columns = ["shard", "salt", "kind", *empty]
     rules = (
-        confirmed.withColumns({"kind": F.lit(0), "p1": none["p1"], "p2": none["p2"]})
-        .unionByName(anchored.withColumns({"kind": F.lit(1), "own": none["own"]}))
+        found.withColumn("kind", F.when(F.col("phrase").isNull(), 0).otherwise(1))
         .join(tasks, "shard")
         .withColumn("salt", F.explode(F.expr("sequence(0, tasks - 1)")))
-        .withColumns({c: none[c] for c in ("k1", "k2", "begin", "codes")})
+        .withColumns({c: empty[c] for c in ("k1", "k2", "begin", "words")})
     )
+    # Each row is dealt for itself: copies of a text go to all tasks of their shard.
     stream = (
-        regions.join(tasks, "shard")
-        .withColumn("salt", F.pmod(F.hash("k1", "begin"), "tasks").cast("int"))
-        .withColumns({"kind": F.lit(2)} | {c: none[c] for c in ("own", "p1", "p2")})
+        regions.withColumn("salt", F.xxhash64(F.monotonically_increasing_id()))
+        .join(tasks, "shard")
+        .withColumn("salt", F.pmod("salt", "tasks").cast("int"))
+        .withColumns({"kind": F.lit(2)} | {c: empty[c] for c in ("anchor", "own1", "own2", "phrase")})
     )
     dealt = rules.select(columns).unionByName(stream.select(columns)).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, own, held, automaton = None, [], [], None
-        for batch in batches:
-            if not len(batch):
+        for whole in batches:
+            if not len(whole):
                 continue
-            cols = [batch.column(c).to_numpy() for c in ("shard", "salt", "kind")]
-            change = np.flatnonzero(np.any([np.diff(x, prepend=x[0] - 1) for x in cols], axis=0)).tolist()
-            for a, e in zip(change, [*change[1:], len(batch)], strict=True):
-                part, here, kind = batch.slice(a, e - a), (cols[0][a], cols[1][a]), cols[2][a]
+            keys = [whole.column(c).to_numpy() for c in ("shard", "salt", "kind")]
+            change = np.flatnonzero(np.any([np.diff(x, prepend=x[0] - 1) for x in keys], axis=0)).tolist()
+            for a, e in zip(change, [*change[1:], len(whole)], strict=True):
+                here, kind = (keys[0][a], keys[1][a]), keys[2][a]
                 if here != at:
                     at, own, held, automaton = here, [], [], None
                 if kind == 0:
-                    own.append(part.column("own").to_numpy().view(np.uint64))
+                    own.append(np.column_stack([whole.column(c).slice(a, e - a).to_numpy().view(np.uint64) for c in ("anchor", "own1", "own2")]))
                 elif kind == 1:
-                    held.append(np.column_stack([part.column(c).to_numpy().view(np.uint64) for c in ("p1", "p2")]))
+                    held += zip(whole.column("anchor").slice(a, e - a).to_numpy().view(np.uint64).tolist(), whole.column("phrase").slice(a, e - a).to_pylist(), strict=True)
                 elif own and held:
                     if automaton is None:
-                        automaton = PhraseAutomaton(np.concatenate(own), np.concatenate(held), window)
-                    found = Regions(part.column("codes"), window)
-                    begin, until = automaton.locate(found)
-                    r = found.region_of(begin)
-                    first = part.column("begin").to_numpy()[r] - found.starts[r]
-                    yield pa.record_batch(
-                        [
-                            *(pa.array(part.column(k).to_numpy()[r]) for k in ("k1", "k2")),
-                            pa.array((first + begin).astype(np.int32)),
-                            pa.array((first + until).astype(np.int32)),
-                        ],
-                        ["k1", "k2", "begin", "until"],
-                    )
-
-    return workspace.write(dealt.mapInArrow(scan, _SPAN).distinct(), "spans")
+                        automaton = PhraseAutomaton(np.concatenate(own), held, window)
+                    for part in sliced([whole.slice(a, e - a)], "words", 2 << 20):
+                        yield located(automaton, part)
+
+    def located(automaton: PhraseAutomaton, part: pa.RecordBatch) -> pa.RecordBatch:
+        found = Regions(part.column("words"), window)
+        begin, until = automaton.locate(found)
+        r = found.region_of(begin)
+        first = part.column("begin").to_numpy()[r] - found.starts[r]
+        keys = [pa.array(part.column(k).to_numpy()[r]) for k in ("k1", "k2")]
+        return pa.record_batch([*keys, *(pa.array((first + x).astype(np.int32)) for x in (begin, until))], ["k1", "k2", "begin", "until"])
+
+    spans = workspace.write(dealt.mapInArrow(scan, _SPAN).distinct(), "spans")
+    workspace.keep(spans)
+    return spans
 
 
 def remove_repeats(
@@ -297,9 +311,11 @@ def remove_repeats(
     ``window`` words lose nothing; repeated rows are repeated texts and lose what is
     long enough in each of them.  Only the named columns are read.
     """
-    spans = find_repeats(docs, workspace, text_col=text_col, window=window, **options)
+    workspace, steps = workspace.scope(), workspace.scope()
+    spans = find_repeats(docs, steps, text_col=text_col, window=window, **options)
     gathered = spans.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("begin", "until"))).alias("spans"))
     gathered = workspace.write(gathered, "gathered")
+    steps.close()
     base = _with_key(pick(docs, carry, text_col))
     joined = base.join(gathered, ["k1", "k2"], "left").select(*[F.col(f"`{c}`") for c in carry], "_text", "spans")
     schema = with_fields(base, carry, "n_words long, n_removed long, kept string, clean_text string")

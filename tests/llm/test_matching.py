@@ -218,3 +218,59 @@ def test_words_of_equal_crc_are_told_apart(spark, workspace):
     own = prose(4, 34)
     docs = spark.createDataFrame([(0, f"{own} plumless"), (1, f"{own} buckeroo")], "doc_id long, text string")
     assert [r["n_removed"] for r in remove_repeats(docs, workspace).collect()] == [0, 0]
+
+
+def test_the_automaton_decides(spark, workspace, monkeypatch):
+    """Occurrences come from the automaton alone: a phrase it lacks leaves its windows in place."""
+    import auditlake.llm.substring_dedup as sd
+
+    passage = prose(5, 60)
+    docs = spark.createDataFrame([(i, f"{prose(i + 20, 30)} {passage}") for i in range(3)], "doc_id long, text string")
+    regions = sd.Regions(sd.pa.array([passage.encode(), b"x " + passage.encode()], sd.pa.binary()), 35)
+    places, hashes = sd._anchors(regions.codes[0], 35, sd.GRAM)
+    at = np.flatnonzero(regions.valid)
+    own = np.column_stack((hashes[at], regions.own[0][at], regions.own[1][at]))
+    phrases = {int(hashes[i]): b" ".join(regions.words[places[i] : places[i] + sd.GRAM]) for i in at}
+    whole = sd.PhraseAutomaton(own, list(phrases.items()), 35).locate(regions)
+    assert [x.tolist() for x in whole] == [[0, 61], [60, 122]]
+    assert len(phrases) > 1
+    for left_out in phrases:
+        less = sd.PhraseAutomaton(own, [(k, v) for k, v in phrases.items() if k != left_out], 35).locate(regions)
+        assert (less[1] - less[0]).sum() < 121
+    unconfirmed = sd.PhraseAutomaton(own[own[:, 0] != left_out], list(phrases.items()), 35)
+    assert len(unconfirmed.automaton) == len(phrases) - 1
+    assert [r["n_removed"] for r in remove_repeats(docs, workspace).collect()] == [60] * 3
+
+
+def test_copies_of_a_text_go_to_all_tasks_of_their_shard(spark, workspace, monkeypatch):
+    import auditlake.llm.substring_dedup as sd
+
+    kind, seen = type(spark.range(0)), []
+    real = kind.repartition
+    monkeypatch.setattr(kind, "repartition", lambda self, *a: seen.append((a, self.where("kind = 2").groupBy("shard", "salt").count().collect())) or real(self, *a))
+    docs = spark.createDataFrame([(i, prose(1, 40)) for i in range(400)], "doc_id long, text string")
+    spans = sd.find_repeats(docs, workspace, regions_per_task=20)
+    assert [(r["begin"], r["until"]) for r in spans.collect()] == [(0, 40)]
+    dealt = next(rows for a, rows in seen if a == ("shard", "salt"))
+    assert len(dealt) == 20 and max(r["count"] for r in dealt) < 60
+
+
+def test_tables_of_an_operator_go_when_it_ends(spark, workspace):
+    import os
+
+    docs = spark.createDataFrame([(i, prose(i % 3, 80)) for i in range(9)], "doc_id long, text string")
+    out = remove_repeats(docs, workspace)
+    held = [d for d, _, files in os.walk(workspace.root.removeprefix("file://")) if any(f.endswith(".parquet") for f in files)]
+    assert len(held) == 1 and held[0].endswith("gathered")
+    assert out.count() == 9
+
+
+def test_no_silent_local_folder(spark, monkeypatch):
+    import auditlake.llm.common as common
+
+    class Far:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("S", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(Far)
