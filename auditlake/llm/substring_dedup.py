@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,13 +38,14 @@ from .common import Workspace, covered, gram_hashes, mix, pick, runs, sliced, te
 
 #: Words of an anchor phrase.
 GRAM = 8
+_TAG = np.uint64((1 << 32) - 1)
 _IN_WORD = np.array([c != 0x20 and not 0x09 <= c <= 0x0D for c in range(256)])
 
 _SPAN = "k1 long, k2 long, begin int, until int"
 
 
-def _with_key(df: DataFrame) -> DataFrame:
-    return df.withColumns({"k1": F.xxhash64("_text"), "k2": F.xxhash64(F.lit("second"), "_text")})
+def _with_key(df: DataFrame, lead: str = "") -> DataFrame:
+    return df.withColumns({f"{lead}k1": F.xxhash64("_text"), f"{lead}k2": F.xxhash64(F.lit("second"), "_text")})
 
 
 def _anchors(codes: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,8 +114,8 @@ class Regions:
 class PhraseAutomaton:
     """One shard: an automaton over the phrases of its recurring windows, and these windows by phrase.
 
-    ``own`` has a row for each recurring window: its anchor and both its hashes.  ``phrases`` are
-    anchors with their words; those without a recurring window are left out.
+    ``own`` has a row for each recurring window: the tag of its anchor (the low half of its hash) and
+    both hashes of the window.  ``phrases`` are tags with the anchors' words; those without a recurring window are left out.
     """
 
     def __init__(self, own: np.ndarray, phrases: list[tuple[int, bytes]], window: int) -> None:
@@ -121,14 +123,14 @@ class PhraseAutomaton:
         key = own[:, 1] ^ mix(own[:, 0])
         order = np.argsort(key, kind="stable")
         self.key, self.second = key[order], own[order, 2]
-        self.automaton, anchors, sizes = ahocorasick.Automaton(), [], []
-        for anchor, words in phrases:
-            if anchor in known:
-                self.automaton.add_word(f" {words.decode('latin-1')} ", len(anchors))
-                anchors.append(anchor)
+        self.automaton, tags, sizes = ahocorasick.Automaton(), [], []
+        for tag, words in phrases:
+            if tag in known:
+                self.automaton.add_word(f" {words.decode('latin-1')} ", len(tags))
+                tags.append(tag)
                 sizes.append(len(words) + 2)
         self.automaton.make_automaton()
-        self.anchors, self.sizes = np.array(anchors, np.uint64), np.array(sizes, np.int64)
+        self.tags, self.sizes = np.array(tags, np.uint64), np.array(sizes, np.int64)
 
     def locate(self, regions: Regions) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends, in the regions' array, of what recurring windows cover."""
@@ -141,7 +143,7 @@ class PhraseAutomaton:
         at = at[row, offset]
         ok = regions.valid[at]
         at, row = at[ok], row[ok]
-        key = regions.own[0][at] ^ mix(self.anchors)[hits[row, 1]]
+        key = regions.own[0][at] ^ mix(self.tags)[hits[row, 1]]
         found, place = np.zeros(len(at), bool), np.searchsorted(self.key, key)
         while len(at):  # rows of equal keys follow each other
             here = place < len(self.key)
@@ -182,7 +184,7 @@ def find_repeats(
     anchors = workspace.write(anchors.where("n > 1").select("anchor"), "anchors")
     n_anchors = anchors.count()
     bloom = spark.sparkContext.broadcast(Bloom.build(anchors, "anchor", n_anchors, bloom_bits))
-    shards = 1 << (-(-n_anchors // phrases_per_shard) - 1).bit_length() if n_anchors else 1
+    shards = min(1 << 31, 1 << (-(-n_anchors // phrases_per_shard) - 1).bit_length()) if n_anchors else 1
 
     def cut_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = bloom.value
@@ -217,7 +219,8 @@ def find_repeats(
             found = Regions(batch.column("words"), window)
             places, hashes = _anchors(found.codes[0], window, gram)
             at = np.flatnonzero(found.valid)
-            own = np.column_stack((hashes[at], found.own[0][at], found.own[1][at]))
+            tags = hashes & _TAG
+            own = np.column_stack((tags[at], found.own[0][at], found.own[1][at]))
             order = np.lexsort(own.T)
             own = own[order]
             first = np.flatnonzero(np.any(np.diff(own, axis=0, prepend=~own[:1]) != 0, axis=1))
@@ -225,21 +228,21 @@ def find_repeats(
             _, once = np.unique(hashes[at], return_index=True)
             phrases = [b" ".join(found.words[p : p + gram]) for p in places[at[once]].tolist()]
             n, m = len(first), len(phrases)
-            anchors = np.concatenate((own[first, 0], hashes[at[once]]))
+            every = np.concatenate((own[first, 0], tags[at[once]])).astype(np.uint32).view(np.int32)
             numbers = [pa.concat_arrays([pa.array(own[first, i].view(np.int64)), pa.nulls(m, pa.int64())]) for i in (1, 2)]
             yield pa.record_batch(
-                [pa.array(anchors.view(np.int64)), *numbers, pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(phrases, pa.binary())]), pa.array(np.concatenate((counts, np.zeros(m, np.int64))))],
-                ["anchor", "own1", "own2", "phrase", "n"],
+                [pa.array(every), *numbers, pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(phrases, pa.binary())]), pa.array(np.concatenate((counts, np.zeros(m, np.int64))))],
+                ["tag", "own1", "own2", "phrase", "n"],
             )
 
-    found = regions.select("words").mapInArrow(evidence, "anchor long, own1 long, own2 long, phrase binary, n long")
-    found = found.groupBy("anchor", "own1", "own2", "phrase").agg(F.sum("n").alias("n")).where("n > 1 OR phrase IS NOT NULL").drop("n")
-    found = found.withColumn("shard", F.col("anchor").bitwiseAND(F.lit(shards - 1)).cast("int"))
+    found = regions.select("words").mapInArrow(evidence, "tag int, own1 long, own2 long, phrase binary, n long")
+    found = found.groupBy("tag", "own1", "own2", "phrase").agg(F.sum("n").alias("n")).where("n > 1 OR phrase IS NOT NULL").drop("n")
+    found = found.withColumn("shard", F.col("tag").bitwiseAND(F.lit(shards - 1)))
 
     # As many tasks for a shard as its regions need; a row for each shard, and shards have a least size.
     tasks = regions.groupBy("shard").agg(F.ceil(F.count("*") / regions_per_task).cast("int").alias("tasks"))
     tasks = workspace.write(tasks, "tasks")
-    empty = {c: F.lit(None).cast(t) for c, t in (("anchor", "long"), ("own1", "long"), ("own2", "long"), ("phrase", "binary"), ("k1", "long"), ("k2", "long"), ("begin", "int"), ("words", "binary"))}
+    empty = {c: F.lit(None).cast(t) for c, t in (("tag", "int"), ("own1", "long"), ("own2", "long"), ("phrase", "binary"), ("k1", "long"), ("k2", "long"), ("begin", "int"), ("words", "binary"))}
     columns = ["shard", "salt", "kind", *empty]
     rules = (
         found.withColumn("kind", F.when(F.col("phrase").isNull(), 0).otherwise(1))
@@ -252,7 +255,7 @@ def find_repeats(
         regions.withColumn("salt", F.xxhash64(F.monotonically_increasing_id()))
         .join(tasks, "shard")
         .withColumn("salt", F.pmod("salt", "tasks").cast("int"))
-        .withColumns({"kind": F.lit(2)} | {c: empty[c] for c in ("anchor", "own1", "own2", "phrase")})
+        .withColumns({"kind": F.lit(2)} | {c: empty[c] for c in ("tag", "own1", "own2", "phrase")})
     )
     dealt = rules.select(columns).unionByName(stream.select(columns)).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
 
@@ -267,10 +270,13 @@ def find_repeats(
                 here, kind = (keys[0][a], keys[1][a]), keys[2][a]
                 if here != at:
                     at, own, held, automaton = here, [], [], None
-                if kind == 0:
-                    own.append(np.column_stack([whole.column(c).slice(a, e - a).to_numpy().view(np.uint64) for c in ("anchor", "own1", "own2")]))
-                elif kind == 1:
-                    held += zip(whole.column("anchor").slice(a, e - a).to_numpy().view(np.uint64).tolist(), whole.column("phrase").slice(a, e - a).to_pylist(), strict=True)
+                if kind < 2:
+                    part = whole.slice(a, e - a)
+                    tags = part.column("tag").to_numpy().view(np.uint32).astype(np.uint64)
+                    if kind == 0:
+                        own.append(np.column_stack((tags, *(part.column(c).to_numpy().view(np.uint64) for c in ("own1", "own2")))))
+                    else:
+                        held += zip(tags.tolist(), part.column("phrase").to_pylist(), strict=True)
                 elif own and held:
                     if automaton is None:
                         automaton = PhraseAutomaton(np.concatenate(own), held, window)
@@ -316,14 +322,25 @@ def remove_repeats(
     gathered = spans.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("begin", "until"))).alias("spans"))
     gathered = workspace.write(gathered, "gathered")
     steps.close()
-    base = _with_key(pick(docs, carry, text_col))
-    joined = base.join(gathered, ["k1", "k2"], "left").select(*[F.col(f"`{c}`") for c in carry], "_text", "spans")
+    gathered = gathered.withColumnsRenamed({c: f"_{c}" for c in gathered.columns})
+    base = _with_key(pick(docs, carry, text_col), "_")
+    # Only texts whose key is in the filter are dealt out by key; a full filter costs shuffle, never results.
+    known = docs.sparkSession.sparkContext.broadcast(Bloom.build(gathered, "_k1", gathered.count(), options.get("bloom_bits", 1 << 28)))
+
+    @F.pandas_udf("boolean")
+    def listed(k1: pd.Series) -> pd.Series:
+        return pd.Series(known.value.has(k1.to_numpy().view(np.uint64)))
+
+    names = [*[F.col(f"`{c}`") for c in carry], F.col("_text"), F.col("_spans")]
+    base = base.withColumn("_listed", listed("_k1"))
+    cut_ones = base.where("_listed").join(gathered, ["_k1", "_k2"], "left").select(names)
+    joined = base.where("NOT _listed").withColumn("_spans", F.lit(None).cast(dict(gathered.dtypes)["_spans"])).select(names).unionByName(cut_ones)
     schema = with_fields(base, carry, "n_words long, n_removed long, kept string, clean_text string")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "_text"):
             out = []
-            for raw, spans in zip(batch.column("_text").cast(pa.large_binary()).to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            for raw, spans in zip(batch.column("_text").cast(pa.large_binary()).to_pylist(), batch.column("_spans").to_pylist(), strict=True):
                 words = (raw or b"").split()
                 if not spans:
                     out.append((len(words), 0, b" ".join(words), raw))

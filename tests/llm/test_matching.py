@@ -229,6 +229,7 @@ def test_the_automaton_decides(spark, workspace, monkeypatch):
     regions = sd.Regions(sd.pa.array([passage.encode(), b"x " + passage.encode()], sd.pa.binary()), 35)
     places, hashes = sd._anchors(regions.codes[0], 35, sd.GRAM)
     at = np.flatnonzero(regions.valid)
+    hashes = hashes & sd._TAG
     own = np.column_stack((hashes[at], regions.own[0][at], regions.own[1][at]))
     phrases = {int(hashes[i]): b" ".join(regions.words[places[i] : places[i] + sd.GRAM]) for i in at}
     whole = sd.PhraseAutomaton(own, list(phrases.items()), 35).locate(regions)
