@@ -10,8 +10,8 @@ places or more of the corpus.  Every word that a recurring window covers goes.
    them are cut out, with their words, and dealt to shards by anchor.  A Bloom filter of at most
    ``bloom_bits`` bits tells candidates apart where the text is read.  It may only let
    through too much: a full filter costs shuffle, never results.
-3. *Confirmation.*  Candidate windows are counted by a 128-bit hash of all their words (two numbers
-   from a 128-bit hash of each word); those found twice or more are recurring.
+3. *Confirmation.*  Candidate windows are counted by two numbers, made of 128-bit hashes of their words: one
+   hash of the whole window, and a *mark* of half another one and half the anchor's; those found twice or more are recurring.
 4. *Automata.*  Each shard compiles the anchor phrases of its confirmed windows, as text, into an
    Aho-Corasick automaton and streams all its regions through it.  An occurrence names its phrase,
    and only with that can the windows around it be looked up: the shard's table of confirmed
@@ -114,15 +114,13 @@ class Regions:
 class PhraseAutomaton:
     """One shard: an automaton over the phrases of its recurring windows, and these windows by phrase.
 
-    ``own`` has a row for each recurring window: the tag of its anchor (the low half of its hash) and
-    both hashes of the window.  ``phrases`` are tags with the anchors' words; those without a recurring window are left out.
+    ``own`` has a row for each recurring window: its hash and its mark, whose low half is the tag of its
+    phrase.  ``phrases`` are tags with the anchors' words; those without a recurring window are left out.
     """
 
     def __init__(self, own: np.ndarray, phrases: list[tuple[int, bytes]], window: int) -> None:
-        self.window, known = window, set(own[:, 0].tolist())
-        key = own[:, 1] ^ mix(own[:, 0])
-        order = np.argsort(key, kind="stable")
-        self.key, self.second = key[order], own[order, 2]
+        self.window, known = window, set((own[:, 1] & _TAG).tolist())
+        self.key, self.mark = own[np.argsort(own[:, 0], kind="stable")].T
         self.automaton, tags, sizes = ahocorasick.Automaton(), [], []
         for tag, words in phrases:
             if tag in known:
@@ -143,14 +141,14 @@ class PhraseAutomaton:
         at = at[row, offset]
         ok = regions.valid[at]
         at, row = at[ok], row[ok]
-        key = regions.own[0][at] ^ mix(self.tags)[hits[row, 1]]
+        key, mark = regions.own[0][at], (regions.own[1][at] & ~_TAG) | self.tags[hits[row, 1]]
         found, place = np.zeros(len(at), bool), np.searchsorted(self.key, key)
         while len(at):  # rows of equal keys follow each other
             here = place < len(self.key)
             here[here] = self.key[place[here]] == key[here]
             if not here.any():
                 break
-            found[here] |= self.second[place[here]] == regions.own[1][at[here]]
+            found[here] |= self.mark[place[here]] == mark[here]
             place = np.where(here, place + 1, len(self.key))
         return runs(covered(np.unique(at[found]), self.window, n))
 
@@ -220,29 +218,33 @@ def find_repeats(
             places, hashes = _anchors(found.codes[0], window, gram)
             at = np.flatnonzero(found.valid)
             tags = hashes & _TAG
-            own = np.column_stack((tags[at], found.own[0][at], found.own[1][at]))
-            order = np.lexsort(own.T)
-            own = own[order]
-            first = np.flatnonzero(np.any(np.diff(own, axis=0, prepend=~own[:1]) != 0, axis=1))
+            own, mark = found.own[0][at], (found.own[1][at] & ~_TAG) | tags[at]
+            order = np.argsort(own, kind="stable")
+            own, mark = own[order], mark[order]
+            first = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (mark[1:] != mark[:-1])))
             counts = np.diff(first, append=len(own))
             _, once = np.unique(hashes[at], return_index=True)
             phrases = [b" ".join(found.words[p : p + gram]) for p in places[at[once]].tolist()]
             n, m = len(first), len(phrases)
-            every = np.concatenate((own[first, 0], tags[at[once]])).astype(np.uint32).view(np.int32)
-            numbers = [pa.concat_arrays([pa.array(own[first, i].view(np.int64)), pa.nulls(m, pa.int64())]) for i in (1, 2)]
+            none = [pa.nulls(k, t) for k, t in ((m, pa.int64()), (n, pa.binary()))]
             yield pa.record_batch(
-                [pa.array(every), *numbers, pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array(phrases, pa.binary())]), pa.array(np.concatenate((counts, np.zeros(m, np.int64))))],
-                ["tag", "own1", "own2", "phrase", "n"],
+                [
+                    pa.concat_arrays([pa.array(own[first].view(np.int64)), none[0]]),
+                    pa.array(np.concatenate((mark[first], tags[at[once]])).view(np.int64)),
+                    pa.concat_arrays([none[1], pa.array(phrases, pa.binary())]),
+                    pa.array(np.concatenate((counts, np.zeros(m, np.int64)))),
+                ],
+                ["own", "mark", "phrase", "n"],
             )
 
-    found = regions.select("words").mapInArrow(evidence, "tag int, own1 long, own2 long, phrase binary, n long")
-    found = found.groupBy("tag", "own1", "own2", "phrase").agg(F.sum("n").alias("n")).where("n > 1 OR phrase IS NOT NULL").drop("n")
-    found = found.withColumn("shard", F.col("tag").bitwiseAND(F.lit(shards - 1)))
+    found = regions.select("words").mapInArrow(evidence, "own long, mark long, phrase binary, n long")
+    found = found.groupBy("own", "mark", "phrase").agg(F.sum("n").alias("n")).where("n > 1 OR phrase IS NOT NULL").drop("n")
+    found = found.withColumn("shard", F.col("mark").bitwiseAND(F.lit(shards - 1)).cast("int"))
 
     # As many tasks for a shard as its regions need; a row for each shard, and shards have a least size.
     tasks = regions.groupBy("shard").agg(F.ceil(F.count("*") / regions_per_task).cast("int").alias("tasks"))
     tasks = workspace.write(tasks, "tasks")
-    empty = {c: F.lit(None).cast(t) for c, t in (("tag", "int"), ("own1", "long"), ("own2", "long"), ("phrase", "binary"), ("k1", "long"), ("k2", "long"), ("begin", "int"), ("words", "binary"))}
+    empty = {c: F.lit(None).cast(t) for c, t in (("own", "long"), ("mark", "long"), ("phrase", "binary"), ("k1", "long"), ("k2", "long"), ("begin", "int"), ("words", "binary"))}
     columns = ["shard", "salt", "kind", *empty]
     rules = (
         found.withColumn("kind", F.when(F.col("phrase").isNull(), 0).otherwise(1))
@@ -255,7 +257,7 @@ def find_repeats(
         regions.withColumn("salt", F.xxhash64(F.monotonically_increasing_id()))
         .join(tasks, "shard")
         .withColumn("salt", F.pmod("salt", "tasks").cast("int"))
-        .withColumns({"kind": F.lit(2)} | {c: empty[c] for c in ("tag", "own1", "own2", "phrase")})
+        .withColumns({"kind": F.lit(2)} | {c: empty[c] for c in ("own", "mark", "phrase")})
     )
     dealt = rules.select(columns).unionByName(stream.select(columns)).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
 
@@ -272,11 +274,10 @@ def find_repeats(
                     at, own, held, automaton = here, [], [], None
                 if kind < 2:
                     part = whole.slice(a, e - a)
-                    tags = part.column("tag").to_numpy().view(np.uint32).astype(np.uint64)
                     if kind == 0:
-                        own.append(np.column_stack((tags, *(part.column(c).to_numpy().view(np.uint64) for c in ("own1", "own2")))))
+                        own.append(np.column_stack([part.column(c).to_numpy().view(np.uint64) for c in ("own", "mark")]))
                     else:
-                        held += zip(tags.tolist(), part.column("phrase").to_pylist(), strict=True)
+                        held += zip(part.column("mark").to_numpy().tolist(), part.column("phrase").to_pylist(), strict=True)
                 elif own and held:
                     if automaton is None:
                         automaton = PhraseAutomaton(np.concatenate(own), held, window)

@@ -230,7 +230,7 @@ def test_the_automaton_decides(spark, workspace, monkeypatch):
     places, hashes = sd._anchors(regions.codes[0], 35, sd.GRAM)
     at = np.flatnonzero(regions.valid)
     hashes = hashes & sd._TAG
-    own = np.column_stack((hashes[at], regions.own[0][at], regions.own[1][at]))
+    own = np.column_stack((regions.own[0][at], (regions.own[1][at] & ~sd._TAG) | hashes[at]))
     phrases = {int(hashes[i]): b" ".join(regions.words[places[i] : places[i] + sd.GRAM]) for i in at}
     whole = sd.PhraseAutomaton(own, list(phrases.items()), 35).locate(regions)
     assert [x.tolist() for x in whole] == [[0, 61], [60, 122]]
@@ -238,7 +238,7 @@ def test_the_automaton_decides(spark, workspace, monkeypatch):
     for left_out in phrases:
         less = sd.PhraseAutomaton(own, [(k, v) for k, v in phrases.items() if k != left_out], 35).locate(regions)
         assert (less[1] - less[0]).sum() < 121
-    unconfirmed = sd.PhraseAutomaton(own[own[:, 0] != left_out], list(phrases.items()), 35)
+    unconfirmed = sd.PhraseAutomaton(own[hashes[at] != left_out], list(phrases.items()), 35)
     assert len(unconfirmed.automaton) == len(phrases) - 1
     assert [r["n_removed"] for r in remove_repeats(docs, workspace).collect()] == [60] * 3
 
