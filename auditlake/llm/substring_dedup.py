@@ -38,6 +38,7 @@ from .common import Workspace, covered, gram_hashes, mix, pick, runs, sliced, te
 
 #: Words of an anchor phrase.
 GRAM = 8
+_SLICE = 2 << 20
 _TAG = np.uint64((1 << 32) - 1)
 _IN_WORD = np.array([c != 0x20 and not 0x09 <= c <= 0x0D for c in range(256)])
 
@@ -160,7 +161,7 @@ def find_repeats(
     text_col: str = "text",
     window: int = 35,
     bloom_bits: int = 1 << 28,
-    phrases_per_shard: int = 16_384,
+    phrases_per_shard: int = 8_192,
     regions_per_task: int = 131_072,
 ) -> DataFrame:
     """Disjoint spans of recurring windows (end exclusive), each once, by text key ``k1``, ``k2``."""
@@ -168,7 +169,7 @@ def find_repeats(
     keyed = _with_key(pick(docs, (), text_col)).where("_text is not null")
 
     def count_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "_text"):
+        for batch in sliced(batches, "_text", _SLICE):
             found = []
             for text in texts_of(batch.column("_text")):
                 places, hashes = _anchors(word_hashes(text.split())[0], window, gram)
@@ -186,7 +187,7 @@ def find_repeats(
 
     def cut_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = bloom.value
-        for batch in sliced(batches, "_text"):
+        for batch in sliced(batches, "_text", _SLICE):
             rows: list[tuple] = []
             keys = zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), strict=True)
             for (k1, k2), text in zip(keys, texts_of(batch.column("_text")), strict=True):
@@ -213,7 +214,7 @@ def find_repeats(
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Windows with their anchors, and the words of each anchor."""
-        for batch in sliced(batches, "words", 2 << 20):
+        for batch in sliced(batches, "words", _SLICE // 2):
             found = Regions(batch.column("words"), window)
             places, hashes = _anchors(found.codes[0], window, gram)
             at = np.flatnonzero(found.valid)
@@ -281,7 +282,7 @@ def find_repeats(
                 elif own and held:
                     if automaton is None:
                         automaton = PhraseAutomaton(np.concatenate(own), held, window)
-                    for part in sliced([whole.slice(a, e - a)], "words", 2 << 20):
+                    for part in sliced([whole.slice(a, e - a)], "words", _SLICE // 2):
                         yield located(automaton, part)
 
     def located(automaton: PhraseAutomaton, part: pa.RecordBatch) -> pa.RecordBatch:
@@ -339,7 +340,7 @@ def remove_repeats(
     schema = with_fields(base, carry, "n_words long, n_removed long, kept string, clean_text string")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "_text"):
+        for batch in sliced(batches, "_text", _SLICE):
             out = []
             for raw, spans in zip(batch.column("_text").cast(pa.large_binary()).to_pylist(), batch.column("_spans").to_pylist(), strict=True):
                 words = (raw or b"").split()
