@@ -12,6 +12,11 @@ def fold(id_col: str, parts: int) -> Column:
     return F.pmod(F.crc32(F.encode(F.col(f"`{id_col}`").cast("string"), "UTF-8")), F.lit(parts)).cast("int")
 
 
+def is_held_out(id_col: str, parts: int, held_out: int) -> Column:
+    """Whether a row is held out.  A row without an id is not, but nothing is learned from it either."""
+    return F.coalesce(fold(id_col, parts) == held_out, F.lit(False))
+
+
 def labelled_sample(
     docs: DataFrame,
     labels: DataFrame,
@@ -22,25 +27,32 @@ def labelled_sample(
     parts: int,
     held_out: int,
     per_class: int,
-    balanced: bool = False,
-) -> DataFrame:
-    """``_text`` and ``label`` (0 or 1) of about ``per_class`` training rows of each label.
+    longest: int = 200_000,
+) -> tuple[DataFrame, dict[int, int]]:
+    """``id``, ``_text`` and ``label`` (0 or 1) of about ``per_class`` training rows of each label, and how many
+    training ids have each label.
 
-    ``balanced``: no more of one label than there are of the other.  Rows are taken by a hash of their id.  Null ids, texts and labels are left out; of several
+    Held-out labels are nowhere looked at.  Rows are taken by a hash of their id, whole; rows with a text of over
+    ``longest`` bytes are not taken.  Repeated rows are taken once.  Null ids, texts and labels are left out; of several
     labels of an id the greatest counts.
     """
     own = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label"))
-    own = own.where(F.col("label").isin(0, 1)).groupBy("id").agg(F.max("label").alias("label")).where(fold("id", parts) != held_out)
+    own = own.where(fold("id", parts) != held_out).where(F.col("label").isin(0, 1)).groupBy("id").agg(F.max("label").alias("label"))
     sizes = {r["label"]: r["count"] for r in own.groupBy("label").count().collect()}
-    if balanced and sizes:
-        per_class = min(per_class, *sizes.values())
     share = F.lit(1.0)
     for label, n in sizes.items():
         share = F.when(F.col("label") == label, F.lit(min(1.0, per_class / max(n, 1)))).otherwise(share)
     place = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
     chosen = own.where(place < share)  # about 2 * per_class rows
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("_text")).where("_text is not null")
-    return texts.join(F.broadcast(chosen), "id").select("id", "_text", "label")
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
+    texts = texts.where(F.octet_length("_text") <= longest)
+    return texts.join(F.broadcast(chosen), "id").select("id", "_text", "label").dropDuplicates(["id", "_text"]), sizes
+
+
+def class_weights(y: np.ndarray, sizes: dict[int, int]) -> np.ndarray:
+    """Classes are sampled apart: rows stand for their share of all training labels."""
+    weights = np.where(y == 1, sizes[1] / max(1, (y == 1).sum()), sizes[0] / max(1, (y == 0).sum()))
+    return weights * len(y) / weights.sum()
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, mix, pick, sliced, texts_of, with_fields
-from .labelled import labelled_sample, sigmoid
+from .labelled import class_weights, labelled_sample, sigmoid
 
 _ENDINGS = 32
 _KINDS = 9
@@ -174,7 +174,6 @@ def score_quality(
     parts: int = 4,
     held_out: int = 2,
     per_class: int = 3_000,
-    train_passages: int = 48,
     passage_words: int = 64,
     threshold: float = 0.7,
 ) -> DataFrame:
@@ -182,34 +181,29 @@ def score_quality(
 
     Returns the columns ``carry`` of ``docs``, then ``score`` (0 to 1, higher is better), ``predicted`` (1 from
     ``threshold`` on), ``n_passages`` and ``attention``, the weight of each passage.  Labels are learned
-    from about ``per_class`` documents of each, ``train_passages`` evenly spaced passages of each, of rows
-    whose crc32(id as text) modulo ``parts`` is not ``held_out``; scoring takes all passages.  Id, language
-    and source are no inputs.  A null, empty or wordless text is one passage without words.  If the
+    from about ``per_class`` whole documents of each, of rows whose crc32(id as text) modulo ``parts`` is
+    not ``held_out``; all their passages are trained on.  Id, language and source are no inputs.  Rows without an id are
+    scored and not learned from.  A null, empty or wordless text is one passage without words.  If the
     sample lacks one of the labels, every score is the share of good rows in it (0.5 without rows).
     Repeated rows score alike.
     """
-    sample = labelled_sample(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, parts=parts, held_out=held_out, per_class=per_class)
+    sample, sizes = labelled_sample(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, parts=parts, held_out=held_out, per_class=per_class)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "_text"):
             x, count = passages(texts_of(batch.column("_text")), passage_words)
-            starts = np.concatenate(([0], np.cumsum(count)))
-            own = [np.unique(np.linspace(starts[i], starts[i + 1] - 1, min(n, train_passages)).astype(int)) for i, n in enumerate(count)]
-            yield pa.record_batch([batch.column("id"), batch.column("label"), pa.array([x[r].tobytes() for r in own], pa.binary())], ["id", "label", "x"])
+            edges = np.cumsum(np.concatenate(([0], count))).tolist()
+            yield pa.record_batch([batch.column("id"), batch.column("label"), pa.array([x[a:e].tobytes() for a, e in zip(edges[:-1], edges[1:], strict=True)], pa.binary())], ["id", "label", "x"])
 
     kind = dict(sample.dtypes)["id"]
-    # At most about 2 * per_class rows of train_passages short vectors.
+    # At most about 2 * per_class rows of bounded texts, as short vectors.
     rows = sample.mapInArrow(encode, f"id {kind}, label int, x binary").toArrow().to_pylist()
     rows.sort(key=lambda r: (str(r["id"]), r["x"]))
     y = np.array([r["label"] for r in rows], float)
     model, base = None, float(y.mean()) if len(y) else 0.5
     if len(set(y.tolist())) == 2:
         bags = [np.frombuffer(r["x"], np.float32).reshape(-1, N_FEATURES) for r in rows]
-        true = labels.where(F.col(f"`{label_col}`").isin(0, 1)).groupBy(F.col(f"`{label_col}`").cast("int").alias("label")).count().collect()
-        true = {r["label"]: r["count"] for r in true}
-        # Classes are sampled apart: rows stand for their share of all labelled rows.
-        weight = np.where(y == 1, true[1] / (y == 1).sum(), true[0] / (y == 0).sum())
-        model = AttentionModel.train(np.concatenate(bags).astype(float), np.array([len(b) for b in bags]), y, weight * len(y) / weight.sum())
+        model = AttentionModel.train(np.concatenate(bags).astype(float), np.array([len(b) for b in bags]), y, class_weights(y, sizes))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     base_docs = pick(docs, carry, text_col)
 

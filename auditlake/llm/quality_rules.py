@@ -163,7 +163,7 @@ def apply_quality_rules(
     null labels and labels without a text are left out.  Without labels of both kinds there are no learned
     rules.  Repeated rows are judged alike.
     """
-    sample = labelled_sample(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, parts=1, held_out=1, per_class=per_class)
+    sample, _ = labelled_sample(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, parts=1, held_out=1, per_class=per_class)
     shown = with_statistics(sample).select(
         "label", (F.pmod(F.xxhash64(F.lit("grow"), "id"), F.lit(3)) > 0).alias("grown"), *[F.expr(e).alias(f) for f, e in FEATURES.items()]
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import Workspace
 from .decontaminate import mark_contamination
-from .labelled import fold
+from .labelled import fold, is_held_out
 from .language_id import identify_languages
 from .licenses import families, scan_licenses
 from .lm_scoring import score_texts
@@ -33,7 +33,7 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Workspace(spark), parts=5, held_out=0)
-    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", is_held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,13 +73,13 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = identify_languages(table(spark, sf_dir, "documents"), parts=3, held_out=1)
-    return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", is_held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_texts(table(spark, sf_dir, "documents"), fold("doc_id", 7) != 2, Workspace(spark))
     return scored.select(
-        "doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+        "doc_id", is_held_out("doc_id", 7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )
 
 
@@ -97,7 +97,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Workspace(spark), parts=4, held_out=2)
-    return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", is_held_out("doc_id", 4, 2).alias("held_out"), "score", "predicted")
 
 
 QUERIES: dict[str, Query] = {

@@ -277,3 +277,60 @@ def test_wrapped_license_wording_is_confirmed(spark, workspace):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for r in scan_licenses(docs, workspace).collect():
         assert [(x["line"], x["family"], x["confirmed"]) for x in r["found"]] == [(2, long[r["doc_id"]][0], True)]
+
+
+@pytest.mark.parametrize("which", ["toxic", "quality"])
+def test_held_out_labels_are_nowhere_learned(spark, workspace, which):
+    """Scores stay equal to the last bit whatever the held-out labels are."""
+    score, parts, held = (score_toxicity, 5, 0) if which == "toxic" else (score_quality, 4, 2)
+    docs, labels = labelled(spark, lambda i: prose(i, 40) + (" vile" if i % 4 else ""), lambda i: prose(i, 60), which)
+    flipped = labels.withColumn(which, F.when(fold("doc_id", parts) == held, F.lit(0)).otherwise(F.col(which)))
+    dropped = labels.where(fold("doc_id", parts) != held)
+    rows = [{r["doc_id"]: r["score"] for r in score(docs, x, workspace).collect()} for x in (labels, flipped, dropped)]
+    assert rows[0] == rows[1] == rows[2]
+
+
+def test_kneser_ney_probabilities_against_counts(spark, workspace):
+    """Tables against the formulas, counted by hand, for all folds and without one."""
+    from auditlake.llm import toxicity as tox
+
+    texts = [("a b a b c", 1, 0), ("a b d d b", 1, 1), ("b a c a b", 0, 0), ("c c a b", 0, 2), ("", 0, 1)]
+    sample = spark.createDataFrame(texts, "_text string, label int, fold int")
+    counts = tox.Counts(sample, workspace, 20, 21)
+    for without in (0, 3):
+        model = counts.model(without)
+        pairs = [Counter(), Counter()]
+        for text, label, own in texts:
+            if own != without:
+                words = ["", *text.split()]
+                pairs[label].update(zip(words[:-1], words[1:], strict=True))
+        kinds = [Counter(w for _, w in p) for p in pairs]
+        types = len(set(kinds[0]) | set(kinds[1]))
+        smooth = len(kinds[0]) + len(kinds[1]) + types
+
+        def discount(values):
+            once, twice = sum(x == 1 for x in values), sum(x == 2 for x in values)
+            return min(0.95, max(0.05, once / max(1, once + 2 * twice)))
+
+        def probability(c, v, w, discount=discount, kinds=kinds, pairs=pairs, smooth=smooth, types=types):
+            d, every = discount(kinds[c].values()), max(1, sum(kinds[c].values()))
+            left = d * len(kinds[c]) / every if kinds[c] else 1
+            word = max(kinds[c][w] - d, 0) / every + left * ((w in kinds[0]) + (w in kinds[1]) + 0.5 + 0.5 * types / (1 << 20)) / smooth
+            n = sum(x for (a, _), x in pairs[c].items() if a == v)
+            if not n:
+                return word
+            e = discount(pairs[c].values())
+            return max(pairs[c][v, w] - e, 0) / n + e * sum(a == v for a, _ in pairs[c]) / n * word
+
+        for text in ("a b c", "d d", "b"):
+            words = ["", *text.split()]
+            got = model.features([text.encode()])[0]
+            logs = [np.mean([math.log(probability(c, v, w)) for v, w in zip(words[:-1], words[1:], strict=True)]) for c in (1, 0)]
+            assert got[0] == pytest.approx(logs[0] - logs[1], rel=1e-4, abs=1e-5)
+
+
+def test_rows_without_an_id_are_scored_and_not_held_out(spark):
+    from auditlake.llm.labelled import is_held_out
+
+    rows = spark.createDataFrame([(None,), (1,), (5,)], "doc_id long").select(is_held_out("doc_id", 5, 0).alias("h")).collect()
+    assert [r["h"] for r in rows] == [False, zlib.crc32(b"1") % 5 == 0, zlib.crc32(b"5") % 5 == 0]
