@@ -57,7 +57,13 @@ class Workspace:
     def write(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
         """``by``: a column whose values get a folder each, for :meth:`drop`."""
         path = f"{self.root}/{len(self._tables)}-{name}"
-        df.write.parquet(path, compression="zstd", partitionBy=by)
+        if by:  # an open file for each folder, no sorting of large rows
+            self.spark.conf.set("spark.sql.maxConcurrentOutputFileWriters", 8)
+        try:
+            df.write.parquet(path, compression="zstd", partitionBy=by)
+        finally:
+            if by:
+                self.spark.conf.unset("spark.sql.maxConcurrentOutputFileWriters")
         table = self.spark.read.schema(df.schema).parquet(path)
         self._tables.append((table, path))
         return table

@@ -141,7 +141,7 @@ class Model:
         by_pair = np.where(context > 0, pair / np.maximum(context, 1), 0)
         n, v = max(self.n, 1), self.v
         left = _DISCOUNT * v / n if v else 1.0
-        by_word = np.where(count >= 1, (count - _DISCOUNT) / n, left / (v + 1))
+        by_word = np.maximum(count - _DISCOUNT, 0) / n + left / (v + 1)  # what is taken off goes to all words alike
         return context, by_pair, by_word
 
     @staticmethod
@@ -351,7 +351,6 @@ def score_texts(
     text_col: str = "text",
     carry: tuple[str, ...] = ("doc_id",),
     filter_bits: int = 1 << 30,
-    head_words: int = 1 << 20,
     pairs_per_block: int = 4_000_000,
 ) -> DataFrame:
     """Score whole texts by a model of those rows where ``train`` is true.
@@ -361,7 +360,7 @@ def score_texts(
     probability).  A null text is an empty one: its only token is the end.  A row for which
     ``train`` is null (a null id) is scored and not learned from.  Without training rows the base
     score is that of a one-word vocabulary.  Repeated rows count as often as they come.
-    ``head_words`` has no effect any more: all words have exact counts.
+    All words have exact counts.  ``filter_bits`` bounds one block's part of the filter, never the whole.
     """
     rows = docs.withColumn("_train", train).select(*[F.col(f"`{c}`") for c in carry], F.coalesce("_train", F.lit(False)).alias("_train"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("_text"))
     size = rows.agg(F.sum(F.octet_length("_text")).alias("bytes")).first()["bytes"] or 0
@@ -369,12 +368,16 @@ def score_texts(
     blocks = _SEGMENTS
     while blocks < _MOST_BLOCKS and size / 6 > blocks * room:
         blocks *= 2
-    blobs = workspace.write(_gather(rows, blocks), "blobs")
+    workspace = workspace.scope()
+    blobs = workspace.write(_gather(rows, blocks), "blobs", by="_kind")
     answers = workspace.write(_answers(blobs, blocks), "answers")
+    for kind in (1, 2):  # answered
+        workspace.drop(blobs, f"_kind={kind}")
     told = workspace.write(_tell(blobs, answers, blocks), "told")
     seen = blobs.where("_kind = 0 AND _train").agg(F.count("*").alias("docs"), F.sum(F.octet_length("_keys") / 4).cast("long").alias("n")).first()
     n, v = seen["n"] or 0, answers.agg(F.sum("_new").alias("v")).first()["v"] or 0
     model = Model(n, v, seen["docs"])
+    workspace.keep(told)
     weights = _fit_weights(told.where("_train"), model)
     schema = with_fields(told, carry, "n_tokens long, n_known long, train_tokens long, base_score double, score double")
     whole = float(np.log10(n + v + 1))

@@ -2,10 +2,11 @@
 
 Text statistics are native expressions.  For training, each statistic of a bounded sample of
 labelled documents is cut at its quantiles, and one aggregation counts good and bad
-documents by cell.  On these counts sequential covering grows one rule after another: a
-conjunction of thresholds that gains most against the documents not yet covered, pruned
-against a part that it was not grown on.  The list ends where a rule would no longer be
-right more often than not.  It is emitted as one ordered conditional expression.
+documents by cell.  On these counts sequential covering grows one rule after another: for either
+verdict a conjunction of thresholds that gains most on the documents not yet covered, pruned
+against a part that it was not grown on.  The one that is right more often joins the list, with
+its verdict, and what it covers is left to it.  The list ends where no rule does better than the
+verdict that most of the rest have, which is the last arm.  It is emitted as one ordered conditional expression.
 """
 
 from __future__ import annotations
@@ -80,65 +81,79 @@ class Condition:
         return f"{FEATURES[self.feature]} {'>' if self.above else '<='} {self.threshold!r}D"
 
 
-def learn_rules(cells: list[tuple[tuple[int, ...], int, int, bool]], cuts: dict[str, list[float]], *, most_rules: int = 24, most_conditions: int = 4, least_bad: int = 8) -> list[list[Condition]]:
-    """Rules for bad documents from cells: place between the cuts of each feature, good and bad documents, grown on or not."""
+@dataclass(frozen=True)
+class DecisionList:
+    """Rules in order, each with its verdict, and the verdict on what no rule covers."""
+
+    rules: tuple[tuple[tuple[Condition, ...], bool], ...] = ()
+    rest: bool = True
+
+    def sql(self) -> str:
+        arms = " ".join(f"WHEN {' AND '.join(c.sql() for c in rule)} THEN {str(keep).lower()}" for rule, keep in self.rules)
+        return f"CASE {arms} ELSE {str(self.rest).lower()} END" if arms else str(self.rest).lower()
+
+
+def learn_rules(
+    cells: list[tuple[tuple[int, ...], int, int, bool]], cuts: dict[str, list[float]], *, most_rules: int = 24, most_conditions: int = 4, least: int = 8
+) -> DecisionList:
+    """From cells: place between the cuts of each feature, good and bad documents, grown on or not."""
     if not cells:
-        return []
+        return DecisionList()
     place = np.array([c[0] for c in cells])
-    good, bad = (np.array([c[i] for c in cells], float) for i in (1, 2))
+    counts = np.array([[c[2], c[1]] for c in cells], float).T  # bad, good
     grown = np.array([c[3] for c in cells])
-    names = list(FEATURES)
     tests = [
         (Condition(f, above, cut), (place[:, i] > k) == above)
-        for i, f in enumerate(names)
+        for i, f in enumerate(FEATURES)
         for k, cut in enumerate(cuts[f])
         for above in (True, False)
     ]
-    left, rules = np.ones(len(cells), bool), []
-    while len(rules) < most_rules:
-        rule: list[tuple[Condition, np.ndarray]] = []
+    masks = np.array([hit for _, hit in tests]).reshape(len(tests), len(cells)).astype(np.float32)
+
+    def grow(left: np.ndarray, keep: int) -> list[int]:
+        rule: list[int] = []
         at = left & grown
         while len(rule) < most_conditions:
-            p, n = bad[at].sum(), good[at].sum()
+            p, n = counts[keep][at].sum(), counts[1 - keep][at].sum()
             if not p or not n:
                 break
-            best, gain = None, 1e-9
-            for test in tests:
-                own = at & test[1]
-                q, m = bad[own].sum(), good[own].sum()
-                # Information gained by the bad documents that stay (FOIL).
-                if q >= least_bad and (g := q * (np.log2((q + 1) / (q + m + 2)) - np.log2((p + 1) / (p + n + 2)))) > gain:
-                    best, gain = test, g
-            if best is None:
+            q, m = (masks @ (counts[c] * at).astype(np.float32) for c in (keep, 1 - keep))
+            # Information gained by the documents that the verdict is right for (FOIL).
+            gain = np.where(q >= least, q * (np.log2((q + 1) / (q + m + 2)) - np.log2((p + 1) / (p + n + 2))), 0)
+            best = int(np.argmax(gain))
+            if gain[best] <= 1e-6:
                 break
             rule.append(best)
-            at = at & best[1]
-        if not rule:
-            break
+            at = at & tests[best][1]
+        return rule
 
-        def worth(k: int, rule: list = rule) -> float:
-            own = left & ~grown
-            for _, hit in rule[:k]:
-                own = own & hit
-            return (bad[own].sum() + 1) / (bad[own].sum() + good[own].sum() + 2)
-
-        size = max(range(1, len(rule) + 1), key=lambda k: (worth(k), -k))
-        if worth(size) <= 0.5:
-            break
-        rules.append([c for c, _ in rule[:size]])
-        own = left.copy()
-        for _, hit in rule[:size]:
-            own &= hit
-        left &= ~own
-    return rules
+    def covers(left: np.ndarray, rule: list[int]) -> np.ndarray:
+        for i in rule:
+            left = left & tests[i][1]
+        return left
 
+    def right(at: np.ndarray, keep: int) -> float:
+        return (counts[keep][at].sum() + 1) / (counts[:, at].sum() + 2)
 
-def verdict(rules: list[list[Condition]]) -> Column:
-    """False where a rule holds, else true; the first rule that holds decides."""
-    if not rules:
-        return F.lit(True)
-    arms = " ".join(f"WHEN {' AND '.join(c.sql() for c in rule)} THEN false" for rule in rules)
-    return F.expr(f"CASE {arms} ELSE true END")
+    left, rules = np.ones(len(cells), bool), []
+    while len(rules) < most_rules:
+        shown = left & ~grown
+        found = []
+        for keep in (0, 1):
+            rule = grow(left, keep)
+            sizes = [(right(covers(shown, rule[:k]), keep), -k) for k in range(1, len(rule) + 1)]
+            if sizes:
+                worth, size = max(sizes)
+                # Better than a guess, and than the share the verdict has in what is left.
+                if worth > max(0.5, right(shown, keep)):
+                    found.append((worth, keep, rule[:-size]))
+        if not found:
+            break
+        _, keep, rule = max(found)
+        rules.append((tuple(tests[i][0] for i in rule), bool(keep)))
+        left &= ~covers(left, rule)
+    bad, good = counts[:, left].sum(axis=1)
+    return DecisionList(tuple(rules), bool(good >= bad))
 
 
 def apply_quality_rules(
@@ -163,6 +178,7 @@ def apply_quality_rules(
     null labels and labels without a text are left out.  Without labels of both kinds there are no learned
     rules.  Repeated rows are judged alike.
     """
+    workspace = workspace.scope()
     sample, _ = labelled_sample(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, parts=1, held_out=1, per_class=per_class)
     shown = with_statistics(sample).select(
         "label", (F.pmod(F.xxhash64(F.lit("grow"), "id"), F.lit(3)) > 0).alias("grown"), *[F.expr(e).alias(f) for f, e in FEATURES.items()]
@@ -175,9 +191,10 @@ def apply_quality_rules(
     counted = shown.select("label", "grown", *cell).groupBy("grown", *FEATURES).agg(F.count_if(F.col("label") == 1).alias("good"), F.count_if(F.col("label") == 0).alias("bad"))
     # No more cells than rows of the sample.
     cells = [(tuple(r[f] for f in FEATURES), r["good"], r["bad"], r["grown"]) for r in counted.collect()]
-    rules = learn_rules(cells, places) if sum(c[2] for c in cells) and sum(c[1] for c in cells) else []
+    rules = learn_rules(cells, places) if sum(c[2] for c in cells) and sum(c[1] for c in cells) else DecisionList()
+    workspace.close()
     out = with_statistics(pick(docs, carry, text_col))
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeat_percent * F.col("n_words"))
-    return out.withColumns({"base_failed": failed, "kept": ~failed & verdict(rules)}).select(
+    return out.withColumns({"base_failed": failed, "kept": ~failed & F.expr(rules.sql())}).select(
         *[F.col(f"`{c}`") for c in carry], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )

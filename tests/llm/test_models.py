@@ -179,7 +179,7 @@ def test_log_bloom_counts_are_never_too_low():
     assert (bloom.levels(rng.integers(0, 1 << 63, 5000, dtype=np.uint64)) > 0).mean() < 0.03
 
 
-@pytest.mark.parametrize("options", [{}, {"head_words": 3}, {"filter_bits": 1 << 22, "pairs_per_block": 1}])
+@pytest.mark.parametrize("options", [{}, {"filter_bits": 1 << 22, "pairs_per_block": 1}])
 def test_base_scores_are_exact(spark, workspace, odd_docs, no_docs, options):
     rows = odd_docs.collect()
     train = F.coalesce(F.col("doc_id") % 2 == 0, F.lit(False))
@@ -334,3 +334,33 @@ def test_rows_without_an_id_are_scored_and_not_held_out(spark):
 
     rows = spark.createDataFrame([(None,), (1,), (5,)], "doc_id long").select(is_held_out("doc_id", 5, 0).alias("h")).collect()
     assert [r["h"] for r in rows] == [False, zlib.crc32(b"1") % 5 == 0, zlib.crc32(b"5") % 5 == 0]
+
+
+def test_decision_list_is_ordered_and_has_both_verdicts(spark):
+    """Good documents lie in a pocket among bad ones: only a keep arm before a drop arm tells them."""
+    from auditlake.llm.quality_rules import FEATURES, DecisionList, learn_rules
+
+    cells = []
+    for a in range(10):
+        for b in range(10):
+            for grown in (True, False):
+                good = 2 <= a <= 4 and 3 <= b <= 6 or a > 7
+                cells.append(((a, b, *[0] * (len(FEATURES) - 2)), 20 * good + 1, 20 * (not good) + 1, grown))
+    names = list(FEATURES)
+    cuts = {f: [float(x) for x in range(1, 10)] if i < 2 else [] for i, f in enumerate(names)}
+    found = learn_rules(cells, cuts)
+    assert {keep for _, keep in found.rules} == {True, False}
+
+    def verdict(rules, rest, a, b):
+        value = {names[0]: a + 0.5, names[1]: b + 0.5}
+        for rule, keep in rules:
+            if all((value[c.feature] > c.threshold) == c.above for c in rule):
+                return keep
+        return rest
+
+    truth = {(a, b): 2 <= a <= 4 and 3 <= b <= 6 or a > 7 for a in range(10) for b in range(10)}
+    hit = [verdict(found.rules, found.rest, a, b) == truth[a, b] for a, b in truth]
+    assert np.mean(hit) >= 0.95
+    turned = [verdict(found.rules[::-1], found.rest, a, b) == truth[a, b] for a, b in truth]
+    assert np.mean(turned) < np.mean(hit)
+    assert spark.sql(f"SELECT {DecisionList().sql()} AS kept").first()["kept"] is True
