@@ -2,8 +2,9 @@
 
 Every word of a text gets a distribution over languages from the forward-backward algorithm;
 a text's language is the one with the largest mean probability.  A word's evidence comes from
-its affixes, its letter n-grams and the word itself (a learned lexicon), hashed to
-``1 << bits`` weights for each language.  The weights of languages following each other are learned
+its affixes, all its letter trigrams and the word itself (a learned lexicon), hashed to
+``1 << bits`` weights for each language.  Combining marks belong to their word.  Runs of over 32 letters, as scripts
+without spaces have, are labelled in units of 16.  The weights of languages following each other are learned
 from training sequences that switch language as mixed texts do.
 
 Forward-backward runs over whole texts: blocks of words are first reduced to transfer matrices,
@@ -12,13 +13,13 @@ all at once; messages then pass from block to block; and within all blocks at on
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,26 +27,45 @@ from .common import pick, sliced, with_fields
 from .labelled import fold
 
 _BLOCK = 32
-_SLOTS = 20
 _CACHE = 1 << 19
-_WORD = re.compile(r"[^\W\d_]+")
+_UNIT = 16
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+#: Weights that a model has at most, over all languages.
+_MOST_WEIGHTS = 1 << 26
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters, lower-cased."""
+    """Runs of letters with their marks, lower-cased; very long ones in units."""
     found = _WORD.findall(text.lower()) if text else []
-    return found if any(c.isalpha() for w in found for c in w[:1]) else [w for w in found if any(map(str.isalpha, w))]
+    if any(len(w) > 2 * _UNIT for w in found):
+        found = [u for w in found for u in ([w] if len(w) <= 2 * _UNIT else [w[i : i + _UNIT] for i in range(0, len(w), _UNIT)])]
+    return found
 
 
 def word_features(word: str, bits: int) -> list[int]:
-    """Hashed affixes, letter trigrams and the word itself; place 0 is empty."""
-    w = word if len(word) <= 40 else word[:20] + word[-20:]
-    marked = f"^{w}$"
-    names = [f"p{w[:n]}" for n in range(1, 5)] + [f"s{w[-n:]}" for n in range(1, 5)]
-    names += [marked[i : i + 3] for i in range(min(len(marked) - 2, _SLOTS - 9))]
+    """Hashed affixes, letter trigrams and the word itself."""
+    marked = f"^{word}$"
+    names = [f"p{word[:n]}" for n in range(1, 5)] + [f"s{word[-n:]}" for n in range(1, 5)]
+    names += [marked[i : i + 3] for i in range(len(marked) - 2)]
     names.append(f"w{word}")
     mask = (1 << bits) - 1
-    return [1 + zlib.crc32(x.encode()) % mask for x in names]
+    return [zlib.crc32(x.encode()) & mask for x in names]
+
+
+class Features:
+    """Features of many words, one after another."""
+
+    def __init__(self, words: list[str], bits: int) -> None:
+        own = [word_features(w, bits) for w in words]
+        self.sizes = np.fromiter(map(len, own), np.int64, len(own))
+        self.starts = np.cumsum(np.concatenate(([0], self.sizes)))[:-1]
+        self.flat = np.fromiter((f for x in own for f in x), np.int64, int(self.sizes.sum()))
+
+    def of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Features of the words at these numbers, where each word's start, and how many it has."""
+        sizes = self.sizes[words]
+        starts = np.cumsum(np.concatenate(([0], sizes)))[:-1]
+        return self.flat[np.repeat(self.starts[words] - starts, sizes) + np.arange(sizes.sum())], starts, sizes
 
 
 @dataclass
@@ -69,16 +89,11 @@ class Field:
             cache.clear()
             self.rows.clear()
         new = [w for w in dict.fromkeys(words) if w not in cache]
-        if new:
-            at = np.zeros((len(new), _SLOTS), np.int64)
-            for i, w in enumerate(new):
-                own = word_features(w, self.bits)
-                at[i, : len(own)] = own
-            base = sum(map(len, self.rows))
-            self.rows.append(self.emit[at].sum(axis=1))
-            cache.update(zip(new, range(base, base + len(new)), strict=True))
-            if len(self.rows) > 8:
-                self.rows[:] = [np.concatenate(self.rows)]
+        base = sum(map(len, self.rows))
+        for i in range(0, len(new), 16_384):
+            own = Features(new[i : i + 16_384], self.bits)
+            self.rows.append(np.add.reduceat(self.emit[own.flat], own.starts, axis=0))
+        cache.update(zip(new, range(base, base + len(new)), strict=True))
         table = self.rows[0] if len(self.rows) == 1 else np.concatenate(self.rows) if self.rows else np.zeros((0, len(self.languages)))
         self.rows[:] = [table]
         return table[np.fromiter(map(cache.__getitem__, words), np.int64, len(words))]
@@ -88,6 +103,8 @@ class Field:
         n, k = scores.shape
         if not n:
             return scores
+        if k > 16:  # a block's transfer matrix would be large
+            return self._word_by_word(scores, sizes)
         blocks = -(-sizes // _BLOCK)
         first = np.concatenate(([0], np.cumsum(blocks)))[:-1]
         starts = np.concatenate(([0], np.cumsum(sizes)))[:-1]
@@ -131,18 +148,40 @@ class Field:
         return out / out.sum(axis=1, keepdims=True)
 
 
-def train_field(snippets: list[tuple[str, list[str]]], languages: list[str], *, bits: int = 18, rounds: int = 4, seed: int = 7) -> Field:
-    """Maximum likelihood by AdaGrad; sequences join up to three snippets."""
+    def _word_by_word(self, scores: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The same, one word of all texts after another: for many languages."""
+        held = np.exp(scores - scores.max(axis=1, keepdims=True))
+        move = np.exp(self.move - self.move.max())
+        starts = np.cumsum(np.concatenate(([0], sizes)))[:-1]
+        order = np.argsort(-sizes, kind="stable")
+        starts, sizes = starts[order], sizes[order]
+        live = np.searchsorted(-sizes, -np.arange(int(sizes.max())), side="left")  # texts with more than t words
+        ahead = held.astype(float)
+        for t in range(len(live)):
+            at = starts[: live[t]] + t
+            ahead[at] *= ahead[at - 1] @ move if t else move.mean(axis=0)
+            ahead[at] /= ahead[at].sum(axis=1, keepdims=True)
+        back = np.ones(ahead.shape)
+        for t in range(len(live) - 1, 0, -1):
+            at = starts[: live[t]] + t
+            new = (held[at] * back[at]) @ move.T
+            back[at - 1] = new / new.sum(axis=1, keepdims=True)
+        out = ahead * back
+        return out / out.sum(axis=1, keepdims=True)
+
+
+def train_field(texts: list[tuple[str, list[str]]], languages: list[str], *, bits: int = 18, rounds: int = 4, piece: int = 40, seed: int = 7) -> Field:
+    """Maximum likelihood by AdaGrad.  Texts are cut into pieces; sequences join up to three, often of several languages."""
     rng, k = np.random.default_rng(seed), len(languages)
     index = {x: i for i, x in enumerate(languages)}
-    model = Field(languages, bits, np.zeros((1 << bits, k)), np.zeros((k, k)))
+    model = Field(languages, bits, np.zeros((1 << bits, k), np.float32), np.zeros((k, k)))
     vocabulary: dict[str, int] = {}
-    coded = [(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words]), index[lang]) for lang, words in snippets if words]
-    features = np.zeros((len(vocabulary), _SLOTS), np.int64)
-    for w, i in vocabulary.items():
-        own = word_features(w, bits)
-        features[i, : len(own)] = own
-    square, square_move, rate = np.full((1 << bits, k), 1e-6), np.full((k, k), 1e-6), 0.25
+    coded = []
+    for lang, words in texts:
+        numbers = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words], np.int64)
+        coded += [(numbers[i : i + piece], index[lang]) for i in range(0, len(numbers), piece)]
+    features = Features(list(vocabulary), bits)
+    square, square_move, rate = np.full((1 << bits, k), 1e-6, np.float32), np.full((k, k), 1e-6), 0.25
     for _ in range(rounds):
         order, at = rng.permutation(len(coded)), 0
         while at < len(order):
@@ -153,30 +192,31 @@ def train_field(snippets: list[tuple[str, list[str]]], languages: list[str], *,
                 batch += [coded[i][0] for i in own]
                 truth += [np.full(len(coded[i][0]), coded[i][1]) for i in own]
                 sizes.append(sum(len(coded[i][0]) for i in own))
-            words, gold, sizes = np.concatenate(batch), np.concatenate(truth), np.array(sizes)
-            at_features = features[words]
-            scores = model.emit[at_features].sum(axis=1)
-            p = model.marginals(scores, sizes)
+            gold, sizes = np.concatenate(truth), np.array(sizes)
+            flat, starts, counts = features.of(np.concatenate(batch))
+            p = model.marginals(np.add.reduceat(model.emit[flat], starts, axis=0), sizes)
             error = p.copy()
             error[np.arange(len(gold)), gold] -= 1
-            grad = np.zeros_like(model.emit)
-            np.add.at(grad, at_features.ravel(), np.repeat(error, _SLOTS, axis=0))
-            grad[0] = 0
+            by = np.argsort(flat, kind="stable")
+            edges = np.flatnonzero(np.diff(flat[by], prepend=-1))
+            grad = np.add.reduceat(np.repeat(error, counts, axis=0)[by], edges, axis=0) / len(gold)
+            seen = flat[by][edges]
             # Expected and true moves; the pair marginals follow from neighbouring ones and the move weights.
             inner = np.ones(len(gold), bool)
             inner[np.concatenate(([0], np.cumsum(sizes)[:-1]))] = False
             b = np.flatnonzero(inner)
-            joint = p[b - 1][:, :, None] * np.exp(model.move)[None] * p[b][:, None, :]
-            for _ in range(6):  # fit both margins
-                joint *= (p[b - 1] / np.maximum(joint.sum(axis=2), 1e-300))[:, :, None]
-                joint *= (p[b] / np.maximum(joint.sum(axis=1), 1e-300))[:, None, :]
-            move = joint.sum(axis=0)
+            move = np.zeros((k, k))
+            for part in np.array_split(b, max(1, len(b) * k * k >> 24)):
+                joint = p[part - 1][:, :, None] * np.exp(model.move)[None] * p[part][:, None, :]
+                for _ in range(6):  # fit both margins
+                    joint *= (p[part - 1] / np.maximum(joint.sum(axis=2), 1e-300))[:, :, None]
+                    joint *= (p[part] / np.maximum(joint.sum(axis=1), 1e-300))[:, None, :]
+                move += joint.sum(axis=0)
             np.add.at(move, (gold[b - 1], gold[b]), -1)
-            grad /= len(gold)
             move /= len(gold)
-            square += grad * grad
+            square[seen] += grad * grad
             square_move += move * move
-            model.emit -= rate * grad / np.sqrt(square)
+            model.emit[seen] -= rate * grad / np.sqrt(square[seen])
             model.move -= rate * move / np.sqrt(square_move)
     return model
 
@@ -190,9 +230,8 @@ def identify_languages(
     carry: tuple[str, ...] = ("doc_id",),
     parts: int = 3,
     held_out: int = 1,
-    per_language: int = 1_500,
-    most_languages: int = 200,
-    snippet_words: int = 40,
+    per_language: int = 400,
+    longest: int = 50_000,
     bits: int = 18,
 ) -> DataFrame:
     """The language of every whole text and of its parts.
@@ -200,39 +239,30 @@ def identify_languages(
     Returns the columns ``carry`` of ``docs``, then ``lang_pred``, ``score`` (the mean probability of
     that language over all words) and ``segments``: runs of words of one language, as first word,
     end (exclusive) and language.  Words are runs of letters.  A text that is null or has no letter
-    is ``und`` with score 0.  Languages are learned from about ``per_language`` texts of each label, a
-    snippet of ``snippet_words`` words of each, of rows whose crc32(id as text) modulo ``parts`` is not
-    ``held_out``; id, label and source are no inputs of a prediction.  Without labels all
+    is ``und`` with score 0.  Every label is learned, from about ``per_language`` whole texts of each (repeated rows
+    once, none of over ``longest`` bytes), of rows whose crc32(id as text) modulo ``parts`` is not
+    ``held_out``; id, label and source are no inputs of a prediction.  Rows without an id are predicted and not learned
+    from.  With many languages ``bits`` is lowered until the model has 2^26 weights.  Without labels all
     texts are ``und``.  Repeated rows are predicted alike.
     """
     named = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("_text"))
-    train = named.where("lang is not null and _text is not null").where(fold("id", parts) != held_out)
-    sizes = {r["lang"]: r["count"] for r in train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))).otherwise(share)
-    drawn = train.where(F.pmod(F.xxhash64(F.lit("language"), "id"), F.lit(1_000_003)) / F.lit(1_000_003.0) < share).select("lang", "_text")
-
-    def snip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text in batch.column("_text").to_pylist():
-                words = words_of(text)
-                at = zlib.crc32(text.encode()) % max(1, len(words) - snippet_words + 1)
-                out.append(" ".join(words[at : at + snippet_words]))
-            yield pa.record_batch([batch.column("lang"), pa.array(out, pa.string())], ["lang", "words"])
-
-    # About per_language short snippets of each language.
-    rows = drawn.mapInArrow(snip, "lang string, words string").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["lang"], r["words"]))
-    languages = sorted(sizes)
+    train = named.where("lang IS NOT NULL AND _text IS NOT NULL").where(fold("id", parts) != held_out)
+    sizes = train.groupBy("lang").count()
+    languages = sorted(r["lang"] for r in sizes.select("lang").collect())  # the classes
+    bits = min(bits, max(8, (_MOST_WEIGHTS // max(1, len(languages))).bit_length() - 1))
+    place = F.pmod(F.xxhash64(F.lit("language"), "id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    drawn = train.where(F.octet_length("_text") <= longest).join(F.broadcast(sizes), "lang").where(place < per_language / F.col("count"))
+    # About per_language texts of bounded length of each language.
+    rows = drawn.dropDuplicates(["id", "_text", "lang"]).select("lang", "_text").toArrow().to_pylist()
+    rows.sort(key=lambda r: (r["lang"], r["_text"]))
     base = pick(docs, carry, text_col)
-    model = train_field([(r["lang"], r["words"].split()) for r in rows], languages, bits=bits) if languages else None
+    model = train_field([(r["lang"], words_of(r["_text"])) for r in rows], languages, bits=bits) if languages else None
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    most = (4 << 20) // max(1, len(languages) // 4)
     kind = pa.list_(pa.struct([("begin", pa.int32()), ("until", pa.int32()), ("lang", pa.string())]))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "_text", 4 << 20):
+        for batch in sliced(batches, "_text", most):
             own = [words_of(t) for t in batch.column("_text").to_pylist()]
             model = shared.value
             sizes = np.array([len(w) for w in own])

@@ -129,9 +129,10 @@ def test_quality_rules(spark, workspace, odd_docs, no_docs):
     assert apply_quality_rules(no_docs, none, workspace).collect() == []
 
 
-def test_forward_backward_against_enumeration():
-    rng, k = np.random.default_rng(0), 3
-    field = Field(["a", "b", "c"], 4, np.zeros((16, k)), rng.normal(size=(k, k)))
+@pytest.mark.parametrize("k", [1, 3, 20])
+def test_forward_backward_against_enumeration(k):
+    rng = np.random.default_rng(0)
+    field = Field([f"l{i}" for i in range(k)], 4, np.zeros((16, k)), rng.normal(size=(k, k)))
     sizes = np.array([1, 40, 100, 33, 64, 2])
     scores = rng.normal(size=(sizes.sum(), k)) * 2
     got, move, at = field.marginals(scores, sizes), np.exp(field.move), 0
@@ -364,3 +365,23 @@ def test_decision_list_is_ordered_and_has_both_verdicts(spark):
     turned = [verdict(found.rules[::-1], found.rest, a, b) == truth[a, b] for a, b in truth]
     assert np.mean(turned) < np.mean(hit)
     assert spark.sql(f"SELECT {DecisionList().sql()} AS kept").first()["kept"] is True
+
+
+def test_words_keep_their_marks_and_long_runs_are_cut():
+    from auditlake.llm.language_id import word_features, words_of
+
+    assert words_of("हिन्दी भाषा, cafe\u0301 2x") == ["हिन्दी", "भाषा", "cafe\u0301", "x"]
+    assert words_of("ab" * 40) == ["ab" * 8] * 5
+    assert words_of("Ⅷ ² 12 !") == []
+    long = "abcdefghijklmnopqrstuvwxyz"
+    assert len(set(word_features(long, 18)) ^ set(word_features(long[:20] + "ZZ" + long[22:], 18))) >= 6
+
+
+def test_every_label_is_learned(spark):
+    """More labels than any cap would keep, the rarest with few rows."""
+    names = [f"l{i:03d}" for i in range(230)]
+    rows = [(i * 300 + j, " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + (j + n) % 4)}q" for n in range(6)), names[i]) for i in range(230) for j in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = identify_languages(docs, bits=16).collect()
+    truth = {r[0]: r[2] for r in rows}
+    assert np.mean([r["lang_pred"] == truth[r["doc_id"]] for r in got]) > 0.95
