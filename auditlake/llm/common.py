@@ -1,4 +1,4 @@
-"""Shared helpers: tables in the shared folder, word splitting, winnowing."""
+"""Shared helpers: tables in the shared folder, word hashes, winnowing, Bloom filters."""
 
 from __future__ import annotations
 
@@ -163,6 +163,37 @@ def covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
     return np.cumsum(depth[:n]) > 0
 
 
+class Bloom:
+    """Bit array with two probes."""
+
+    def __init__(self, words: np.ndarray) -> None:
+        self.words, self.mask = words, np.uint64(len(words) * 64 - 1)
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.ones(len(hashes), bool)
+        for place in (hashes & self.mask, mix(hashes) & self.mask):
+            out &= (self.words[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+        return out
+
+    @staticmethod
+    def build(hashes: DataFrame, column: str, count: int, most_bits: int) -> Bloom:
+        """Of a column of hashes; only the bit array, of at most ``most_bits`` bits, reaches the driver."""
+        bits = min(most_bits, 1 << max(16, int(16 * count).bit_length()))
+
+        def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            mask = np.uint64(bits - 1)
+            for batch in batches:
+                h = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+                place = np.concatenate((h & mask, mix(h) & mask))
+                yield pa.record_batch([pa.array((place >> np.uint64(6)).astype(np.int32)), pa.array((place & np.uint64(63)).astype(np.int32))], ["word", "bit"])
+
+        rows = hashes.select(column).mapInArrow(parts, "word int, bit int")
+        table = rows.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")).toArrow()
+        words = np.zeros(bits // 64, np.uint64)
+        words[table["word"].to_numpy()] = table["bits"].to_numpy().view(np.uint64)
+        return Bloom(words)
+
+
 def pick(docs: DataFrame, carry: tuple[str, ...], text_col: str) -> DataFrame:
     """The carried columns and the text as ``_text``; any other column is left behind."""
     return docs.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{text_col}`").cast("string").alias("_text"))

@@ -150,13 +150,13 @@ def test_benchmark_index_finds_every_window(words, items):
     assert {index.names[i] for i in found} == slow[1]
 
 
-@pytest.mark.parametrize("block_bytes", [200, 8 << 20])
-def test_contamination_in_blocks(spark, block_bytes):
+@pytest.mark.parametrize("options", [{"index_bytes": 200}, {"index_bytes": 0, "bloom_bits": 64, "salts": 2}, {}])
+def test_contamination_broadcast_and_joined(spark, options):
     docs = [(i, prose(i, 80)) for i in range(30)]
     items = [(i, " ".join(docs[i][1].split()[20 : 20 + n])) for i, n in ((0, 30), (1, 10), (2, 9), (3, 1), (4, 12))]
     items += [(9, None), (10, ""), (None, " ".join(docs[5][1].split()[:15])), (0, items[0][1])]
     got = mark_contamination(
-        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_bytes=block_bytes
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), **options
     )
     named = {}
     for n, (k, text) in enumerate(items):
@@ -167,14 +167,15 @@ def test_contamination_in_blocks(spark, block_bytes):
         assert r["items"] == sorted({str(k) for k, _ in found if k is not None})
 
 
-def test_contamination_of_odd_rows(odd_docs, no_docs, spark):
+@pytest.mark.parametrize("index_bytes", [-1, 1000])
+def test_contamination_of_odd_rows(odd_docs, no_docs, spark, index_bytes):
     none = spark.createDataFrame([], "item_id long, text string")
-    assert {len(r["spans"]) for r in mark_contamination(odd_docs, none).collect()} == {0}
+    assert {len(r["spans"]) for r in mark_contamination(odd_docs, none, index_bytes=index_bytes).collect()} == {0}
     tie = spark.createDataFrame([(1, "tie tie")], "item_id long, text string")
-    got = {r["doc_id"]: r for r in mark_contamination(odd_docs, tie).collect()}
+    got = {r["doc_id"]: r for r in mark_contamination(odd_docs, tie, index_bytes=index_bytes).collect()}
     assert [tuple(s) for s in got[9]["spans"]] == [(0, 120)]
     assert got[1]["n_words"] == 0
-    assert mark_contamination(no_docs, tie).collect() == []
+    assert mark_contamination(no_docs, tie, index_bytes=index_bytes).collect() == []
 
 
 def slow_removal(texts, window):
