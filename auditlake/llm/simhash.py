@@ -249,6 +249,7 @@ def near_duplicates(
     linked like any other.  A row with a null id is linked, but gives no component its
     id; a component without ids has a null one.  Only the named columns are read.
     """
+    workspace = workspace.scope()
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *[F.col(f"`{c}`") for c in carry])
     prints = workspace.write(fingerprints(rows, carry=("doc_id", *carry), shingle=shingle), "prints")
     codes = workspace.write(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "codes")
@@ -258,6 +259,7 @@ def near_duplicates(
     placed = workspace.write(placed.select("fp", "first", F.coalesce("root", "fp").alias("root")), "placed")
     least = workspace.write(placed.groupBy("root").agg(F.min("first").alias("component_id")), "least")
     named = workspace.write(placed.join(least, "root").select("fp", "component_id"), "named")
+    workspace.keep(prints, named)
     return prints.join(named, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *carry
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *[F.col(f"`{c}`") for c in carry]
     )

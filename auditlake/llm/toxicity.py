@@ -178,7 +178,7 @@ def score_toxicity(
     label (equal texts of one label once); id, language and source are no inputs.  Rows without an id are scored and
     not learned from.  Null, empty and wordless texts get the score of a
     text that speaks for neither model.  If the sample lacks one of the labels, every
-    score is the share of toxic rows in it (0.5 if it has no rows).  Repeated rows score alike.
+    score is the share of toxic rows in it (0 if it has no rows).  Repeated rows score alike.
     """
     workspace, context = workspace.scope(), docs.sparkSession.sparkContext
     sample, sizes = labelled_sample(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, parts=parts, held_out=held_out, per_class=per_class)
@@ -206,7 +206,7 @@ def score_toxicity(
     x, y = np.column_stack([found[c].to_numpy() for c in FEATURES]), found["label"].to_numpy().astype(float)
     order = np.lexsort((y, *x.T))
     x, y = x[order], y[order]
-    base, fit = float(y.mean()) if len(y) else 0.5, None
+    base, fit = float(y.mean()) if len(y) else 0.0, None
     if len(set(y.tolist())) == 2:
         mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
         fit = (mean, scale, logistic((x - mean) / scale, y, class_weights(y, sizes)))

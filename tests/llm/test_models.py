@@ -385,3 +385,21 @@ def test_every_label_is_learned(spark):
     got = identify_languages(docs, bits=16).collect()
     truth = {r[0]: r[2] for r in rows}
     assert np.mean([r["lang_pred"] == truth[r["doc_id"]] for r in got]) > 0.95
+
+
+def test_rank_file_and_tokenizer_give_equal_ids():
+    """Each code point below 0x20000, alone and among letters, and random texts of mixed scripts."""
+    from auditlake.llm.packing import encoder_for
+
+    encoder = encoder_for(*tokenizer().values())
+    points = [chr(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000]
+    rng = np.random.default_rng(6)
+    pools = [points[:128], points[:0x250], points[0x370:0x600], points[0x900:0xE00], points[0x3040:0x4000], points[0x4E00:0x5000], points[0x1F300:0x1F700], list(" \t\n\r\x0b\u00a0\u2003\u3000''0123")]
+    texts = ["".join(points[i : i + 64]) for i in range(0, len(points), 64)] + [f"a{c}1{c}{c} {c}b\n{c}" for c in points[::3]]
+    for _ in range(3000):
+        drawn = [pools[i] for i in rng.integers(len(pools), size=rng.integers(1, 400))]
+        texts.append("".join(pool[i % len(pool)] for pool, i in zip(drawn, rng.integers(1 << 30, size=len(drawn)), strict=True)))
+    texts += ["'" * 50, " " * 5000, "\n" * 3000, "ab" * 20000, "it's we'LL I'm 'S 12345678 \u0301\u0301 e\u0301"]
+    slow = encoder.slow.encode_batch(texts, add_special_tokens=False)
+    for text, own in zip(texts, slow, strict=True):
+        assert encoder.ids(text).tolist() == own.ids, text[:80]
