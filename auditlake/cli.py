@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import changes, history, sessions
-from .plans import agents
+from .plans import agents, scorecard
 from .plans import audit as checks
 from .plans.report import badges, report_json, report_text
 from .sources.files import read_files
@@ -79,7 +79,7 @@ def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(description=__doc__)
     parser.add_argument("command", choices=["audit", *COMMANDS])
     parser.add_argument("paths", nargs="+")
-    parser.add_argument("--checks", help="comma-separated names: " + ", ".join(checks.CHECKS))
+    parser.add_argument("--checks", help="comma-separated names: " + ", ".join(scorecard.CHECKS))
     parser.add_argument("--format", choices=["text", "json", "badge"], default="text")
     parser.add_argument("--least", type=float, default=60)
     own = parser.parse_args(argv)
@@ -90,7 +90,7 @@ def main(argv: list[str] | None = None) -> int:
             print(row["json"])
         return 0
     files = read_files(spark, *own.paths).persist()
-    issues, scored, cards = (x.persist() for x in checks.audit(files, own.checks.split(",") if own.checks else None))
+    issues, scored, cards = (x.persist() for x in scorecard.audit_all(files, own.checks.split(",") if own.checks else None))
     if own.format == "text":
         print(report_text(cards, scored, issues))
     else:

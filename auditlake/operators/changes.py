@@ -7,30 +7,32 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import fixed_values as FV
+from ..functions.expressions import extension
 from .rules import Rule, first_rule, scan
 
 #: Rules on added lines; the first that holds counts.
-DIFF_RULES = [
-    Rule("assigned-secret", "error", "A secret is assigned in code", r"(?i)(secret|token|passw(or)?d|api_?key)\s*[:=]\s*[\"'][^\"']{8,}[\"']"),
-    Rule("private-key", "error", "A private key is added", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("debugger", "error", "A debugger statement is left", r"^\s*debugger\b"),
-    Rule("focused-test", "error", "Only one test would run", r"\b(describe|it|test)\.only\s*\("),
-    Rule("empty-test", "error", "A test has no body", r"\b(it|test)\s*\([^,]+,\s*(async\s*)?\(\)\s*=>\s*\{\s*\}\s*\)"),
-    Rule("trivial-assertion", "error", "An assertion always holds", r"expect\(\s*(true|1)\s*\)\.(toBe|toEqual)\(\s*(true|1)\s*\)"),
-    Rule("empty-catch", "error", "An error is swallowed", r"catch\s*(\([^)]*\))?\s*\{\s*\}"),
-    Rule("log-only-catch", "warning", "An error is only logged", r"catch\s*(\([^)]*\))?\s*\{\s*console\.\w+\([^)]*\);?\s*\}"),
-    Rule("obvious-comment", "warning", "A comment says what the code says", r"^\s*//\s*(increment|initialize|set|get|return|loop|import|define)\b"),
-]
-
-_RISKY_BASE = r"^(auth|payment|session|secret|credential|\.env)"
-_RISKY_PATH = r"(^|/)(auth|payments?|sessions?|security|migrations?|billing)(/|\.|$)|(^|/)\.env"
-_REVIEW_PATH = r"(^|/)(api|routes?|middleware|db|database|controllers?|services?)/"
+DIFF_RULES = [Rule(name, severity, name.replace("-", " "), pattern) for name, severity, pattern in FV.DIFF_PATTERNS]
+
+
+def _any(text: Column, patterns: Sequence[str]) -> Column:
+    return text.rlike("|".join(patterns))
 
 
 def path_tier(path: Column) -> Column:
     """RISKY, REVIEW or SAFE by path."""
-    base = F.lower(F.substring_index(path, "/", -1))
-    return F.when(base.rlike(_RISKY_BASE) | F.lower(path).rlike(_RISKY_PATH), "RISKY").when(F.lower(path).rlike(_REVIEW_PATH), "REVIEW").otherwise("SAFE")
+    lower = F.lower(path)
+    risky = _any(F.substring_index(lower, "/", -1), FV.RISKY_NAMES) | _any(lower, FV.RISKY_PATHS)
+    return F.when(risky, "RISKY").when(_any(lower, FV.REVIEW_PATHS), "REVIEW").otherwise("SAFE")
+
+
+def removes_risky(text: Column) -> Column:
+    """Whether a removed line holds a destructive word, letter for letter."""
+    return _any(text, FV.RISKY_REMOVED)
+
+
+def adds_open_end(text: Column) -> Column:
+    return _any(text, FV.REVIEW_ADDED)
 
 
 def bumped(tier: Column, removed: Column, added: Column) -> Column:
@@ -41,39 +43,59 @@ def bumped(tier: Column, removed: Column, added: Column) -> Column:
 def explain(diff_lines: DataFrame, keys: Sequence[str] = ("repo", "path")) -> DataFrame:
     """Each file's tier, from (kind, text) of its changed lines."""
     flags = diff_lines.groupBy(*keys).agg(
-        F.bool_or((F.col("kind") == "-") & F.col("text").rlike("validate|sanitize|authorize|authenticate|encrypt|verify|permission")).alias("removed"),
-        F.bool_or((F.col("kind") == "+") & F.col("text").rlike("TODO|FIXME|HACK")).alias("added"),
+        F.bool_or((F.col("kind") == "-") & removes_risky(F.col("text"))).alias("removed"),
+        F.bool_or((F.col("kind") == "+") & adds_open_end(F.col("text"))).alias("added"),
     )
     return flags.withColumn("tier", bumped(path_tier(F.col("path")), F.col("removed"), F.col("added")))
 
 
-def triage_rank(security: Column, handler: Column, schema: Column, cosmetic: Column, untested: Column) -> Column:
-    """CRITICAL for a removed error handler in a security file, HIGH for either or a schema, MEDIUM for many lines without a test, SKIP for cosmetics, else LOW."""
-    return (
-        F.when(security & handler, "CRITICAL")
-        .when(cosmetic, "SKIP")
-        .when(security | handler | schema, "HIGH")
-        .when(untested, "MEDIUM")
-        .otherwise("LOW")
-    )
+def security_path(path: Column) -> Column:
+    return path.rlike(FV.SECURITY_PATH) & ~F.lower(extension(path)).isin(FV.SECURITY_SKIP)
+
+
+def schema_path(path: Column) -> Column:
+    return path.rlike(FV.SCHEMA_PATH)
+
+
+def triage_rank(security: Column, handler: Column, schema: Column, untested: Column) -> Column:
+    """CRITICAL for a security file with a schema or without an error handler it had, HIGH for any of the three, MEDIUM
+    for many lines without a test, else SKIP."""
+    return F.when(security & (handler | schema), "CRITICAL").when(security | handler | schema, "HIGH").when(untested, "MEDIUM").otherwise("SKIP")
+
 
+def triage(diff_lines: DataFrame, stat: DataFrame | None = None, keys: Sequence[str] = ("repo",)) -> DataFrame:
+    """Signals and urgency of each changed file; whether any test changed is asked of the whole change set.
 
-def triage(diff_lines: DataFrame, keys: Sequence[str] = ("repo",)) -> DataFrame:
-    """Signals and urgency of each changed file; whether any test changed is asked of the whole change set."""
-    changed = F.col("kind").isin("+", "-")
-    blank = F.trim("text").rlike(r"^(//.*|#.*|/?\*.*)?\z")
-    by = diff_lines.where(changed).groupBy(*keys, "path").agg(
+    ``stat`` names further changed files (``path``), as a summary of changes does.  ``why`` tells cosmetic
+    changes (under five lines, or comments and blank lines alone) from those without a signal.
+    """
+    cosmetic_line = (F.trim("text") == "") | F.col("text").rlike(FV.COMMENT_LINE)
+    by = diff_lines.where(F.col("kind").isin("+", "-")).groupBy(*keys, "path").agg(
         F.count_if(F.col("kind") == "+").alias("added"),
         F.count_if(F.col("kind") == "-").alias("removed"),
-        F.bool_or((F.col("kind") == "-") & F.col("text").rlike(r"\b(catch|try|except|rescue|finally)\b")).alias("handler"),
-        F.every(blank).alias("only_blank"),
+        F.bool_or((F.col("kind") == "-") & F.col("text").rlike(FV.ERROR_HANDLER)).alias("handler"),
+        F.every(cosmetic_line).alias("only_blank"),
     )
-    tested = by.groupBy(*keys).agg(F.bool_or(F.col("path").rlike("test|spec")).alias("tested"))
+    if stat is not None:
+        by = by.join(stat.select(*keys, "path").distinct(), [*keys, "path"], "full").fillna({"added": 0, "removed": 0, "handler": False, "only_blank": True})
+    tested = by.groupBy(*keys).agg(F.bool_or(F.col("path").rlike(FV.TEST_PATH)).alias("tested"))
     by = by.join(tested, list(keys))
-    security = F.lower("path").rlike("auth|payment|session|crypto|secret|token|password") & ~F.col("path").rlike(r"\.(css|scss|md|json|svg)\z")
-    schema = F.lower("path").rlike(r"schema|migration|\.sql\z|\.prisma\z")
-    rank = triage_rank(security, F.col("handler"), schema, F.col("only_blank") | (F.col("added") + F.col("removed") < 5) & ~security & ~F.col("handler") & ~schema, (F.col("added") >= 50) & ~F.col("tested"))
-    return by.withColumns({"security": security, "schema": schema, "rank": rank})
+    security, schema = security_path(F.col("path")), schema_path(F.col("path"))
+    rank = triage_rank(security, F.col("handler"), schema, (F.col("added") >= 50) & ~F.col("tested"))
+    cosmetic = F.col("only_blank") | (F.col("added") + F.col("removed") < 5)
+    return by.withColumns({"security": security, "schema": schema, "rank": rank, "why": F.when(rank == "SKIP", F.when(cosmetic, "cosmetic").otherwise("no signals"))})
+
+
+def stat_lines(text: DataFrame, keys: Sequence[str] = ("repo",)) -> DataFrame:
+    """``path``, ``changes`` and ``binary`` from lines ``path | 12 +++--`` of a summary (``text``).
+
+    A path that was moved, ``a/{b => c}/d``, is the new one.
+    """
+    form = r"^\s*(.+?)\s+\|\s+(?:(\d+)\b|Bin\b)"
+    path = F.regexp_replace(F.regexp_extract("text", form, 1), r"\{[^{}]* => ([^{}]*)\}", "$1")
+    path = F.regexp_replace(F.regexp_replace(path, "//+", "/"), r"^.* => ", "")
+    found = text.where(F.col("text").rlike(form)).select(*keys, path.alias("path"), F.regexp_extract("text", form, 2).alias("n"))
+    return found.select(*keys, "path", F.when(F.col("n") != "", F.col("n").cast("long")).alias("changes"), (F.col("n") == "").alias("binary"))
 
 
 def diff_issues(diff_lines: DataFrame, rules: Sequence[Rule] = DIFF_RULES) -> DataFrame:

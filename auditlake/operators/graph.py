@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 import pandas as pd
@@ -52,10 +53,8 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
 def module_of(path: Column) -> Column:
     """Parts up to one level below the first source directory; else the first directory, else ``(root)``."""
     parts = F.split(path, "/")
-    at = F.lit(0)
-    for root in reversed(ROOTS):
-        at = F.when(F.array_position(parts, root) > 0, F.least(F.array_position(parts, root), F.when(at > 0, at).otherwise(F.lit(1 << 30)))).otherwise(at)
-    at = at.cast("int")
+    places = F.filter(F.array(*[F.array_position(parts, root) for root in ROOTS]), lambda x: x > 0)
+    at = F.coalesce(F.array_min(places), F.lit(0)).cast("int")
     return (
         F.when((at > 0) & (at + 1 < F.size(parts)), F.array_join(F.slice(parts, F.lit(1), at + 1), "/"))
         .when((at > 0) & (at < F.size(parts)), F.array_join(F.slice(parts, F.lit(1), at), "/"))
@@ -96,7 +95,8 @@ def boundary_violations(edges: DataFrame, keys: Sequence[str] = ("repo",)) -> Da
 
 def reachable(edges: DataFrame, table: str, depth: int) -> DataFrame:
     """Pairs connected by a path, by a recursive query of bounded depth over distinct edges."""
-    edges.persist().createOrReplaceTempView(table)  # each step reads the edges again
+    table = f"{table}_{uuid.uuid4().hex}"  # calls do not meet
+    edges.createOrReplaceTempView(table)
     return edges.sparkSession.sql(
         f"WITH RECURSIVE walk(src, dst, hops) AS (SELECT src, dst, 1 FROM {table} UNION ALL "
         f"SELECT w.src, e.dst, w.hops + 1 FROM walk w JOIN {table} e ON w.dst = e.src WHERE w.hops < {depth} AND e.dst <> w.src) "

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import directory
-from ..functions.fixed_values import VERBS
+from ..functions.fixed_values import AI_AUTHORS, AI_SUBJECTS, VERBS
 from .lines import first_per
 
 
@@ -47,9 +47,7 @@ def surprising(pairs: DataFrame) -> DataFrame:
 
 def ai_commit(subject: Column, author: Column) -> Column:
     """Whether a subject or an author names an assistant."""
-    return F.coalesce(subject.rlike(r"(?i)\b(ai|copilot|cursor|codex|aider|assistant)[- ](generated|assisted|authored)\b|\bvibe\b"), F.lit(False)) | F.coalesce(
-        author.rlike(r"(?i)\b(copilot|cursor|codex|aider|devin|bot)\b|\[bot\]"), F.lit(False)
-    )
+    return F.coalesce(subject.rlike("|".join(AI_SUBJECTS)), F.lit(False)) | F.coalesce(author.rlike(AI_AUTHORS), F.lit(False))
 
 
 def history_summary(commits: DataFrame, commit_files: DataFrame, *, last: int = 50, large: int = 20) -> DataFrame:

@@ -40,6 +40,7 @@ def deduct(errors: float = 0, warnings: float = 0, infos: float = 0, scale: Colu
 #: For each check: points for an error, a warning, an info, and size scale (start, slope, floor) if any.
 FORMULAS = {
     "source-security": (30, 10, 0, None),
+    "secrets": (20, 0, 0, None),
     "models": (20, 0, 0, None),
     "permissions": (30, 15, 5, None),
     "guard": (15, 5, 0, None),
@@ -55,6 +56,13 @@ FORMULAS = {
 }
 
 
+def clamp_issues(check: str, errors: Column, warnings: Column, infos: Column, n_parts: Column | None = None) -> Column:
+    """The score of a check that only counts issues, from the counts."""
+    points = FORMULAS[check]
+    total = points[0] * errors + points[1] * warnings + points[2] * infos
+    return clamp(100.0 - (size_scale(n_parts, *points[3]) * total if points[3] and n_parts is not None else total))
+
+
 def check_score(check: str, n_parts: Column | None = None) -> Column:
     """The score of a check that only counts issues."""
     errors, warnings, infos, scaled = FORMULAS[check]
@@ -73,14 +81,20 @@ def categories(checks: DataFrame, keys: Sequence[str] = ("repo",)) -> DataFrame:
 
 
 def scorecards(cats: DataFrame, keys: Sequence[str] = ("repo",), multiplier: Column | None = None) -> DataFrame:
-    """Weighted score, grade and whether the least score is reached, for each key."""
+    """Weighted score, grade and whether the least score is reached, for each key.  ``multiplier``: an aggregate over its rows."""
     weight = F.lit(0.0)
     for name, w in WEIGHTS.items():
         weight = F.when(F.col("category") == name, F.lit(w)).otherwise(weight)
     whole = F.sum(weight * F.col("score")) / F.sum(weight)
-    out = cats.groupBy(*keys).agg(whole.alias("_whole"))
-    score = half_up(F.col("_whole") if multiplier is None else F.col("_whole") * multiplier)
-    return out.withColumn("score", score).drop("_whole").withColumn("grade", grade(F.col("score"))).withColumn("passed", F.col("score") >= 60)
+    out = cats.groupBy(*keys).agg(half_up(F.round(whole if multiplier is None else whole * multiplier, 9)).alias("score"))  # sums of any order agree
+    return out.withColumn("grade", grade(F.col("score"))).withColumn("passed", F.col("score") >= 60)
+
+
+def scaled_scorecards(cats: DataFrame, completeness: DataFrame, keys: Sequence[str] = ("repo",)) -> DataFrame:
+    """Score cards of categories, scaled before rounding by the unfloored completeness of each key."""
+    factor = completeness_multiplier(F.coalesce("completeness", F.lit(100.0)))
+    joined = cats.join(completeness, list(keys), "left").withColumn("_factor", factor)
+    return scorecards(joined, keys, F.max("_factor"))
 
 
 def with_multiplier(cards: DataFrame, completeness: DataFrame, keys: Sequence[str] = ("repo",)) -> DataFrame:

@@ -7,15 +7,15 @@ rule_id, severity, message, file, line.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
 from ..functions.extract import CatchBlocks, Functions, OpenAwaits, TestBlocks, extract
-from ..functions.fixed_values import BUILTIN, PACKAGES, RETIRED_MODELS
-from ..operators import code, graph, history, lines, scoring, similarity
+from ..functions.fixed_values import BUILTIN, PACKAGES, RETIRED_MODELS, SCAN_PATTERNS, SOURCE_PATTERNS
+from ..operators import code, graph, history, lines, similarity
 from ..operators.rules import Rule, file_issues
 
 ISSUE = ["repo", "check_name", "rule_id", "severity", "message", "file", "line"]
@@ -28,34 +28,9 @@ CODE = [".ts", ".tsx", ".js", ".jsx", ".mts", ".mjs", ".cts", ".cjs"]
 _FENCE = r"^\s*(```|~~~)"
 _MD = r"\.mdc?\z"
 
-SCAN_RULES = [
-    Rule("encoded-url", "error", "An address is hidden by encoding", r"(?i)(%68%74%74%70|\\x68\\x74\\x74\\x70|aHR0c[A-Za-z0-9+/]{8,})"),
-    Rule("download-run", "error", "Something is downloaded and run", r"(?i)\b(curl|wget)\b[^|\n]*\|\s*(sudo\s+)?(ba|z|da)?sh\b"),
-    Rule("pipe-to-shell", "error", "Output is piped to a shell", r"\|\s*(sudo\s+)?(bash|sh|zsh)(\s|$)"),
-    Rule("substitution", "error", "A command is substituted", r"\$\([^)]+\)|`[^`\n]*\b(curl|wget|rm|cat|eval)\b[^`\n]*`"),
-    Rule("exfiltration", "error", "Data is sent away", r"(?i)\b(curl|wget|fetch)\b.*(-d|--data|--post-data|-F)\b.*(\$|@|env|secret|token)"),
-    Rule("decode-run", "error", "Decoded text is run", r"(?i)base64\s+(-d|--decode).*\|\s*(ba)?sh|eval\s*\(\s*atob"),
-    Rule("powershell-cradle", "error", "A script is fetched and run", r"(?i)\b(iex|invoke-expression)\b.*(downloadstring|iwr|invoke-webrequest)"),
-    Rule("ignore-previous", "warning", "Earlier instructions are overridden", r"(?i)\b(ignore|disregard)\s+(all\s+)?(the\s+)?(previous|prior|above)\b"),
-    Rule("system-override", "warning", "The system prompt is overridden", r"(?i)\b(override|replace)\s+(the\s+)?system\s+prompt|you are now\b"),
-    Rule("forget-prior", "warning", "Earlier context is to be forgotten", r"(?i)\bforget\s+(everything|all|your)\b"),
-    Rule("env-in-url", "warning", "An environment variable goes into an address", r"https?://[^\s\"']*\$\{?[A-Z_]+"),
-    Rule("escalation", "warning", "Rights are raised", r"\bsudo\b|\bchmod\s+(-R\s+)?777\b|\bsetuid\b"),
-    Rule("hidden-write", "warning", "A hidden file is written", r">\s*~?/?\.[A-Za-z]\w*"),
-    Rule("external-url", "info", "An external address", r"https?://(?!localhost|127\.0\.0\.1|github\.com|example\.)"),
-    Rule("sensitive-path", "info", "A sensitive path", r"(~|/home/\w+|/root)/\.(ssh|aws|gnupg|kube|config)|/etc/(passwd|shadow)"),
-]
-SOURCE_RULES = [
-    Rule("eval", "error", "Text is run as code", r"\beval\s*\("),
-    Rule("sync-exec", "warning", "A shell command with built text", r"\bexecSync\s*\(\s*[`\"'].*(\$\{|\+)", paths=r"^src/"),
-    Rule("child-process", "warning", "Child processes are used", r"require\s*\(\s*[\"'](node:)?child_process[\"']"),
-    Rule("function-constructor", "error", "A function is built from text", r"\bnew\s+Function\s*\("),
-    Rule("raw-html", "warning", "Raw markup is set", r"\.(innerHTML|outerHTML)\s*=(?!=)|dangerouslySetInnerHTML", paths=r"^(?!.*(test|spec))"),
-    Rule("jwt", "error", "A token in code", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}"),
-    Rule("private-key", "error", "A private key in code", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("tls-off", "error", "Certificates are not checked", r"rejectUnauthorized\s*:\s*false|NODE_TLS_REJECT_UNAUTHORIZED\s*=\s*[\"']?0"),
-    Rule("sql-concat", "error", "A query is built from text", r"(?i)\b(select|insert|update|delete)\b[^;\n]*[\"'`]\s*\+\s*\w|(?i)\bquery\s*\(\s*`[^`]*\$\{"),
-]
+SCAN_RULES = [Rule(name, severity, name.replace("-", " "), pattern) for name, severity, pattern in SCAN_PATTERNS]
+_WHERE = {"exec-sync": r"^src/", "innerhtml": r"^(?!.*(test|spec))"}
+SOURCE_RULES = [Rule(name, severity, name.replace("-", " "), pattern, paths=_WHERE.get(name)) for name, severity, pattern in SOURCE_PATTERNS]
 _SQL, _SHELL, _JS = r"\.(sql|ts|js|py|rb|go|php|java|prisma)\z", r"\.(sh|bash)\z", r"\.(ts|js|mjs|cjs)\z"
 GUARD_RULES = [
     Rule("drop-table", "error", "A table is dropped", r"(?i)\bdrop\s+table\b", paths=_SQL),
@@ -116,7 +91,7 @@ def scan(files: DataFrame) -> DataFrame:
 
     hits = apply(numbered, SCAN_RULES)
     flow = F.col("path").startswith(".github/workflows/")
-    quiet = (F.col("rule_id") == "substitution") & (flow | (F.col("path").rlike(_MD) & (F.col("fenced") | F.col("text").rlike(r"`[^`]*\$\(")))) | ((F.col("rule_id") == "escalation") & flow)
+    quiet = (F.col("rule_id") == "command-substitution") & (flow | (F.col("path").rlike(_MD) & (F.col("fenced") | F.col("text").rlike(r"`[^`]*\$\(")))) | ((F.col("rule_id") == "permission-escalation") & flow)
     named = hits.where(~quiet).select("repo", F.lit("scan").alias("check_name"), "rule_id", "severity", "message", F.col("path").alias("file"), F.col("line_no").cast("int").alias("line"))
     return named.unionByName(decoded_addresses(own))
 
@@ -186,36 +161,6 @@ def permissions(files: DataFrame) -> DataFrame:
     )
 
 
-#: For each topic: what raises the question, what answers it, and the points it costs.
-OWASP = [
-    ("ASI01", "Fetched text is taken over without care", r"(?i)\b(fetch|browse|read)\b.*\b(web|url|page|website)\b", r"(?i)sanitiz|untrusted|validate|do not follow", 15),
-    ("ASI02", "Tools without restrictions", r"(?i)\"(command|cmd)\"\s*:\s*\"(ba|z)?sh\"|\"\*\"", r"(?i)allowedTools|\"deny\"|read-?only", 10),
-    ("ASI03", "Credentials within reach", r"(?i)\b(api[_-]?key|aws_secret|password|\.env)\b|\bsudo\b", r"(?i)least privilege|never (read|print|commit)", 15),
-    ("ASI04", "Unpinned or external suppliers", r"(?i)npx\s+(-y\s+)?[@\w/-]+(\s|\"|$)|\"url\"\s*:\s*\"https?://", r"(?i)pinned|lockfile|@\d+\.\d+", 10),
-    ("ASI05", "Code runs without a fence", r"(?i)\b(exec|eval|run)\b.*\b(code|script|command)s?\b", r"(?i)sandbox|approv|confirm|container", 10),
-    ("ASI06", "Memory can be poisoned", r"(?i)\b(memory|knowledge base|vector store|rag)\b", r"(?i)filter|review|validate|trusted", 8),
-    ("ASI07", "Agents trust each other", r"(?i)\b(sub-?agents?|multi-agent|orchestrat)", r"(?i)authenticat|encrypt|signed|verify", 8),
-    ("ASI08", "Failures cascade", r"(?i)\b(workflow|pipeline|chain|step)s?\b", r"(?i)error|retry|fallback|timeout|rollback", 5),
-    ("ASI09", "Approval is waived", r"(?i)auto-?approve|\b(delete|drop|deploy)\b", r"(?i)confirm|approval|ask (first|before)", 10),
-    ("ASI10", "Nothing watches the agent", r"(?i)\bagents?\b", r"(?i)\b(log|audit|monitor|trace)", 5),
-]
-
-
-def owasp(files: DataFrame) -> DataFrame:
-    """Topics that a repository's agent files raise and nowhere answer."""
-    own = files.where(is_agent_file(F.col("path")))
-    flags = [F.bool_or(F.col("content").rlike(raise_)).alias(f"r{i}") for i, (_, _, raise_, _, _) in enumerate(OWASP)]
-    flags += [F.bool_or(F.col("content").rlike(answer)).alias(f"a{i}") for i, (_, _, _, answer, _) in enumerate(OWASP)]
-    by = own.groupBy("repo").agg(*flags)
-    rows = F.array_compact(
-        F.array(*[F.when(F.col(f"r{i}") & ~F.col(f"a{i}"), F.struct(F.lit(t).alias("id"), F.lit(m).alias("m"), F.lit(p).alias("p"))) for i, (t, m, _, _, p) in enumerate(OWASP)])
-    )
-    return by.select("repo", F.explode(rows).alias("x")).select(
-        "repo", F.lit("owasp").alias("check_name"), F.col("x.id").alias("rule_id"), F.when(F.col("x.p") >= 10, "warning").otherwise("info").alias("severity"),
-        F.col("x.m").alias("message"), F.lit(None).cast("string").alias("file"), F.lit(None).cast("int").alias("line"),
-    )
-
-
 # Integrity
 
 
@@ -224,7 +169,7 @@ def integrity(files: DataFrame) -> DataFrame:
     own = is_code(files)
     lost = graph.resolve_imports(graph.imports_of(own.where(~F.col("is_test"))), files).where(F.col("dst_path").isNull() & ~F.col("specifier").rlike(r"\.(css|svg|png|json|scss)\z|(^|/)(dist|build)/"))
     caught = extract(own.where(~F.col("is_test")), CatchBlocks)
-    awaits = lines.first_per(extract(own.where(~F.col("is_test")), OpenAwaits), ["repo", "path"], ["line"], 10)
+    awaits = extract(own.where(~F.col("is_test")), OpenAwaits)
     return union(
         [
             issues_of(lost, "integrity", "unresolved-import", "error", F.concat(F.lit("No such file: "), F.col("specifier")), file="src_path", line=None),
@@ -403,7 +348,7 @@ def review(files: DataFrame) -> DataFrame:
     return own.select("repo", "path", sum((F.col("content").rlike(p).cast("int") for p in REVIEW.values()), F.lit(0)).alias("topics")).withColumn("score", 20.0 * F.col("topics"))
 
 
-def ready(files: DataFrame, most_large: int = 10) -> DataFrame:
+def ready(files: DataFrame) -> DataFrame:
     """What a repository lacks, and files that are too large."""
     has = lambda cond: F.bool_or(cond)
     path = F.col("path")
@@ -414,7 +359,7 @@ def ready(files: DataFrame, most_large: int = 10) -> DataFrame:
     )
     n = F.size(F.split("content", "\n"))
     large = files.where(F.col("ext").isin([*CODE, ".py", ".go", ".rs", ".java"]) & ~F.col("is_example") & (n > F.when(F.col("is_test"), 1000).otherwise(500)))
-    large = lines.first_per(large.withColumn("n", n), ["repo"], [F.desc("n"), "path"], most_large)
+    large = large.withColumn("n", n)
     lack = lambda cond, rule, sev, msg: issues_of(by.where(cond), "ready", rule, sev, msg, file=None, line=None)
     return union(
         [
@@ -460,28 +405,3 @@ def language(files: DataFrame) -> DataFrame:
     has = lambda p: F.bool_or(F.col("path").rlike(p))
     by = files.groupBy("repo").agg(has(r"^tsconfig.*\.json\z").alias("ts"), has(r"^package\.json\z").alias("js"), has(r"^(pyproject\.toml|setup\.py|requirements\.txt)\z").alias("py"))
     return by.select("repo", F.when(F.col("ts"), "typescript").when(F.col("js"), "javascript").when(F.col("py"), "python").otherwise("unknown").alias("language"))
-
-
-CHECKS: dict[str, tuple[str, Callable[[DataFrame], DataFrame]]] = {
-    "scan": ("security", scan), "source-security": ("security", source_security), "guard": ("security", guard), "models": ("security", models), "secrets": ("security", secrets),
-    "permissions": ("security", permissions), "owasp": ("security", owasp), "integrity": ("integrity", integrity), "tests": ("integrity", tests),
-    "debt": ("debt", debt), "clones": ("debt", clones), "ready": ("debt", ready), "deps": ("deps", deps), "deep": ("aiready", deep),
-}
-
-
-def audit(files: DataFrame, checks: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Issues, check scores and score cards of all repositories in ``files``."""
-    chosen = {k: CHECKS[k] for k in (checks or CHECKS)}
-    found = union([f(files) for _, f in chosen.values()])
-    counts = scoring.severity_counts(found, ["repo", "check_name"])
-    category = F.lit("debt")
-    for name, (where, _) in chosen.items():
-        category = F.when(F.col("name") == name, F.lit(where)).otherwise(category)
-    every = files.groupBy("repo").agg(F.count("*").alias("n_files")).withColumn("check_name", F.explode(F.array(*[F.lit(k) for k in chosen])))
-    each = every.join(counts, ["repo", "check_name"], "left").fillna(0)
-    score = scoring.deduct(10, 4, 1, X.size_scale(F.col("n_files"), 10, 0.4, 0.3))
-    for name in chosen:
-        if name in scoring.FORMULAS:
-            score = F.when(F.col("check_name") == name, scoring.check_score(name, F.col("n_files"))).otherwise(score)
-    scored = each.select("repo", F.col("check_name").alias("name"), score.alias("score"), "n_err", "n_warn", "n_info").withColumn("category", category)
-    return found, scored, scoring.scorecards(scoring.categories(scored))

@@ -453,17 +453,15 @@ def dropped_terms(spark, sf_dir):
 
 
 @query(
-    "WITH f AS (SELECT l_orderkey, bool_or(l_returnflag = 'R') AS handler, bool_or(l_quantity >= 49) AS many, count(*) AS n FROM lineitem GROUP BY 1), "
-    "s AS (SELECT o_orderkey, starts_with(o_orderpriority, '1') AS security, o_orderstatus = 'P' AS schema, coalesce(handler, false) AS handler, coalesce(many, false) AS many, coalesce(n, 0) < 2 AS cosmetic FROM orders LEFT JOIN f ON l_orderkey = o_orderkey) "
-    "SELECT o_orderkey, CASE WHEN security AND handler THEN 'CRITICAL' WHEN cosmetic THEN 'SKIP' WHEN security OR handler OR schema THEN 'HIGH' WHEN many THEN 'MEDIUM' ELSE 'LOW' END AS rank FROM s"
+    "WITH f AS (SELECT l_orderkey, bool_or(l_returnflag = 'R') AS handler, bool_or(l_quantity >= 49) AS many FROM lineitem GROUP BY 1), "
+    "s AS (SELECT o_orderkey, starts_with(o_orderpriority, '1') AS security, o_orderstatus = 'P' AS schema, coalesce(handler, false) AS handler, coalesce(many, false) AS many FROM orders LEFT JOIN f ON l_orderkey = o_orderkey) "
+    "SELECT o_orderkey, CASE WHEN security AND (handler OR schema) THEN 'CRITICAL' WHEN security OR handler OR schema THEN 'HIGH' WHEN many THEN 'MEDIUM' ELSE 'SKIP' END AS rank FROM s"
 )
 def triage_rank(spark, sf_dir):
-    flags = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.bool_or(F.col("l_returnflag") == "R").alias("handler"), F.bool_or(F.col("l_quantity") >= 49).alias("many"), F.count("*").alias("n"))
+    flags = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.bool_or(F.col("l_returnflag") == "R").alias("handler"), F.bool_or(F.col("l_quantity") >= 49).alias("many"))
     joined = read(spark, sf_dir, "orders").join(flags, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     no = F.lit(False)
-    rank = changes.triage_rank(
-        F.col("o_orderpriority").startswith("1"), F.coalesce("handler", no), F.col("o_orderstatus") == "P", F.coalesce("n", F.lit(0)) < 2, F.coalesce("many", no)
-    )
+    rank = changes.triage_rank(F.col("o_orderpriority").startswith("1"), F.coalesce("handler", no), F.col("o_orderstatus") == "P", F.coalesce("many", no))
     return joined.select("o_orderkey", rank.alias("rank"))
 
 

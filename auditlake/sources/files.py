@@ -29,9 +29,9 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.roots = [x for x in options.get("roots", options.get("path", ".")).split(",") if x]
         self.ignore = set(options.get("ignore", ",".join(IGNORED)).split(","))
-        self.most_bytes = int(options.get("maxbytes", 1 << 20))
+        self.most_bytes = int(options.get("maxbytes", 0)) or float("inf")  # 0: whole files, whatever their size
         self.chunk = int(options.get("chunk", 500))
-        self.depth = int(options.get("maxdepth", 64))
+        self.depth = int(options.get("maxdepth", 0)) or float("inf")
 
     def partitions(self) -> list[_Chunk]:
         out = []
@@ -52,7 +52,7 @@ class _Reader(DataSourceReader):
                 with open(whole, "rb") as f:
                     head = f.read(512)
                     text = b"\0" not in head
-                    content = (head + f.read(max(0, self.most_bytes - 512))).decode("utf-8", "replace") if text and stat.st_size <= self.most_bytes else None
+                    content = (head + f.read()).decode("utf-8", "replace") if text and stat.st_size <= self.most_bytes else None
             except OSError:
                 continue
             yield partition.repo, path.replace(os.sep, "/"), stat.st_size, stat.st_mtime, text, content

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..operators.lines import first_per
 
 SCHEMA = "session string, path string, mtime double, seq long, value string"
 
@@ -60,5 +59,5 @@ def read_sessions(spark: SparkSession, path: str) -> DataFrame:
 def latest(raw: DataFrame, n: int = 1) -> DataFrame:
     """Lines of the ``n`` sessions that changed last; of equal times the first path."""
     files = raw.groupBy("path").agg(F.max("mtime").alias("_m"))
-    chosen = first_per(files.withColumn("_all", F.lit(1)), ["_all"], [F.desc("_m"), "path"], n).select("path")
+    chosen = files.orderBy(F.desc("_m"), "path").limit(n).select("path")
     return raw.join(F.broadcast(chosen), "path", "left_semi")

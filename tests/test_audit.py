@@ -1,12 +1,15 @@
 """Checks over a small planted repository."""
 
+import math
 import subprocess
 
 import pytest
 from pyspark.sql import functions as F
 
 from auditlake.functions.extract import find_functions, matching
+from auditlake.functions import fixed_values as FV
 from auditlake.plans import audit as A
+from auditlake.plans import scorecard as S
 from auditlake.sources.files import most_important, priority, read_files
 from auditlake.sources.git import commit_files, commits, read_diff, read_log
 
@@ -64,8 +67,8 @@ def test_priority_truncation(files):
 
 def test_scan_exempts_fenced_text(files):
     got = rules(A.scan(files))
-    assert ("ignore-previous", "CLAUDE.md") in got and ("download-run", "CLAUDE.md") in got
-    assert ("substitution", "CLAUDE.md") not in got
+    assert ("prompt-injection", "CLAUDE.md") in got and ("curl-pipe-shell", "CLAUDE.md") in got
+    assert ("command-substitution", "CLAUDE.md") not in got
 
 
 def test_security_checks(files):
@@ -112,11 +115,30 @@ def test_architecture_and_readiness(files):
 
 
 def test_whole_audit(files):
-    found, scored, cards = A.audit(files)
+    """Scores of the planted repository, worked by hand from the formulas."""
+    found, scored, cards = S.audit_all(files)
     assert found.columns == A.ISSUE
-    assert {r["name"] for r in scored.collect()} == set(A.CHECKS)
+    score = {r["name"]: r["score"] for r in scored.collect()}
+    assert set(score) == set(S.CHECKS)
+    assert score["scan"] == 100 - 2 * 40 - 15  # a download and a pipe to a shell, an injection; addresses cost nothing
+    assert score["source-security"] == 100 - 30  # one eval
+    assert score["guard"] == 100 - 2 * 15 - 2 * 5  # dropped table, all rows; filtered rows, no way back
+    assert score["deps"] == 100 - 2 * 20 - 5  # two look-alikes, one undeclared, at four packages
+    assert score["secrets"] == 100 - 20 and score["owasp"] == 100 - 15 - 10 - 5  # nothing on untrusted input, on how to run code, on watching
+    assert score["memory"] == 100 - 15  # one path that is not there
+    assert score["completeness"] == 15 + 10 + 15 + 10
+    assert score["architecture"] == score["semantic"] == score["hotspots"] == score["subsidy"] == 100
+    assert score["context"] == 100 and score["review"] == 0
+    by = {}
+    for category, names in FV.CHECK_CATEGORIES.items():
+        floored = [score[c] if c in ("scan", "secrets", "permissions", "owasp") else max(25, score[c]) for c in names]
+        by[category] = math.floor(sum(floored) / len(floored) + 0.5)
+    weights = {"security": 0.2, "integrity": 0.2, "debt": 0.15, "deps": 0.1, "architecture": 0.1, "aiready": 0.1, "history": 0.15}
+    whole = sum(weights[c] * by[c] for c in by) * (0.65 + 0.2 * (50 - 50) / 25)
     card = cards.first()
-    assert 0 <= card["score"] <= 100 and card["grade"] in "ABCDF"
+    assert card["score"] == math.floor(whole + 0.5) and card["grade"] in "ABCDF"
+    only = S.audit_all(files, ["deps"])
+    assert [r["name"] for r in only[1].collect()] == ["deps"] and only[2].first()["score"] == 55
 
 
 def test_git_sources(spark, root):

@@ -7,6 +7,7 @@ import os
 import duckdb
 import pytest
 
+from auditlake.plans import rule_queries  # noqa: F401  adds its queries
 from auditlake.plans.queries import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
