@@ -139,8 +139,9 @@ class Counts:
         total[label[some], v[some]] = n[some]
         weight[label[some], v[some]] = np.array(off)[label[some]] * self.contexts[f"kinds{without}"].to_numpy()[some] / n[some]
         pair, label = np.zeros((2, size), np.float32), self.table["label"].to_numpy()
-        n = sum(self.table[f"n{k}"].to_numpy() for k in range(_FOLDS) if k != without)
-        pair[label, self.table["p"].to_numpy()] = np.maximum(n - np.array(off)[label], 0)
+        n = sum(self.table[f"n{k}"].to_numpy() for k in range(_FOLDS) if k != without).astype(np.float32)
+        n -= np.array(off, np.float32)[label]
+        pair[label, self.table["p"].to_numpy()] = np.maximum(n, 0, out=n)
         # Continuation counts of the shared level: a word's contexts there are the classes.  All unseen words together
         # have as much as half a count for each seen one.
         shared = (cont > 0).sum(axis=0) + 0.5 * cont.any(axis=0)
@@ -202,6 +203,7 @@ def score_toxicity(
 
     found = pa.concat_tables([measured(k) for k in range(_FOLDS)])
     shared = context.broadcast(counts.model())
+    del counts
     workspace.close()
     x, y = np.column_stack([found[c].to_numpy() for c in FEATURES]), found["label"].to_numpy().astype(float)
     order = np.lexsort((y, *x.T))
