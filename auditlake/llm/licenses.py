@@ -6,7 +6,7 @@ A multinomial logistic regression with an L1 penalty, trained by Spark's own opt
 licence wording, variations of it, licence-like wording of no family and ordinary paragraphs
 of the corpus, leaves weights on few n-grams.  A temperature fitted on variations that
 were not trained on calibrates its probabilities.  The most likely family of a paragraph
-counts from ``least_probability`` on, else the paragraph is of an unknown licence if it is
+counts from ``least_probability`` on, or if its wording is there; else the paragraph is of an unknown licence if it is
 more likely than not about licences at all.  A family is *confirmed* if a wording of it and the
 paragraph share enough five-word shingles.
 
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace, pick
-from .license_templates import TEMPLATES, UNKNOWN
+from .license_templates import ORDINARY, TEMPLATES, UNKNOWN
 
 NONE, OTHER = "none", "unknown"
 _WORDS = "filter(split(lower({}), '[^\\\\p{{L}}\\\\p{{N}}]+'), x -> x <> '')"
@@ -43,6 +43,10 @@ def shingles(words: list[str], size: int = 5) -> list[str]:
     return sorted({" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}) if words else []
 
 
+def word_list(text: str) -> list[str]:
+    return "".join(c if c.isalnum() else " " for c in text.lower()).split()
+
+
 @dataclass(frozen=True)
 class LicenseModel:
     families: list[str]
@@ -53,8 +57,8 @@ class LicenseModel:
 
 
 def _variants(spark: SparkSession) -> DataFrame:
-    """Wording of families and of unknown licences, whole, without some of its words, and led by other words."""
-    rows = [(f, t) for f, t in TEMPLATES] + [(OTHER, t) for t in UNKNOWN]
+    """Wording of families and of unknown licences, and ordinary text with such words: whole, and without some of its words."""
+    rows = [(f, t) for f, t in TEMPLATES] + [(OTHER, t) for t in UNKNOWN] + [(NONE, t) for t in ORDINARY]
     base = spark.createDataFrame(rows, "family string, text string").withColumn("w", F.expr(_WORDS.format("text")))
     base = base.withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(11))))
     # Variant 0 is whole; the others lack each word whose hash says so, one in seven.
@@ -67,14 +71,19 @@ def train_license_model(docs: DataFrame, workspace: Workspace, *, text_col: str
 
     Words in over ``everyday_share`` of these are everyday words.
     """
-    spark = docs.sparkSession
+    spark, workspace = docs.sparkSession, workspace.scope()
     positive = _variants(spark)
-    # A paragraph each of about `ordinary` documents, drawn by hash; those that speak of licences are left out.
+    # A paragraph each of about `ordinary` documents, drawn by hash.  One that speaks of licences is ordinary
+    # only if it shares no three words in a row with any wording.
     n = max(1, docs.count())
     drawn = pick(docs, (), text_col).where("_text is not null")
     drawn = drawn.where(F.pmod(F.xxhash64(F.lit("ordinary"), "_text"), F.lit(1_000_003)) < F.lit(int(1_000_003 * min(1.0, ordinary / n)) + 1))
     lines = drawn.withColumn("l", F.split("_text", "\n")).select(F.expr("get(l, cast(pmod(xxhash64(_text), size(l)) AS int))").alias("text"))
-    lines = lines.where("NOT lower(text) rlike 'licen|copyright|rights reserved|permission|redistribut'")
+    spoken = F.expr("lower(text) rlike 'licen|copyright|rights reserved|permission|redistribut'")
+    threes = sorted({x for t in [t for _, t in TEMPLATES] + UNKNOWN for x in shingles(word_list(t), 3)})
+    own = "transform(sequence(0, greatest(size(w) - 3, 0)), i -> concat_ws(' ', slice(w, i + 1, 3)))"
+    shares = F.expr(f"transform(array({_WORDS.format('text')}), w -> arrays_overlap({own}, {_strings(threes)}))[0]")
+    lines = lines.where(~(spoken & shares))
     negative = lines.select(F.lit(NONE).alias("family"), F.expr(_WORDS.format("text")).alias("w"), F.expr("cast(pmod(xxhash64(text), 12) AS int)").alias("v"))
     rows = positive.unionByName(negative).withColumn("grams", F.expr(_grams("w")))
     families = [NONE, OTHER, *sorted({f for f, _ in TEMPLATES})]
@@ -98,7 +107,7 @@ def train_license_model(docs: DataFrame, workspace: Workspace, *, text_col: str
     terms = [g for g in terms if min(often.get(x, 0) for x in g.split(" ")) <= everyday]
     counter = CountVectorizerModel.from_vocabulary(terms, inputCol="grams", outputCol="features").setBinary(True)
     ready = counter.transform(rows)
-    fit = LogisticRegression(family="multinomial", weightCol="weight", regParam=0.002, elasticNetParam=0.9, maxIter=80)
+    fit = LogisticRegression(family="multinomial", weightCol="weight", regParam=0.0005, elasticNetParam=0.9, maxIter=100)
     fit = fit.fit(ready.where("v % 4 <> 3"))
     matrix, constant = fit.coefficientMatrix.toArray(), list(map(float, fit.interceptVector.toArray()))
     weights = {g: [float(x) for x in matrix[:, i]] for i, g in enumerate(terms) if abs(matrix[:, i]).max() > 1e-4}
@@ -112,6 +121,7 @@ def train_license_model(docs: DataFrame, workspace: Workspace, *, text_col: str
     ]
     losses = logits.agg(*loss).first()
     best = min(range(len(choices)), key=lambda i: losses[i] if losses[i] is not None and not math.isnan(losses[i]) else math.inf)
+    workspace.close()
     return LicenseModel(families, constant, weights, choices[best], cues)
 
 
@@ -156,9 +166,8 @@ def scan_licenses(
     model = model or train_license_model(docs, workspace, text_col=text_col)
     words = _WORDS.format("p")
     by_family: dict[str, list[list[str]]] = {}
-    plain = "".join
     for family, text in TEMPLATES:
-        own = [x for x in plain(c if c.isalnum() else " " for c in text.lower()).split(" ") if x]
+        own = word_list(text)
         by_family.setdefault(family, []).append(own)
     forms = [f for f in by_family for _ in by_family[f]]
     runs_ = [shingles(own) for f in by_family for own in by_family[f]]
@@ -180,9 +189,10 @@ def scan_licenses(
         f"transform(array(transform(z, x -> exp((x - array_max(z)) / {t!r}D))), e -> "
         f"transform(array(transform(e, x -> x / aggregate(e, 0D, (a, b) -> a + b))), q -> "
         f"transform(array(array_position(q, array_max(slice(q, 3, size(q) - 2)))), k -> "
-        f"transform(array(CASE WHEN get(q, cast(k - 1 AS int)) >= {least_probability!r}D THEN get({names}, cast(k - 1 AS int)) "
-        f"WHEN get(q, 0) < 0.5D THEN '{OTHER}' ELSE '{NONE}' END), f -> "
-        f"named_struct('family', f, 'probability', if(f = '{OTHER}', 1D - get(q, 0), get(q, cast(k - 1 AS int))), 'similarity', {likeness}))[0])[0])[0])[0])[0])[0]"
+        f"transform(array(get({names}, cast(k - 1 AS int))), f -> transform(array({likeness}), s -> "
+        f"transform(array(CASE WHEN get(q, cast(k - 1 AS int)) >= {least_probability!r}D OR s >= {least_similarity!r}D THEN f "
+        f"WHEN get(q, 0) < 0.5D THEN '{OTHER}' ELSE '{NONE}' END), c -> named_struct('family', c, "
+        f"'probability', if(c = '{OTHER}', 1D - get(q, 0), get(q, cast(k - 1 AS int))), 'similarity', if(c = f, s, 0D)))[0])[0])[0])[0])[0])[0])[0])[0]"
     )
     lines = pick(docs, carry, text_col).withColumn("_lines", F.split(F.coalesce("_text", F.lit("")), "\n"))
     cues = f"arrays_overlap({words}, {_strings(model.cues)})" if model.cues else "false"

@@ -403,3 +403,29 @@ def test_rank_file_and_tokenizer_give_equal_ids():
     slow = encoder.slow.encode_batch(texts, add_special_tokens=False)
     for text, own in zip(texts, slow, strict=True):
         assert encoder.ids(text).tolist() == own.ids, text[:80]
+
+
+def test_licence_families_of_unseen_variations(spark, workspace):
+    """Wording with words left out that training did not leave out, wrapped; and ordinary sentences that were not trained."""
+    import random
+    import textwrap
+
+    from auditlake.llm.license_templates import TEMPLATES
+
+    rng, rows, truth = random.Random(11), [], {}
+    for i, (family, text) in enumerate(t for t in TEMPLATES if len(t[1].split()) >= 12):
+        words = [w for w in text.split() if rng.random() > 0.04]
+        rows.append((i, prose(i, 30) + "\n\n" + "\n".join(textwrap.wrap(" ".join(words), 72)) + "\n\n" + prose(i + 9, 30)))
+        truth[i] = family
+    plain = [
+        "The driving school lost its license and had to close in the autumn.", "With the permission of the owner they put up their tents on the meadow.", "The author sold the copyright to a publisher for a small sum.",
+        "A license fee is paid by every house with a television.", "The land was redistributed after the war.", "He was granted leave and went home free of charge.",
+    ]
+    rows += [(1000 + i, prose(i, 20) + "\n\n" + text + "\n\n" + prose(i + 3, 20)) for i, text in enumerate(plain * 3)]
+    rows += [(2000 + i, prose(i, 60)) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: [x["family"] for x in r["found"]] for r in scan_licenses(docs, workspace).collect()}
+    recall = np.mean([f in got[i] for i, f in truth.items()])
+    clean = np.mean([not got[i] for i in got if i >= 1000])
+    print(f"licences: recall {recall:.2f} of {len(truth)}, ordinary text left alone {clean:.2f}")
+    assert recall >= 0.85 and clean >= 0.9, [(f, got[i]) for i, f in truth.items() if f not in got[i]] + [got[i] for i in got if i >= 1000 and got[i]]
