@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
 
 
 def normal_code(body: Column) -> Column:
@@ -31,47 +31,188 @@ def exact_groups(frame: DataFrame, text: str, members: str, *, least: int = 2) -
     return frame.groupBy(digest).agg(F.count("*").alias("n"), F.min(members).alias("first")).where(F.col("n") >= least)
 
 
-@F.pandas_udf(ArrayType(LongType()))
-def _slice_hashes(text: pd.Series, width: pd.Series) -> pd.Series:
-    """A hash of each run of ``width`` characters.  Built-in substrings start from the front each time; this is one pass."""
-    out = []
-    for t, w in zip(text, width, strict=True):
-        codes = np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.uint64)
-        n = max(0, len(codes) - w + 1)
-        own = np.zeros(n, np.uint64)
-        for i in range(w if n else 0):
-            own = own * np.uint64(0x9E3779B97F4A7C15) + codes[i : i + n]
-        out.append((own ^ (own >> np.uint64(29))).view(np.int64))
-    return pd.Series(out)
+_SLOTS = 20
+_MOST_SHARED = 5
+_GRAMS_A_PART = 12_000_000
+
+
+class _Rare:
+    """The rarest grams of a text, so many that texts within the distance cannot but share some.
+
+    A text of ``n`` characters may take ``edits(n)`` edits.  An edit spoils one of several disjoint grams at most.  So of grams
+    that hold ``edits(n) + c`` disjoint ones, ``c`` at least are found in any such other text, no further away than there are edits.
+    All texts choose by one order, rarest first: the one that stops earlier has its remaining grams among the
+    other's choice too.  Any order loses nothing; the counts only make chance meetings few.
+    """
+
+    def __init__(self, ratio: float, least: int) -> None:
+        self.ratio, least = ratio, max(1, least)
+        fits = [n // (self.edits(n) + 1) for n in range(least, least + math.ceil(1 / (1 - ratio)) + 1)]
+        self.size = -(-3 * min(fits) // 4)  # 0: so many edits may spoil all grams
+        self.counts = np.zeros(1 << _SLOTS, np.int64)
+
+    def edits(self, n: int) -> int:
+        return int((1 - self.ratio) * n / self.ratio + 1e-9)
+
+    def shared(self, n: int) -> int:
+        """How many grams texts of ``n`` characters share at least."""
+        return max(1, min(_MOST_SHARED, n // self.size - self.edits(n))) if self.size else 1
+
+    def grams(self, text: str) -> np.ndarray:
+        """A hash of each run of ``size`` characters."""
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+        n = len(codes) - self.size + 1 if self.size else 1
+        out = np.zeros(max(n, 0), np.uint64)
+        for i in range(self.size if n > 0 else 0):
+            out = (out ^ codes[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(32)
+        return out
+
+    @staticmethod
+    def slots(grams: np.ndarray) -> np.ndarray:
+        return (grams * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - _SLOTS)).astype(np.int64)
+
+    def _disjoint(self, places: np.ndarray) -> int:
+        n, end = 0, -1
+        for at in places.tolist():
+            if at >= end:
+                n, end = n + 1, at + self.size
+        return n
+
+    def choose(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and places of the grams chosen."""
+        grams, n = self.grams(text), len(text)
+        order = np.lexsort((grams, self.counts[self.slots(grams)]))
+        want = self.edits(n) + self.shared(n)
+        low, high = min(want, len(order)), len(order)
+        while low < high:
+            mid = (low + high) // 2
+            if self._disjoint(np.sort(order[:mid])) >= want:
+                high = mid
+            else:
+                low = mid + 1
+        while 0 < low < len(order) and grams[order[low]] == grams[order[low - 1]]:
+            low += 1  # all places of the last one
+        return grams[order[:low]], order[:low]
+
+
+def _count_grams(texts: DataFrame, rare: _Rare) -> int:
+    """Count the grams of column ``t`` by slot of their hash into ``rare``; all in all so many."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << _SLOTS, np.int64)
+        for batch in batches:
+            if len(batch):
+                total += np.bincount(rare.slots(np.concatenate([rare.grams(t) for t in batch.column(0).to_pylist()])), minlength=len(total))
+        own = np.flatnonzero(total)
+        yield pa.record_batch([pa.array(own.astype(np.int32)), pa.array(total[own])], ["slot", "n"])
+
+    rows = texts.select("t").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << _SLOTS, np.int64)
+    counts[rows["slot"].to_numpy()] = rows["n"].to_numpy()
+    rare.counts = counts
+    return int(counts.sum())
+
+
+def _choices(texts: DataFrame, rare: _Rare, bits: int) -> DataFrame:
+    """The chosen grams of slices of texts (``id``, ``s``, ``t``) as a row of packed numbers for each part of all hashes."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), 1 << 14):
+                batch = whole.slice(at, 1 << 14)
+                found = [rare.choose(t) for t in batch.column("t").to_pylist()]
+                sizes = [len(g) for g, _ in found]
+                if not sum(sizes):
+                    continue
+                ids, sides = (batch.column(c).to_numpy().view(np.uint64) for c in ("id", "s"))
+                lengths = np.array([len(t) for t in batch.column("t").to_pylist()], np.uint32)
+                who = np.repeat(np.arange(len(batch)), sizes)
+                grams = (np.concatenate([g for g, _ in found]) ^ sides[who]) * np.uint64(0xC4CEB9FE1A85EC53)
+                places = np.minimum(np.concatenate([p for _, p in found]), 0xFFFF).astype(np.uint16)  # never further apart than they are
+                part = (grams >> np.uint64(64 - bits)).astype(np.int64)
+                order = np.lexsort((who, part))
+                part, who, places = part[order], who[order], places[order]
+                short = (grams[order] >> np.uint64(32 - bits)).astype(np.uint32)
+                edges = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
+                out: list[list] = [[], [], [], [], [], []]
+                for a, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                    here, rank = np.unique(who[a:e], return_inverse=True)
+                    row = (short[a:e], places[a:e], rank.astype(np.uint16), ids[here], lengths[here])
+                    for column, value in zip(out, (int(part[a]), *(x.tobytes() for x in row)), strict=True):
+                        column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.binary()) for x in out[1:])], ["part", "grams", "places", "who", "ids", "lengths"])
+
+    return texts.mapInArrow(scan, "part int, grams binary, places binary, who binary, ids binary, lengths binary")
+
+
+def _summed(a: np.ndarray, b: np.ndarray, n: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, ...]:
+    order = np.lexsort((b, a))
+    a, b, n, need = a[order], b[order], n[order], need[order]
+    first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)])
+    return a[first], b[first], np.add.reduceat(n, first) if len(first) else n, need[first]
+
+
+def _meetings(choices: DataFrame, rare: _Rare) -> DataFrame:
+    """Pairs of ids ``a``, ``b`` with the grams ``n`` that they share in one part, and the number ``need`` of all parts."""
+
+    def meet(frame: pd.DataFrame) -> pd.DataFrame:
+        gram, place, who = (np.frombuffer(b"".join(frame[c]), t) for c, t in (("grams", np.uint32), ("places", np.uint16), ("who", np.uint16)))
+        ids, lengths = (np.frombuffer(b"".join(frame[c]), t) for c, t in (("ids", np.int64), ("lengths", np.uint32)))
+        before = np.cumsum([0, *(len(x) // 8 for x in frame["ids"])])[:-1]
+        who = who + np.repeat(before, [len(x) // 2 for x in frame["who"]])
+        order = np.lexsort((lengths[who], gram))
+        gram = gram[order]
+        same = np.append(gram[1:] == gram[:-1], False)
+        again = same | np.append(False, same[:-1])
+        gram, who, place = gram[again], who[order][again], place[order][again].astype(np.int64)
+        size = lengths[who].astype(np.int64)
+        need = np.array([rare.shared(int(x)) for x in np.arange(int(size.max(initial=0)) + 1)], np.int64)
+        done: list[tuple[np.ndarray, ...]] = []
+        held, near, step = 0, np.arange(len(gram)), 0
+        while len(near):  # each with the next, the next but one, ... of its gram, in order of length
+            step += 1
+            near = near[near + step < len(gram)]
+            near = near[gram[near] == gram[near + step]]
+            near = near[size[near] >= rare.ratio * size[near + step] - 1e-6]
+            i, j = near, near + step
+            close = (np.abs(place[i] - place[j]) <= (1 - rare.ratio) * size[j] + 1e-6) & (ids[who[i]] != ids[who[j]])
+            i, j = i[close], j[close]
+            x, y = ids[who[i]], ids[who[j]]
+            done.append((np.minimum(x, y), np.maximum(x, y), np.ones(len(i), np.int64), np.minimum(need[size[i]], need[size[j]])))
+            held += len(i)
+            if held > 4_000_000:
+                done = [_summed(*(np.concatenate(c) for c in zip(*done, strict=True)))]
+                held = len(done[0][0]) // 2  # at least as many again until the next time
+        out = _summed(*(np.concatenate(c) for c in zip(*done, strict=True))) if done else [np.empty(0, np.int64)] * 4
+        return pd.DataFrame(dict(zip(("a", "b", "n", "need"), out, strict=True)))
+
+    return choices.groupBy("part").applyInPandas(meet, "a long, b long, n long, need long")
 
 
 def near_pairs(frame: DataFrame, key: str, text: str, *, ratio: float = 0.92, least: int = 65, most: int | None = None, block: Sequence[str] = ()) -> DataFrame:
     """Pairs (``a`` before ``b``) of different texts with similarity over ``ratio``: 1 less distance by the longer length.
 
-    Qualifying lengths lie in the same or in neighbouring geometric buckets.  Within these, a pair
-    at distance d shares one of d + 1 slices of the shorter text, so candidates meet on a slice's
-    content instead of on its length alone.
+    Copies of a text are one, named by their least key.  Texts meet on several of their rarest grams at about the same
+    places (see ``_Rare``); no pair is lost.  Only packed hashes and places of these are shuffled, then
+    the texts of pairs that met often enough.  A first job, run at once, counts grams.
     """
     size = F.length(text)
     base = frame.where(size >= least)
     if most:
         base = base.where(size <= most)
-    base = base.groupBy(*block, F.col(text).alias("t")).agg(F.min(key).alias("k")).withColumn("n", F.length("t"))
-    step, slack = -math.log(ratio), (1 - ratio) / ratio
-    bucket = F.floor(F.log(F.col("n").cast("double")) / step).cast("int")
-    # All texts of a bucket are cut into as many slices as its longest may have edits, and one more.
-    parts = F.floor(F.exp((F.col("b") + 1) * F.lit(step)) * slack).cast("int") + 1
-    width = F.greatest(F.lit(1), F.floor(F.exp(F.col("b") * F.lit(step)) / F.col("parts") - 1e-9)).cast("int")
-    # Only keys and hashes of slices are exploded; texts are joined back to the candidates.
-    own = base.withColumn("b", bucket).withColumn("parts", parts).withColumn("w", width)
-    own = own.withColumn("g", _slice_hashes("t", "w"))
-    own = own.select(*block, "k", "n", "b", F.explode(F.expr("transform(sequence(0, parts - 1), p -> get(g, p * w))")).alias("h"))
-    offered = base.withColumn("b", F.explode(F.array(bucket - 1, bucket))).withColumn("parts", parts).withColumn("w", width)
-    offered = offered.select(*block, F.col("k").alias("k2"), F.col("n").alias("n2"), "b", F.explode(F.array_distinct(_slice_hashes("t", "w"))).alias("h"))
-    met = own.join(offered, [*block, "b", "h"]).where("n <= n2 AND k <> k2 AND (n < n2 OR k < k2)").select(*block, "k", "k2").distinct()
-    met = met.join(base.select(*block, "k", "t"), [*block, "k"]).join(base.select(*block, F.col("k").alias("k2"), F.col("t").alias("t2"), F.col("n").alias("n2")), [*block, "k2"])
+    rare = _Rare(ratio, least)
+    grams = _count_grams(base.select(F.col(text).alias("t")), rare)
+    bits = max(4, (grams // _GRAMS_A_PART).bit_length())
+    base = base.groupBy(*block, F.col(text).alias("t")).agg(F.min(key).alias("k"))
+    base = base.withColumn("id", F.xxhash64(*block, "t"))
+    side = F.xxhash64(*block) if block else F.lit(0).cast("long")
+    met = _meetings(_choices(base.select("id", side.alias("s"), "t"), rare, bits), rare)
+    met = met.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need")).where("n >= need").select(F.col("a").alias("id"), F.col("b").alias("id2"))
+    met = met.join(base, "id").join(base.select(*block, F.col("id").alias("id2"), F.col("k").alias("k2"), F.col("t").alias("t2")), [*block, "id2"])
+    met = met.withColumn("n2", F.greatest(F.length("t"), F.length("t2")))
     far = F.expr(f"levenshtein(t, t2, cast(floor({1 - ratio}D * n2) AS int))")
-    met = met.withColumn("d", far).where("d >= 0").withColumn("similarity", 1 - F.col("d") / F.col("n2"))
+    met = met.withColumn("d", far).where("d >= 0 AND k <> k2").withColumn("similarity", 1 - F.col("d") / F.col("n2"))
     return met.where(F.col("similarity") > ratio).select(*block, F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b"), F.col("d").cast("long").alias("distance"), "similarity")
 
 
