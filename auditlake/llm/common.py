@@ -43,6 +43,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, root: str | None = None) -> None:
         self.spark, self._tables = spark, []
+        self.files: int | None = None  # at most so many a table, where an operator knows that its tables are small
         self.root = root or f"{shared_dir(spark)}/auditlake-{uuid.uuid4().hex}"
         self._path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
         self._fs = self._path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -60,7 +61,7 @@ class Workspace:
         if by:  # an open file for each folder, no sorting of large rows
             self.spark.conf.set("spark.sql.maxConcurrentOutputFileWriters", 8)
         try:
-            df.write.parquet(path, compression="zstd", partitionBy=by)
+            (df.coalesce(self.files) if self.files else df).write.parquet(path, compression="zstd", partitionBy=by)
         finally:
             if by:
                 self.spark.conf.unset("spark.sql.maxConcurrentOutputFileWriters")

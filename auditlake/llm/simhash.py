@@ -35,7 +35,10 @@ from .components import connected_components
 
 _FAN = 8
 _LEAF = 16
-_BLOCK = 1 << 16
+_BLOCK = 1 << 13
+_PAIRS = 2_048  # node pairs that are opened at once: 64 times as many below them
+_ROWS = 50_000
+_LEAST_FILES = 12
 
 
 def simhash(text: bytes, shingle: int = 3, seed: int = 42) -> int:
@@ -64,7 +67,7 @@ def fingerprints(docs: DataFrame, *, text_col: str = "text", carry: tuple[str, .
     base = pick(docs, carry, text_col)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "_text"):
+        for batch in sliced(batches, "_text", 2 << 20):
             fp = pa.array([simhash(t, shingle) for t in texts_of(batch.column("_text"))], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], fp], [*batch.schema.names[:-1], "fp"])
 
@@ -133,8 +136,8 @@ class GrayIndex:
         todo = [(top, i, j)]
         while todo:
             level, i, j = todo.pop()
-            if len(i) > 40_000:
-                todo += [(level, i[40_000:], j[40_000:]), (level, i[:40_000], j[:40_000])]
+            if len(i) > _PAIRS:
+                todo += [(level, i[_PAIRS:], j[_PAIRS:]), (level, i[:_PAIRS], j[:_PAIRS])]
                 continue
             p, m = self.patterns[level], self.masks[level]
             shared = m[i] & m[j]
@@ -215,7 +218,7 @@ def near_links(codes: DataFrame, workspace: Workspace, *, max_distance: int = 3,
         for batch in batches:
             held.append(batch)
             size += len(batch)
-            if size >= 200_000:
+            if size >= _ROWS:
                 table = pa.Table.from_batches(held)
                 g = table.column("g").to_numpy()
                 cut = int(np.flatnonzero(g != g[-1])[-1]) + 1 if g[0] != g[-1] else 0
@@ -252,6 +255,7 @@ def near_duplicates(
     workspace = workspace.scope()
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *[F.col(f"`{c}`") for c in carry])
     prints = workspace.write(fingerprints(rows, carry=("doc_id", *carry), shingle=shingle), "prints")
+    workspace.files = max(_LEAST_FILES, prints.count() // _ROWS)  # rows are a few numbers from here on
     codes = workspace.write(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "codes")
     links = near_links(codes, workspace, max_distance=max_distance, group_rows=group_rows)
     roots = workspace.write(connected_components(links, workspace), "roots")
