@@ -56,15 +56,22 @@ class Workspace:
         return Workspace(self.spark, f"{self.root}/{uuid.uuid4().hex}")
 
     def write(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-        """``by``: a column whose values get a folder each, for :meth:`drop`."""
+        """``by``: a column whose values get a folder each, for :meth:`drop`.
+
+        What was shuffled for the table goes as soon as it is written, not when the driver next collects its garbage.
+        """
         path = f"{self.root}/{len(self._tables)}-{name}"
+        conf = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
         if by:  # an open file for each folder, no sorting of large rows
-            self.spark.conf.set("spark.sql.maxConcurrentOutputFileWriters", 8)
+            conf["spark.sql.maxConcurrentOutputFileWriters"] = "8"
+        before = {c: self.spark.conf.get(c, None) for c in conf}
         try:
+            for c, value in conf.items():
+                self.spark.conf.set(c, value)
             (df.coalesce(self.files) if self.files else df).write.parquet(path, compression="zstd", partitionBy=by)
         finally:
-            if by:
-                self.spark.conf.unset("spark.sql.maxConcurrentOutputFileWriters")
+            for c, value in before.items():
+                self.spark.conf.unset(c) if value is None else self.spark.conf.set(c, value)
         table = self.spark.read.schema(df.schema).parquet(path)
         self._tables.append((table, path))
         return table

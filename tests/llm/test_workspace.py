@@ -1,0 +1,26 @@
+"""A workspace leaves no shuffle files of the tables that it has written."""
+
+import time
+
+from auditlake.llm.common import Workspace
+
+
+def on_disk(spark):
+    return spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllBlocks().size()
+
+
+def test_shuffle_files_go_when_a_table_is_written(spark):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting = spark.conf.get(name, None)
+    workspace = Workspace(spark)
+    rows = spark.range(100_000).repartition(4, "id")
+    before = on_disk(spark)
+    table = workspace.write(rows, "rows")
+    for _ in range(50):
+        if on_disk(spark) <= before:
+            break
+        time.sleep(0.1)
+    assert on_disk(spark) <= before
+    assert table.count() == rows.count() == workspace.write(rows, "again").count() == 100_000
+    assert spark.conf.get(name, None) == setting
+    workspace.close()
