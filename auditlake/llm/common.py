@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
+import sys
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +16,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,6 +34,10 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Rows go to Python workers in batches of so many bytes while a table is written; both sides hold one or two of them.
+_BATCH = 8 << 20
+
+
 class Workspace:
     """Intermediate tables of one job, written as Parquet in the shared folder.
 
@@ -58,13 +64,18 @@ class Workspace:
     def write(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
         """``by``: a column whose values get a folder each, for :meth:`drop`."""
         path = f"{self.root}/{len(self._tables)}-{name}"
+        conf, size = self.spark.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+        own = {size: f"{min(_BATCH, self.spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(conf.get(size)))}b"}
         if by:  # an open file for each folder, no sorting of large rows
-            self.spark.conf.set("spark.sql.maxConcurrentOutputFileWriters", 8)
+            own["spark.sql.maxConcurrentOutputFileWriters"] = "8"
+        before = {k: conf.get(k) for k in own}
         try:
+            for k, v in own.items():
+                conf.set(k, v)
             (df.coalesce(self.files) if self.files else df).write.parquet(path, compression="zstd", partitionBy=by)
         finally:
-            if by:
-                self.spark.conf.unset("spark.sql.maxConcurrentOutputFileWriters")
+            for k, v in before.items():
+                conf.set(k, v)
         table = self.spark.read.schema(df.schema).parquet(path)
         self._tables.append((table, path))
         return table
@@ -188,21 +199,57 @@ class Bloom:
                 place = np.concatenate((h & mask, mix(h) & mask))
                 yield pa.record_batch([pa.array((place >> np.uint64(6)).astype(np.int32)), pa.array((place & np.uint64(63)).astype(np.int32))], ["word", "bit"])
 
-        rows = hashes.select(column).mapInArrow(parts, "word int, bit int")
+        rows = hashes.select(column).mapInArrow(lean(parts), "word int, bit int")
         table = rows.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")).toArrow()
         words = np.zeros(bits // 64, np.uint64)
         words[table["word"].to_numpy()] = table["bits"].to_numpy().view(np.uint64)
         return Bloom(words)
 
 
-def pick(docs: DataFrame, carry: tuple[str, ...], text_col: str) -> DataFrame:
-    """The carried columns and the text as ``_text``; any other column is left behind."""
-    return docs.select(*[F.col(f"`{c}`") for c in carry], F.col(f"`{text_col}`").cast("string").alias("_text"))
+def pick(docs: DataFrame, carry: tuple[str, ...], text_col: str, *, once: bool = False) -> DataFrame:
+    """The carried columns and the text as ``_text``; any other column is left behind.
+
+    ``once``: a text that is carried itself is ``_text`` only, for :func:`carried` to give back.
+    """
+    alone = once and dict(docs.dtypes).get(text_col) == "string"
+    return docs.select(*[F.col(f"`{c}`") for c in carry if not (alone and c == text_col)], F.col(f"`{text_col}`").cast("string").alias("_text"))
+
+
+def carried(batch: pa.RecordBatch, carry: tuple[str, ...]) -> list[pa.Array]:
+    """The carried columns of a batch."""
+    return [batch.column(c if c in batch.schema.names else "_text") for c in carry]
 
 
 def with_fields(df: DataFrame, carry: tuple[str, ...], more: str) -> StructType:
     """The schema of the carried columns, followed by further ones given as DDL."""
-    return StructType([f for f in df.schema.fields if f.name in carry] + StructType.fromDDL(more).fields)
+    own = [f for f in df.schema.fields if f.name in carry]
+    if len(own) < len(carry) and "_text" in df.columns:  # the text is carried as ``_text``
+        found = {f.name: f for f in own}
+        own = [found.get(c) or StructField(c, StringType()) for c in carry]
+    return StructType(own + StructType.fromDDL(more).fields)
+
+
+Step = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def lean(step: Step) -> Step:
+    """The step for ``mapInArrow``; at its end, what its worker has freed goes back to the system.
+
+    Workers outlive their tasks, several of them for each core, and an idle one would keep the memory of its peak.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        libc = ctypes.CDLL(None) if sys.platform == "linux" else None
+        if hasattr(libc, "mallopt"):
+            libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: fixed, else it grows and large arrays leave holes in the heap
+        try:
+            yield from step(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc, "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return run
 
 
 def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:

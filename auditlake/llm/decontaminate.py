@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bloom, covered, gram_hashes, pick, runs, sliced, texts_of, winnow, with_fields, word_codes
+from .common import Bloom, carried, covered, gram_hashes, lean, pick, runs, sliced, texts_of, winnow, with_fields, word_codes
 
 # Lower-cases A-Z; every other ASCII character but digits and a-z separates words.
 _TABLE = bytes(
@@ -130,7 +130,7 @@ def _joined(keyed: DataFrame, items: DataFrame, window: int, gram: int, bloom_bi
             columns = zip(*rows, strict=True) if rows else ((),) * 5
             yield pa.record_batch([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["id", "size", "own", "print", "words"])
 
-    known = items.mapInArrow(of_items, "id string, size int, own long, print long, words binary").distinct()
+    known = items.mapInArrow(lean(of_items), "id string, size int, own long, print long, words binary").distinct()
     sizes = sorted(r["size"] for r in known.select("size").distinct().collect())  # at most `window` of them
     prints = known.select("print").distinct()
     shared = context.broadcast(Bloom.build(prints, "print", prints.count(), bloom_bits))
@@ -155,7 +155,7 @@ def _joined(keyed: DataFrame, items: DataFrame, window: int, gram: int, bloom_bi
             columns = zip(*rows, strict=True) if rows else ((),) * 6
             yield pa.record_batch([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["_k1", "_k2", "start", "size", "own", "words"])
 
-    seen = keyed.mapInArrow(of_texts, "_k1 long, _k2 long, start int, size int, own long, words binary").distinct()
+    seen = keyed.mapInArrow(lean(of_texts), "_k1 long, _k2 long, start int, size int, own long, words binary").distinct()
     # A window that many texts share is dealt over several tasks.
     seen = seen.withColumn("salt", F.pmod(F.xxhash64("_k1"), F.lit(salts)).cast("int"))
     known = known.select("id", "size", "own", "words").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -195,7 +195,7 @@ def mark_contamination(
         F.col(f"`{item_col}`").cast("string").alias("id"), F.col(f"`{item_text_col}`").cast("string").alias("text")
     ).where("text IS NOT NULL").distinct()
     total = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    base = pick(docs, carry, text_col)
+    base = pick(docs, carry, text_col, once=True)
     schema = with_fields(base, carry, _SPANS)
     index = None
     if total <= index_bytes:
@@ -205,10 +205,11 @@ def mark_contamination(
         keys = {"_k1": F.xxhash64("_text"), "_k2": F.xxhash64(F.lit("second"), "_text")}
         keyed = base.select("_text").withColumns(keys).where("_text IS NOT NULL")
         found = _joined(keyed, items, window, gram, bloom_bits, salts)
-        base = base.withColumns(keys).join(found, ["_k1", "_k2"], "left").select(*[F.col(f"`{c}`") for c in carry], F.col("found").alias("_found"), F.col("names").alias("_names"), "_text")
+        own = [F.col(f"`{c}`") for c in base.columns]
+        base = base.withColumns(keys).join(found, ["_k1", "_k2"], "left").select(*own, F.col("found").alias("_found"), F.col("names").alias("_names"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "_text"):
+        for batch in sliced(batches, "_text", 2 << 20):
             n_words, spans, names = [], [], []
             texts = texts_of(batch.column("_text"))
             joined = zip(*(batch.column(c).to_pylist() for c in ("_found", "_names")), strict=True) if index is None else None
@@ -227,7 +228,6 @@ def mark_contamination(
                 names.append(sorted(own or ()))
             kinds = (pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.string()))
             columns = [pa.array(x, k) for x, k in zip((n_words, spans, names), kinds, strict=True)]
-            kept = len(batch.schema.names) - (1 if joined is None else 3)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *columns], [*batch.schema.names[:kept], "n_words", "spans", "items"])
+            yield pa.RecordBatch.from_arrays([*carried(batch, carry), *columns], [*carry, "n_words", "spans", "items"])
 
-    return base.mapInArrow(scan, schema)
+    return base.mapInArrow(lean(scan), schema)

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, pick, sliced, with_fields
+from .common import Workspace, lean, pick, sliced, with_fields
 
 #: Sequences of full pieces are numbered from here, apart from those of the plan.
 FULL_BASE = 1 << 40
@@ -215,7 +215,7 @@ def cut_pieces(
             columns = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*kept.columns, *columns], [*kept.schema.names, *names])
 
-    return base.mapInArrow(scan, schema)
+    return base.mapInArrow(lean(scan), schema)
 
 
 def pack(

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, pick, sliced, texts_of, with_fields
+from .common import Workspace, lean, pick, sliced, texts_of, with_fields
 from .components import connected_components
 
 _FAN = 8
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, *, text_col: str = "text", carry: tuple[str, .
             fp = pa.array([simhash(t, shingle) for t in texts_of(batch.column("_text"))], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], fp], [*batch.schema.names[:-1], "fp"])
 
-    return base.mapInArrow(scan, with_fields(base, carry, "fp long"))
+    return base.mapInArrow(lean(scan), with_fields(base, carry, "fp long"))
 
 
 def gray_rank(x: Column) -> Column:
@@ -230,7 +230,7 @@ def near_links(codes: DataFrame, workspace: Workspace, *, max_distance: int = 3,
             yield result(pa.Table.from_batches(held))
 
     grouped = ready.repartition("g").withColumn("rank", gray_rank(F.col("r"))).sortWithinPartitions("g", "rank")
-    return grouped.mapInArrow(scan, "u long, v long")
+    return grouped.mapInArrow(lean(scan), "u long, v long")
 
 
 def near_duplicates(

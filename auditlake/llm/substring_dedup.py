@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bloom, Workspace, covered, gram_hashes, mix, pick, runs, sliced, texts_of, winnow, with_fields, word_hashes
+from .common import Bloom, Workspace, carried, covered, gram_hashes, lean, mix, pick, runs, sliced, texts_of, winnow, with_fields, word_hashes
 
 #: Words of an anchor phrase.
 GRAM = 8
@@ -148,7 +148,7 @@ def find_repeats(
                 hashes, counts = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.record_batch([pa.array(hashes.view(np.int64)), pa.array(counts)], ["anchor", "n"])
 
-    anchors = keyed.select("_text").mapInArrow(count_anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    anchors = keyed.select("_text").mapInArrow(lean(count_anchors), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
     anchors = workspace.write(anchors.where("n > 1").select("anchor"), "anchors")
     n_anchors = anchors.count()
     bloom = spark.sparkContext.broadcast(Bloom.build(anchors, "anchor", n_anchors, bloom_bits))
@@ -178,7 +178,7 @@ def find_repeats(
                     ["shard", "k1", "k2", "begin", "words"],
                 )
 
-    regions = keyed.mapInArrow(cut_regions, "shard int, k1 long, k2 long, begin int, words binary")
+    regions = keyed.mapInArrow(lean(cut_regions), "shard int, k1 long, k2 long, begin int, words binary")
     regions = workspace.write(regions, "regions")
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +207,7 @@ def find_repeats(
                 ["own", "mark", "phrase", "n"],
             )
 
-    found = regions.select("words").mapInArrow(evidence, "own long, mark long, phrase binary, n long")
+    found = regions.select("words").mapInArrow(lean(evidence), "own long, mark long, phrase binary, n long")
     found = found.groupBy("own", "mark", "phrase").agg(F.sum("n").alias("n")).where("n > 1 OR phrase IS NOT NULL").drop("n")
     found = found.withColumn("shard", F.col("mark").bitwiseAND(F.lit(shards - 1)).cast("int"))
 
@@ -262,7 +262,7 @@ def find_repeats(
         keys = [pa.array(part.column(k).to_numpy()[r]) for k in ("k1", "k2")]
         return pa.record_batch([*keys, *(pa.array((first + x).astype(np.int32)) for x in (begin, until))], ["k1", "k2", "begin", "until"])
 
-    spans = workspace.write(dealt.mapInArrow(scan, _SPAN).distinct(), "spans")
+    spans = workspace.write(dealt.mapInArrow(lean(scan), _SPAN).distinct(), "spans")
     workspace.keep(spans)
     return spans
 
@@ -294,7 +294,9 @@ def remove_repeats(
     gathered = workspace.write(gathered, "gathered")
     steps.close()
     gathered = gathered.withColumnsRenamed({c: f"_{c}" for c in gathered.columns})
-    base = _with_key(pick(docs, carry, text_col), "_")
+    base = pick(docs, carry, text_col, once=True)
+    names = [*[F.col(f"`{c}`") for c in base.columns], F.col("_spans")]
+    base = _with_key(base, "_")
     # Only texts whose key is in the filter are dealt out by key; a full filter costs shuffle, never results.
     known = docs.sparkSession.sparkContext.broadcast(Bloom.build(gathered, "_k1", gathered.count(), options.get("bloom_bits", 1 << 28)))
 
@@ -302,7 +304,6 @@ def remove_repeats(
     def listed(k1: pd.Series) -> pd.Series:
         return pd.Series(known.value.has(k1.to_numpy().view(np.uint64)))
 
-    names = [*[F.col(f"`{c}`") for c in carry], F.col("_text"), F.col("_spans")]
     base = base.withColumn("_listed", listed("_k1"))
     cut_ones = base.where("_listed").join(gathered, ["_k1", "_k2"], "left").select(names)
     joined = base.where("NOT _listed").withColumn("_spans", F.lit(None).cast(dict(gathered.dtypes)["_spans"])).select(names).unionByName(cut_ones)
@@ -327,7 +328,6 @@ def remove_repeats(
             n_words, n_removed, kept, clean = zip(*out, strict=True) if out else ((),) * 4
             columns = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())]
             columns += [pa.array(x, pa.binary()).cast(pa.string()) for x in (kept, clean)]
-            names = [*batch.schema.names[:-2], "n_words", "n_removed", "kept", "clean_text"]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *columns], names)
+            yield pa.RecordBatch.from_arrays([*carried(batch, carry), *columns], [*carry, "n_words", "n_removed", "kept", "clean_text"])
 
-    return joined.mapInArrow(cut, schema)
+    return joined.mapInArrow(lean(cut), schema)

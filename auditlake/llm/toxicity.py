@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, mix, pick, sliced, texts_of, with_fields, word_codes
+from .common import Workspace, carried, lean, mix, pick, sliced, texts_of, with_fields, word_codes
 from .decontaminate import match_words
 from .labelled import class_weights, labelled_sample, logistic, sigmoid
 
@@ -106,7 +106,7 @@ class Counts:
                 columns = [(key >> 60).astype(np.int32), (key >> 30 & (1 << 30) - 1).astype(np.int32), (key & (1 << 30) - 1).astype(np.int32), n]
                 yield pa.record_batch([pa.array(x) for x in columns], ["kind", "v", "w", "n"])
 
-        seen = sample.select("label", "fold", "_text").mapInArrow(count, "kind int, v int, w int, n long")
+        seen = sample.select("label", "fold", "_text").mapInArrow(lean(count), "kind int, v int, w int, n long")
         own = [F.sum(F.when(F.col("kind") % _FOLDS == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in folds]
         pairs = workspace.write(seen.groupBy(F.floor(F.col("kind") / _FOLDS).cast("int").alias("label"), "v", "w").agg(*own), "pairs")
         every = "+".join(f"n{k}" for k in folds)
@@ -124,7 +124,7 @@ class Counts:
         self.contexts = pairs.groupBy("label", "v").agg(*sums, *kinds).toArrow()
         self.continued = pairs.groupBy("label", "w").agg(*kinds).toArrow()
         self.few = {r["label"]: r for r in pairs.groupBy("label").agg(*few).collect()}
-        table = pairs.mapInArrow(hashed, "label int, p int, " + ", ".join(f"n{k} long" for k in folds)).groupBy("label", "p")
+        table = pairs.mapInArrow(lean(hashed), "label int, p int, " + ", ".join(f"n{k} long" for k in folds)).groupBy("label", "p")
         self.table = table.agg(*[F.sum(f"n{k}").cast("int").alias(f"n{k}") for k in folds]).toArrow()
 
     def model(self, without: int = _FOLDS) -> KneserNeyPair:
@@ -197,7 +197,7 @@ def score_toxicity(
                 yield pa.record_batch([batch.column("label"), *(pa.array(found[:, i]) for i in range(len(FEATURES)))], ["label", *FEATURES])
 
         rows = sample.where(F.col("fold") == without).select("label", "_text")
-        found = rows.mapInArrow(measure, "label int, " + ", ".join(f"{c} double" for c in FEATURES)).toArrow()
+        found = rows.mapInArrow(lean(measure), "label int, " + ", ".join(f"{c} double" for c in FEATURES)).toArrow()
         shared.destroy()
         return found
 
@@ -212,7 +212,7 @@ def score_toxicity(
     if len(set(y.tolist())) == 2:
         mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
         fit = (mean, scale, logistic((x - mean) / scale, y, class_weights(y, sizes)))
-    base_docs = pick(docs, carry, text_col)
+    base_docs = pick(docs, carry, text_col, once=True)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "_text", 2 << 20):
@@ -221,7 +221,7 @@ def score_toxicity(
             else:
                 mean, scale, w = fit
                 p = sigmoid((shared.value.features(texts_of(batch.column("_text"))) - mean) / scale @ w[:-1] + w[-1])
-            columns = [*batch.columns[:-1], pa.array(p), pa.array((p >= threshold).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "score", "predicted"])
+            columns = [*carried(batch, carry), pa.array(p), pa.array((p >= threshold).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, [*carry, "score", "predicted"])
 
-    return base_docs.mapInArrow(score, with_fields(base_docs, carry, "score double, predicted int"))
+    return base_docs.mapInArrow(lean(score), with_fields(base_docs, carry, "score double, predicted int"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.llm.common import Workspace
@@ -28,13 +28,22 @@ Step = Callable[[SparkSession, DataFrame, str, Workspace], DataFrame]
 
 
 def _whole(docs: DataFrame) -> DataFrame:
-    """The row as one column beside what operators read, so that no names clash."""
-    return docs.select(F.struct("*").alias("row"), "doc_id", "text")
+    """The row as one column, but for its text, beside what operators read, so that no names clash.
+
+    Both columns go through an operator, which gets the text once.
+    """
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return docs.select(F.struct(*rest).alias("row"), "doc_id", "text")
+
+
+def _unfolded(docs: DataFrame) -> list[Column]:
+    """The columns of ``docs`` from rows of :func:`_whole`."""
+    return [F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
 
 
 def _drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str, workspace: Workspace) -> DataFrame:
-    scored = score_toxicity(_whole(docs), table(spark, sf_dir, "labels"), workspace, carry=("row",))
-    return scored.where("predicted = 0").select("row.*")
+    scored = score_toxicity(_whole(docs), table(spark, sf_dir, "labels"), workspace, carry=("row", "text"))
+    return scored.where("predicted = 0").select(_unfolded(docs))
 
 
 def _drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, workspace: Workspace) -> DataFrame:
@@ -44,22 +53,22 @@ def _drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, wor
     chosen = found.where("doc_id <=> component_id").groupBy("component_id", alone.alias("alone")).agg(F.min("key").alias("wanted"))
     chosen = workspace.write(chosen.select(F.col("component_id").alias("id"), "wanted"), "chosen")
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("wanted"))
-    return rows.join(chosen, same, "left_semi").dropDuplicates(["doc_id", "key"]).select("row.*")
+    return rows.join(chosen, same, "left_semi").dropDuplicates(["doc_id", "key"]).select(_unfolded(docs))
 
 
 def _drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str, workspace: Workspace) -> DataFrame:
-    cut = remove_repeats(_whole(docs), workspace, carry=("row",))
+    cut = remove_repeats(_whole(docs), workspace, carry=("row", "text"))
     changed = {"text": F.col("clean_text"), "n_chars": F.coalesce(F.length("clean_text"), F.lit(0))}
     columns = [
-        F.when(F.col("n_removed") > 0, changed[c].cast(kind)).otherwise(F.col(f"row.`{c}`")).alias(c) if c in changed else F.col(f"row.`{c}`")
-        for c, kind in docs.dtypes
+        F.when(F.col("n_removed") > 0, changed[c].cast(kind)).otherwise(own).alias(c) if c in changed else own
+        for own, (c, kind) in zip(_unfolded(docs), docs.dtypes, strict=True)
     ]
     return cut.select(columns)
 
 
 def _drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str, workspace: Workspace) -> DataFrame:
-    marked = mark_contamination(_whole(docs), table(spark, sf_dir, "benchmark"), carry=("row",))
-    return marked.where(F.size("spans") == 0).select("row.*")
+    marked = mark_contamination(_whole(docs), table(spark, sf_dir, "benchmark"), carry=("row", "text"))
+    return marked.where(F.size("spans") == 0).select(_unfolded(docs))
 
 
 def _pack(spark: SparkSession, docs: DataFrame, sf_dir: str, workspace: Workspace) -> DataFrame:
